@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, mixing, pieces, secrets, token_counts
+from leadloom.llm import exact_dedup, language, mixing, pieces, secrets, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": language.op1,
     "op3_token_counts": token_counts.op3,
     "op4_secret_scans": secrets.op4,
     "op5_mixing": mixing.op5,
     "op6_sentencepiece": pieces.op6,
+    "op9_toxicity": toxicity.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
