@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, language, mixing, pieces, secrets, token_counts, toxicity
+from leadloom.llm import exact_dedup, fingerprints, language, mixing, pieces, secrets, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1,
+    "op2_substring_dedup": substrings.op2,
     "op3_token_counts": token_counts.op3,
     "op4_secret_scans": secrets.op4,
     "op5_mixing": mixing.op5,
     "op6_sentencepiece": pieces.op6,
+    "op7_fingerprints": fingerprints.op7,
     "op9_toxicity": toxicity.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
 ORACLE = {
+    "op2_substring_dedup": substrings.OP2_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
