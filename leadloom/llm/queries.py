@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, fingerprints, language, mixing, pieces, secrets, substrings, token_counts, toxicity
+from leadloom.llm import exact_dedup, fingerprints, jaccard, language, mixing, pieces, secrets, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5,
     "op6_sentencepiece": pieces.op6,
     "op7_fingerprints": fingerprints.op7,
+    "op8_jaccard_join": jaccard.op8,
     "op9_toxicity": toxicity.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
