@@ -1,28 +1,5 @@
-"""Connected components of a table of edges."""
+"""Connected components of a table of edges: the library's own."""
 
-from __future__ import annotations
+from leadloom.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from leadloom.llm.shared import cut
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) long -> (node, component): the smallest node reachable from each node of an edge.
-
-    Each round every node takes the smallest label around it and then that label's own label, so paths shorten by
-    half; the labels are cut at a checkpoint. It ends when no label changes. Only a count comes to the driver. Loops
-    and repeated edges do no harm; an empty table gives an empty result; edges with null ends are left out.
-    """
-    pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
-    while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        near = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        new = cut(near.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("component")))
-        labels = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
+__all__ = ["connected_components"]

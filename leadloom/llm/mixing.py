@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = MA
     are taken each for itself. An empty table gives an empty result.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("content")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     n = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
@@ -89,21 +89,24 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = MA
     begins = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("copies"), F.lit(1)) - 1), time))
     out = rows.withColumn("positions", F.coalesce(begins, F.array().cast("array<double>")))
     return out.select(
-        "row_id", "doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions"
+        "row_id", "content", "doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions"
     ).orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The training sequence: each document as often as mix_sources takes it, whole, range-sorted by position.
 
-    A document that the last pass ends in is taken whole. Returns the columns of docs.
+    A document that the last pass ends in is taken whole. Returns the columns of docs. Of rows with the same id and text
+    one stands for all, as often as they are taken together.
     """
     columns = docs.columns
-    plan = mix_sources(docs, **how).filter("copies > 0").groupBy(F.col("doc_id").alias("_ll_id")).agg(F.flatten(F.collect_list("positions")).alias("_ll_at"))
-    once = docs.dropDuplicates(["doc_id"])
-    out = once.join(plan, once["doc_id"].eqNullSafe(plan["_ll_id"])).withColumn("_ll_at", F.explode("_ll_at"))
-    return out.orderBy("_ll_at", "doc_id").select(*columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    plan = mix_sources(docs, **how).filter("copies > 0").groupBy(name.alias("_ll_id"), F.col("content").alias("_ll_content"))
+    plan = plan.agg(F.flatten(F.collect_list("positions")).alias("_ll_at"))
+    marked = docs.withColumns({"_ll_id": name, "_ll_content": F.xxhash64("text")})
+    out = marked.join(plan, ["_ll_id", "_ll_content"]).dropDuplicates(["_ll_id", "_ll_content"])
+    return out.withColumn("_ll_at", F.explode("_ll_at")).orderBy("_ll_at", "doc_id").select(*columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(read_documents(spark, sf_dir)).drop("row_id")
+    return mix_sources(read_documents(spark, sf_dir)).drop("row_id", "content")
