@@ -109,12 +109,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     not take words from each other, except whole copies of the same text, of which the first read stays. An empty
     table gives an empty result.
     """
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # the columns that both joins on row_id need, so that text is shuffled once for both
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("given"), least.alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("given"), F.coalesce("text", F.lit("")).alias("text")
     )
-    digest = rows.select("row_id", "doc_id", F.sha2("text", 256).alias("sha"))
+    least = F.coalesce("given", F.lit(-(2**63)))
+    digest = rows.select("row_id", least.alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("sha"))
     firsts = digest.groupBy("sha").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = cut(digest.join(firsts, "sha").filter("row_id <> first.row_id").select("row_id"))
 
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     common = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
     runs = anchors.join(common, "anchor").groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     runs = runs.join(copies, "row_id", "left_anti")
-    windows = _window_rows(rows.join(runs, "row_id").select("row_id", "doc_id", "text", "runs"), window)
+    windows = _window_rows(rows.join(runs, "row_id").select("row_id", least.alias("doc_id"), "text", "runs"), window)
     earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeats = windows.join(earliest, ["one", "two"]).filter("doc_id > least")
     starts = repeats.groupBy("row_id").agg(F.collect_list("start").alias("starts"))
