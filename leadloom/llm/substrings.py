@@ -16,6 +16,8 @@ from leadloom.llm.shared import Words, as_bytes, chunks, cut, mix, read_document
 WINDOW = 20
 #: Words of an anchor. Each window's anchor is its anchor-length part of least hash, so equal windows have equal anchors.
 ANCHOR = 8
+#: A run of windows is a number: its first window, and in the lowest bits how many they are.
+ANCHOR_BITS = 16
 
 
 def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,11 +52,11 @@ def _anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             for lo, hi in chunks(texts):
                 text, first, n, value = anchors_of(Words(texts[lo:hi]), window, anchor)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_id[lo + text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64))],
-                    names=["row_id", "first", "n", "anchor"],
+                    [pa.array(row_id[lo + text]), pa.array(first << ANCHOR_BITS | n), pa.array((value >> np.uint64(16)).view(np.int64))],
+                    names=["row_id", "run", "anchor"],
                 )
 
-    return rows.select("row_id", "text").mapInArrow(run, "row_id long, first int, n int, anchor long")
+    return rows.select("row_id", "text").mapInArrow(run, "row_id long, run long, anchor long")
 
 
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -65,8 +67,8 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
             texts = as_bytes(batch.column("text"))
             row_id, doc_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "doc_id"))
             runs = batch.column("runs")
-            ends, flat = np.asarray(runs.offsets), runs.values
-            firsts, counts = (np.asarray(flat.field(c)) for c in ("first", "n"))
+            ends, flat = np.asarray(runs.offsets), np.asarray(runs.values)
+            firsts, counts = flat >> ANCHOR_BITS, flat & ((1 << ANCHOR_BITS) - 1)
             for lo, hi in chunks(texts):
                 words = Words(texts[lo:hi])
                 one, first, again = repeats_inside(words, window)
@@ -80,13 +82,13 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
                 at, of = at[new], of[new]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(48)).astype(np.uint16).view(np.int16)),
                         pa.array(doc_id[lo + of]), pa.array(row_id[lo + of]), pa.array((at - first[of]).astype(np.int32)),
                     ],
                     names=["one", "two", "doc_id", "row_id", "start"],
                 )
 
-    return rows.mapInArrow(run, "one long, two int, doc_id long, row_id long, start int")
+    return rows.mapInArrow(run, "one long, two short, doc_id long, row_id long, start int")
 
 
 def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
@@ -102,7 +104,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     or earlier in the same document. All words that repeats cover go; adjacent ones merge into maximal intervals.
 
     Equal windows have equal anchors, so only windows whose anchor is counted twice or more are counted themselves:
-    that leaves out no repeat and spares most of the shuffle. Windows are compared by 96 hash bits. Whole copies of a
+    that leaves out no repeat and spares most of the shuffle. Windows are compared by 80 hash bits. Whole copies of a
     text are found by its digest first. Counts combine map-side; joins on a common passage can be split by Spark.
 
     Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
@@ -120,10 +122,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     anchors = _anchor_rows(rows, window, anchor)
     common = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
-    runs = anchors.join(common, "anchor").groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs = anchors.join(common, "anchor").groupBy("row_id").agg(F.collect_list("run").alias("runs"))
     runs = runs.join(copies, "row_id", "left_anti")
     windows = _window_rows(rows.join(runs, "row_id").select("row_id", least.alias("doc_id"), "text", "runs"), window)
-    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
     repeats = windows.join(earliest, ["one", "two"]).filter("doc_id > least")
     starts = repeats.groupBy("row_id").agg(F.collect_list("start").alias("starts"))
     joined = rows.join(starts, "row_id", "left").join(copies.withColumn("copy", F.lit(True)), "row_id", "left")
