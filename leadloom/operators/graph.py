@@ -9,10 +9,12 @@ from leadloom.plans.lineage import cut
 
 
 def _shuffled(node: Column) -> Column:
-    """A one-to-one scramble of 64-bit numbers, so that the order of nodes has nothing to do with the graph."""
-    node = node.bitwiseXOR(F.shiftleft(node, 13))
-    node = node.bitwiseXOR(F.shiftrightunsigned(node, 7))
-    return node.bitwiseXOR(F.shiftleft(node, 17))
+    """A one-to-one scramble of 64-bit numbers (a Feistel network over hashes), so that their order tells nothing of the graph."""
+    low = F.lit(0xFFFFFFFF)
+    left, right = F.shiftrightunsigned(node, 32), node.bitwiseAND(low)
+    for k in range(3):
+        left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(k)).bitwiseAND(low))
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
