@@ -17,6 +17,17 @@ def half_up(value: Column, digits: int = 2, epsilon: bool = True) -> Column:
     return F.floor(moved * F.lit(factor) + F.lit(0.5)).cast("double") / F.lit(factor)
 
 
+def fixed2(value: Column) -> Column:
+    """Two digits of the exact binary value. On what looks like a tie the exact side decides: all steps below are exact."""
+    value = value.cast("double")
+    n = F.floor(value * 1000 + 0.5)
+    high = F.floor(value * 1048576) / 1048576
+    above = (high * 1000 - n) + (value - high) * 1000 >= 0
+    tie = (n % 10 == 5) & (F.abs(value * 1000 - n) < 1e-6)
+    down = (n - 5) / 1000
+    return F.format_string("%.2f", F.when(tie, F.when(above, down + 0.01).otherwise(down)).otherwise(value))
+
+
 def clean_trim(value: Column) -> Column:
     return F.regexp_replace(value, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.expr import deterministic_uuid, half_up
+from leadloom.functions.expr import deterministic_uuid, fixed2, half_up
 
 # Fixed values.
 FIT_WEIGHTS = {"VERTICAL": 0.30, "REGION": 0.25, "EVENT_TYPE": 0.20, "OFFERING": 0.15, "PROJECT_VALUE": 0.10}
@@ -158,7 +158,7 @@ def with_opportunity_score_v2(df: DataFrame) -> DataFrame:
 def score_explanation(df: DataFrame) -> Column:
     """Explanation of a row of with_opportunity_score_v2, which also has `confidence`."""
     parts = score_contributions(**{n: F.col("effective_confidence" if n == "confidence" else n) for n in SCORE_WEIGHTS})
-    f = lambda c: F.format_string("%.2f", c.cast("double"))
+    f = fixed2
     part = lambda n, label, percent: F.concat(F.lit(f"{label} "), f(F.col(n)), F.lit(f"×{percent}%="), f(parts[n]))
     return F.concat_ws(
         "; ", F.concat(F.lit("Opportunity Score "), f(F.col("total_score")), F.lit(" ("), F.col("band"), F.lit(")")), F.concat(F.lit("rawWeightedScore "), f(F.col("raw_total"))),

@@ -267,3 +267,793 @@ def _(v):
     given = items.filter("id % 90 <> 0 or id % 91 = 1").select("id", F.col("id").alias("matched_to_id"), F.when(F.col("id") == 5, -1).otherwise(F.col("id")).alias("representative_id"))
     given = given.filter("id % 90 <> 0").unionByName(given.filter("id % 91 = 1"))
     return dedup.check_dedup_coverage(items, given)
+
+
+# ---------------------------------------------------------------- classification
+
+def _sql_rules(group: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{r.pattern}', 'i') THEN '{r.id}' END" for r in LATIN_RULES if r.group == group) + "], lambda x: x IS NOT NULL)"
+
+
+DECIDED = SOURCES + ", c0 AS (SELECT doc_id AS id, vertical AS sv, ai AND rights = 'OPEN_DATA' AS ai, " + ", ".join(f"{_sql_rules(g)} AS {g}" for g in ("construction", "horeca", "opportunity", "advertisement", "irrelevance")) + """ FROM documents JOIN sources ON source_id = source),
+c1 AS (SELECT *, len(construction) * 2 + CASE WHEN sv = 'CONSTRUCTION' THEN 1 ELSE 0 END AS cs, len(horeca) * 2 + CASE WHEN sv = 'HORECA' THEN 1 ELSE 0 END AS hs FROM c0),
+c2 AS (SELECT *, CASE WHEN cs = hs THEN 'OTHER' WHEN cs > hs THEN 'CONSTRUCTION' ELSE 'HORECA' END AS v,
+ CASE WHEN NOT ai THEN 0 WHEN len(advertisement) >= 2 OR list_contains(advertisement, 'advertisement.explicit') THEN 1 WHEN len(irrelevance) > 0 THEN 2 WHEN cs = hs THEN 3 WHEN len(opportunity) = 0 THEN 4 ELSE 5 END AS k FROM c1),
+c3 AS (SELECT *, CASE WHEN k = 0 THEN NULL WHEN k = 2 THEN 'OTHER' ELSE v END AS vertical,
+ CASE WHEN k = 0 THEN 100 WHEN k = 2 AND v <> 'OTHER' THEN 95 WHEN v = 'OTHER' THEN CASE WHEN cs = 0 AND hs = 0 AND sv = 'OTHER' THEN 95 ELSE 40 END ELSE least(100, 60 + abs(cs - hs) * 5 + CASE WHEN sv = v THEN 10 ELSE 0 END) END AS confidence,
+ CASE WHEN k = 5 THEN least(100, 50 + least(25, 10 * len(opportunity)) + least(15, 5 * CASE WHEN v = 'CONSTRUCTION' THEN len(construction) ELSE len(horeca) END) + CASE WHEN sv = v THEN 10 ELSE 0 END) ELSE 0 END AS relevance FROM c2),
+decided AS (SELECT *, CASE k WHEN 0 THEN 'PERMISSION_DENIED' WHEN 5 THEN 'AI_ELIGIBLE' ELSE 'IRRELEVANT' END AS outcome,
+ ['NO_AI_PERMITTED_EVIDENCE', 'ADVERTISEMENT', 'EXPLICITLY_IRRELEVANT', 'UNSUPPORTED_OR_AMBIGUOUS_VERTICAL', 'NO_OPPORTUNITY_CUE', 'RELEVANT_OPPORTUNITY'][k + 1] AS reason_code,
+ CASE WHEN vertical = 'CONSTRUCTION' THEN CASE WHEN list_has_any(opportunity, ['opportunity.procurement', 'opportunity.tender']) THEN 'CONSTRUCTION_TENDER' ELSE 'CONSTRUCTION_PROJECT' END
+  WHEN vertical = 'HORECA' THEN CASE WHEN list_has_any(opportunity, ['opportunity.procurement', 'opportunity.tender']) THEN 'HORECA_PROCUREMENT' ELSE 'HORECA_OPENING' END WHEN vertical = 'OTHER' THEN 'OTHER' END AS category FROM c3)"""
+
+
+def _decided(v: Views) -> DataFrame:
+    ai = ingest.ai_permitted(F.col("enabled"), F.col("ai_allowed"), F.col("rights"))
+    clusters = v.items.select(F.col("id").alias("representative_id"), F.when(ai, F.col("id")).alias("selected_id"), F.lit(None).cast("string").alias("title"), "text", "verticals")
+    return classify.classify_clusters(clusters, LATIN_RULES)
+
+
+@query("cluster_evidence", f"WITH RECURSIVE {ASSIGNED} SELECT rep AS representative_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM assigned GROUP BY rep")
+def _(v):
+    out = classify.cluster_evidence(dedup.dedup_assignments(v.items, near=False), v.items)
+    return out.select("representative_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda e: e["id"].cast("string")), ",").alias("ids"))
+
+
+@query("select_evidence", f"WITH RECURSIVE {SOURCES}, {ASSIGNED} SELECT rep AS representative_id, coalesce(min(a.id) FILTER (ai AND a.id = rep), min(a.id) FILTER (ai)) AS selected_id FROM assigned a JOIN raw ON raw.id = a.id JOIN sources s ON s.source_id = raw.source_id GROUP BY rep")
+def _(v):
+    members = dedup.dedup_assignments(v.items, near=False).select("id", "representative_id").join(v.items.select("id", "observed_at", F.col("ai_allowed").alias("ai")), "id")
+    return classify.select_evidence(members)
+
+
+@query("match_rules", f"SELECT doc_id, array_to_string({_sql_rules('opportunity')}, ',') AS rules FROM documents")
+def _(v):
+    return v.table("documents").select("doc_id", F.array_join(classify.match_rules(F.col("text"), [r for r in LATIN_RULES if r.group == "opportunity"]), ",").alias("rules"))
+
+
+@query("vertical_scores", f"WITH {DECIDED} SELECT id AS representative_id, CASE WHEN k = 0 THEN 0 ELSE cs END AS construction_score, CASE WHEN k = 0 THEN 0 ELSE hs END AS horeca_score FROM decided")
+def _(v):
+    return _decided(v).select("representative_id", "construction_score", "horeca_score")
+
+
+@query("classification_confidence", f"WITH {DECIDED} SELECT id AS representative_id, vertical, confidence AS classification_confidence FROM decided")
+def _(v):
+    return _decided(v).select("representative_id", "vertical", "classification_confidence")
+
+
+@query("signal_category", f"WITH {DECIDED} SELECT id AS representative_id, category FROM decided")
+def _(v):
+    return _decided(v).select("representative_id", "category")
+
+
+@query("relevance_score", f"WITH {DECIDED} SELECT id AS representative_id, relevance AS relevance_score FROM decided")
+def _(v):
+    return _decided(v).select("representative_id", "relevance_score")
+
+
+@query("classify_clusters", f"""WITH {DECIDED} SELECT id AS representative_id, outcome, reason_code, vertical, category, confidence AS classification_confidence, relevance AS relevance_score,
+ array_to_string(CASE WHEN k = 0 THEN ['permission.no-ai-permitted-evidence'] ELSE list_concat(list_concat(list_concat(['source.vertical.' || lower(sv)], construction), horeca),
+ CASE k WHEN 1 THEN advertisement WHEN 2 THEN irrelevance WHEN 3 THEN ['vertical.unsupported-or-ambiguous'] WHEN 4 THEN ['relevance.no-opportunity-cue'] ELSE opportunity END) END, ',') AS rules FROM decided""")
+def _(v):
+    return _decided(v).select("representative_id", "outcome", "reason_code", "vertical", "category", "classification_confidence", "relevance_score", F.array_join("matched_rule_ids", ",").alias("rules"))
+
+
+@query("signal_id", f"""WITH {DECIDED}, h AS (SELECT id, sha256('["' || id || '","deduplicator-v1","classifier-v1","taxonomy-v1"]') AS h FROM decided WHERE k = 5)
+SELECT id AS representative_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS signal_id FROM h""")
+def _(v):
+    return _decided(v).filter("outcome = 'AI_ELIGIBLE'").select("representative_id", classify.signal_id(F.col("representative_id"), "classifier-v1").alias("signal_id"))
+
+
+@query("build_signals", f"WITH {DECIDED} SELECT id AS representative_id, vertical, id AS evidence_id FROM decided WHERE k = 5")
+def _(v):
+    members = v.items.select(F.col("id").alias("representative_id"), "id", "source_id", F.col("ai_allowed").alias("ai"))
+    signals, evidence = classify.build_signals(_decided(v), members)
+    return signals.join(evidence.select("signal_id", F.col("id").alias("evidence_id")), "signal_id").select("representative_id", "vertical", "evidence_id")
+
+
+@query("classification_metrics", f"""WITH {DECIDED} SELECT count(*) AS clusters, count(*) FILTER (k = 5) AS eligible, count(*) FILTER (k BETWEEN 1 AND 4) AS irrelevant, count(*) FILTER (k = 0) AS denied,
+ count(*) FILTER (vertical = 'CONSTRUCTION') AS construction, count(*) FILTER (vertical = 'HORECA') AS horeca, count(*) FILTER (vertical = 'OTHER') AS other FROM decided""")
+def _(v):
+    return classify.classification_metrics(_decided(v))
+
+
+@query("check_decisions", f"WITH {DECIDED} SELECT 'LEAKED_EVIDENCE' AS problem, id::VARCHAR AS key FROM decided WHERE k <> 5 UNION ALL SELECT 'NOT_PERMITTED', id::VARCHAR FROM decided WHERE NOT ai")
+def _(v):
+    members = v.items.select(F.col("id").alias("representative_id"), "id", F.col("ai_allowed").alias("ai"))
+    return classify.check_decisions(_decided(v), v.items.select(F.col("id").alias("signal_id"), "id"), members)
+
+
+# ---------------------------------------------------------------- analysis
+
+@query("analysis_candidates", "SELECT o_orderkey AS signal_id FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def _(v):
+    from leadloom.operators.analyze import analysis_candidates
+
+    return analysis_candidates(v.signals, "classifier-v2").select("signal_id")
+
+
+def _requests(v: Views) -> DataFrame:
+    from leadloom.operators.analyze import analysis_requests
+
+    lines = v.table("lineitem").filter("l_orderkey < 3000")
+    evidence = lines.select(
+        F.col("l_orderkey").alias("signal_id"), (F.col("l_orderkey") + F.when(F.col("l_partkey") % 97 == 0, 1).otherwise(0)).alias("of_signal"), F.col("l_linenumber").alias("id"), F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string")).alias("source_id"),
+    )
+    declared = lines.groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.collect_set("l_linenumber").alias("declared"))
+    return analysis_requests(v.signals.filter("signal_id < 3000").select("signal_id", "status").join(declared, "signal_id", "left"), evidence, v.sources)
+
+
+@query("analysis_requests", """WITH e AS (SELECT l_orderkey AS s, count(*) AS n, count(DISTINCT (l_linenumber, l_suppkey % 20)) AS pairs, count(*) FILTER (l_partkey % 97 = 0) AS outside, count(*) FILTER (l_suppkey % 10 = 9) AS refused FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1)
+SELECT o_orderkey AS signal_id, coalesce(n, 0) AS evidence_count, CASE WHEN o_orderstatus = 'P' THEN 'SIGNAL_NOT_ANALYZABLE' WHEN coalesce(n, 0) = 0 THEN 'NO_EVIDENCE' WHEN pairs < n THEN 'DUPLICATE_EVIDENCE' WHEN outside > 0 THEN 'EVIDENCE_OUTSIDE_SIGNAL' WHEN refused > 0 THEN 'AI_PROCESSING_NOT_PERMITTED' END AS error
+FROM orders LEFT JOIN e ON s = o_orderkey WHERE o_orderkey < 3000""")
+def _(v):
+    return _requests(v).select("signal_id", "evidence_count", "error")
+
+
+@query("skip_existing_analyses", "SELECT o_orderkey AS signal_id FROM orders WHERE o_orderkey % 3 <> 0")
+def _(v):
+    from leadloom.operators.analyze import ANALYSIS_IDENTITY, skip_existing_analyses
+
+    rows = v.signals.select("signal_id", *[F.lit("x").alias(c) for c in ANALYSIS_IDENTITY[1:]])
+    return skip_existing_analyses(rows, rows.filter("signal_id % 3 = 0")).select("signal_id")
+
+
+def _template(v: Views) -> DataFrame:
+    from leadloom.operators.analyze import template_analysis
+
+    one = F.struct(F.col("id").cast("string").alias("id"), "source_id", F.lit(None).cast("string").alias("title"), "text", F.array(F.lit("Lang"), F.lit("lang"), F.col("source_id")).alias("entities"))
+    rows = v.items.select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("analysis_id"), F.col("id").cast("string").alias("signal_id"), F.lit("C").alias("category"), F.lit("OTHER").alias("vertical"),
+                          (F.col("id") % 101).alias("relevance_score"), (F.col("id") % 97).alias("classification_confidence"), F.array(one).alias("evidence"))
+    return template_analysis(rows)
+
+
+@query("template_analysis", r"""SELECT 'a' || doc_id AS analysis_id, floor((doc_id % 101 + doc_id % 97) / 2 + 0.5)::DOUBLE AS business_impact, (doc_id % 97)::DOUBLE AS urgency, (doc_id % 97) / 100 AS confidence,
+ 'fact-' || substr(sha256('["a' || doc_id || '","' || doc_id || '","' || source || '"]'), 1, 32) AS fact_id, 'Lang,' || source AS entities, md5(trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 4000))) AS statement FROM documents""")
+def _(v):
+    return _template(v).select("analysis_id", "business_impact", "urgency", "confidence", F.col("facts")[0]["id"].alias("fact_id"), F.array_join("entities", ",").alias("entities"), F.md5(F.col("facts")[0]["statement"]).alias("statement"))
+
+
+@query("validate_responses", "SELECT 'a' || doc_id AS analysis_id, CASE WHEN doc_id % 5 = 1 THEN 'SCHEMA' WHEN doc_id % 5 = 2 THEN 'IDENTITY' WHEN doc_id % 5 = 3 THEN 'PROVENANCE' WHEN doc_id % 5 = 4 THEN 'DOMAIN' END AS reason FROM documents")
+def _(v):
+    from leadloom.operators.analyze import validate_responses
+
+    i = F.col("id") % 5
+    t = _template(v).withColumn("id", F.col("signal_id").cast("long")).withColumn("source", F.col("source_ids")[0])
+    facts = F.array(F.struct(F.lit("f1").alias("id"), F.array("source").alias("sourceIds"), F.lit("A statement").alias("statement")))
+    body = F.to_json(F.struct(
+        "analysis_id", *[c.alias(n) for n, c in {
+            "analysisId": F.col("analysis_id"), "signalId": F.when(i == 2, "other").otherwise(F.col("signal_id")), "correlationId": F.lit("c"), "provider": F.lit("p"), "model": F.lit("m"), "status": F.lit("SUCCEEDED"), "headline": F.when(i == 1, " ").otherwise("h"),
+            "summary": F.lit("s"), "whyImportant": F.lit("w"), "eventType": F.lit("e"), "confidence": F.lit(0.5), "businessImpact": F.lit(50.0), "urgency": F.lit(50.0), "actionability": F.lit(75.0), "entities": F.array(F.lit("x")), "risks": F.array(F.lit("r")),
+            "sourceIds": F.array("source"), "facts": facts, "inferences": F.array(F.struct(F.lit("i1").alias("id"), F.array(F.when(i == 4, "f9").otherwise("f1")).alias("basisFactIds"), F.lit("x").alias("statement"))), "candidateActions": F.col("candidate_actions"),
+        }.items()]).dropFields("analysis_id"))
+    requests = t.select("analysis_id", "signal_id", F.lit("c").alias("correlation_id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.array(F.when(i == 3, "none").otherwise(F.col("source"))).alias("allowed_source_ids"))
+    return validate_responses(t.select("analysis_id", body.alias("response")), requests).select("analysis_id", "reason")
+
+
+@query("analyze_with", "SELECT 'a' || doc_id AS analysis_id, CASE WHEN length(text) > 20000 THEN 'AI_INPUT_TOO_LARGE' END AS failure_code, CASE WHEN length(text) <= 20000 THEN length(text)::VARCHAR END AS response FROM documents")
+def _(v):
+    from leadloom.operators.analyze import analyze_with
+
+    rows = v.table("documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("analysis_id"), F.col("text").alias("input"))
+    return analyze_with(rows, lambda row: str(len(row["input"])), 20_000).select("analysis_id", "failure_code", "response")
+
+
+@query("identity_drift", "SELECT doc_id AS analysis_id, 'FAILED' AS status, 'AI_INVALID_RESPONSE' AS reason FROM documents WHERE doc_id % 6 = 0")
+def _(v):
+    from leadloom.operators.analyze import identity_drift
+
+    asked = v.table("documents").select(F.col("doc_id").alias("analysis_id"), "source", "lang")
+    return identity_drift(asked.withColumn("source", F.when(F.col("analysis_id") % 6 == 0, "x").otherwise(F.col("source"))), asked, ["source", "lang"])
+
+
+@query("analysis_summary", """SELECT count(*) AS candidates, count(*) FILTER (doc_id % 4 IN (0, 1)) AS created, count(*) FILTER (doc_id % 4 = 2) AS existing, count(*) FILTER (doc_id % 4 = 1) AS failed, count(*) FILTER (doc_id % 4 = 3) AS permission_rejected,
+ count(*) FILTER (doc_id % 4 IN (0, 1)) AS provider_calls, count(*) FILTER (doc_id % 4 = 0) AS succeeded FROM documents""")
+def _(v):
+    from leadloom.operators.analyze import analysis_summary
+
+    names = F.array(*[F.lit(x) for x in ("SUCCEEDED", "FAILED", "EXISTING", "REFUSED")])
+    return analysis_summary(v.table("documents").select(F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("status")))
+
+
+# ---------------------------------------------------------------- scoring
+
+_R = lambda x, k=2: f"floor((({x}) + 2.220446049250313e-16) * 1e{k} + 0.5) / 1e{k}"
+FACTORS = f"""f0 AS (SELECT o_orderkey AS id, (o_orderkey % 101)::DOUBLE AS a, (o_orderkey * 7 % 101)::DOUBLE AS i, ((CAST(round(o_totalprice * 100) AS BIGINT) % 10001) / 100.0)::DOUBLE AS f, (o_custkey % 101)::DOUBLE AS c, (o_custkey * 3 % 101)::DOUBLE AS r, (o_orderkey * 13 % 101)::DOUBLE AS u FROM orders),
+f1 AS (SELECT *, least(c, r) AS e FROM f0),
+f2 AS (SELECT *, {_R('a * 0.1', 4)} AS pa, {_R('i * 0.35', 4)} AS pi, {_R('f * 0.25', 4)} AS pf, {_R('e * 0.1', 4)} AS pe, {_R('c * 0.1', 4)} AS pc, {_R('u * 0.2', 4)} AS pu FROM f1),
+f3 AS (SELECT *, {_R('0.0 + pa + pi + pf + pc + pu')} AS v1, {_R('0.0 + pa + pi + pf + pe + pu')} AS raw_total, CASE WHEN e < 40 THEN 54 WHEN e < 60 THEN 69 WHEN e < 80 THEN 84 ELSE 100 END AS top, CASE WHEN e < 40 THEN 'LOW' WHEN e < 60 THEN 'MEDIUM' WHEN e < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS gb FROM f2),
+f4 AS (SELECT *, {_R('least(raw_total, top)')} AS total FROM f3)"""
+_BAND = lambda x: f"CASE WHEN {x} >= 85 THEN 'CRITICAL' WHEN {x} >= 70 THEN 'HIGH' WHEN {x} >= 55 THEN 'MEDIUM' WHEN {x} >= 40 THEN 'LOW' ELSE 'IGNORE' END"
+
+
+def _factors(v: Views) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = lambda x: x.cast("double")
+    return v.table("orders").select(
+        k.alias("id"), d(k % 101).alias("actionability"), d(k * 7 % 101).alias("business_impact"), ((F.round(F.col("o_totalprice") * 100).cast("long") % 10001) / 100.0).alias("company_fit"), d(c % 101).alias("confidence"), d(c * 3 % 101).alias("reliability"), d(k * 13 % 101).alias("urgency"),
+    )
+
+
+@query("opportunity_score_v1", f"WITH {FACTORS} SELECT id, v1 AS total_score FROM f4")
+def _(v):
+    return _factors(v).select("id", scoring.opportunity_score_v1(*[F.col(x) for x in ("actionability", "business_impact", "company_fit", "confidence", "urgency")]).alias("total_score"))
+
+
+@query("opportunity_band", f"WITH {FACTORS} SELECT id, {_BAND('v1')} AS band FROM f4")
+def _(v):
+    total = scoring.opportunity_score_v1(*[F.col(x) for x in ("actionability", "business_impact", "company_fit", "confidence", "urgency")])
+    return _factors(v).select("id", scoring.opportunity_band(total).alias("band"))
+
+
+@query("confidence_guardrail_v2", f"WITH {FACTORS} SELECT id, e AS effective_confidence, gb AS guardrail_band, raw_total, total AS total_score, {_BAND('total')} AS band, total < raw_total AS guardrail_applied FROM f4")
+def _(v):
+    return scoring.with_opportunity_score_v2(_factors(v)).select("id", "effective_confidence", "guardrail_band", "raw_total", "total_score", "band", "guardrail_applied")
+
+
+_F2 = lambda x: f"printf('%.2f', ({x})::DOUBLE)"
+
+
+@query("score_explanation", f"""WITH {FACTORS} SELECT id, md5('Opportunity Score ' || {_F2('total')} || ' (' || {_BAND('total')} || '); rawWeightedScore ' || {_F2('raw_total')} || '; businessImpact ' || {_F2('i')} || '×35%=' || {_F2('pi')} || '; companyFit ' || {_F2('f')} || '×25%=' || {_F2('pf')} || '; urgency ' || {_F2('u')} || '×20%=' || {_F2('pu')}
+ || '; effectiveConfidence min(analysisConfidence ' || {_F2('c')} || ', evidenceReliability ' || {_F2('r')} || ')=' || {_F2('e')} || '×10%=' || {_F2('pe')} || '; actionability ' || {_F2('a')} || '×10%=' || {_F2('pa')} || CASE WHEN total < raw_total THEN '; confidenceGuardrail capped priority at ' || gb || '/' || {_F2('top')} ELSE '; confidenceGuardrail not applied' END) AS digest
+FROM f4 WHERE id % 2 = 0""")
+def _(v):
+    rows = scoring.with_opportunity_score_v2(_factors(v).filter("id % 2 = 0"))
+    return rows.select("id", F.md5(scoring.score_explanation(rows)).alias("digest"))
+
+
+@query("eligible_pairs", "WITH p AS (SELECT n_nationkey, ['CONSTRUCTION', 'HORECA', 'OTHER'][n_nationkey % 3 + 1] AS vertical FROM nation), a AS (SELECT o_orderkey, ['CONSTRUCTION', 'HORECA', 'OTHER'][o_orderkey % 3 + 1] AS vertical FROM orders WHERE o_orderstatus = 'F') SELECT n_nationkey AS profile_id, count(*) AS pairs FROM a JOIN p USING (vertical) WHERE vertical <> 'OTHER' GROUP BY 1")
+def _(v):
+    vertical = lambda k: F.element_at(F.array(*[F.lit(x) for x in ("CONSTRUCTION", "HORECA", "OTHER")]), (F.col(k) % 3 + 1).cast("int"))
+    analyses = v.table("orders").select("o_orderkey", vertical("o_orderkey").alias("vertical"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("FAILED").alias("status"))
+    profiles = v.table("nation").select(F.col("n_nationkey").alias("profile_id"), F.array(vertical("n_nationkey")).alias("verticals"))
+    return scoring.eligible_pairs(analyses, profiles).groupBy("profile_id").agg(F.count("*").alias("pairs"))
+
+
+@query("normalize_terms", "SELECT p_partkey, p_name || ',' || lower(p_type) || ',' || lower(replace(p_brand, '#', ' ')) AS terms FROM part")
+def _(v):
+    return v.table("part").select("p_partkey", F.array_join(scoring.normalize_terms(F.array("p_name", "p_type", "p_brand", F.upper("p_name"), F.lit(" - "))), ",").alias("terms"))
+
+
+_MATCH = """CASE WHEN length(c) < 3 OR length(w) < 3 THEN c = w ELSE contains(c, w) OR contains(w, c) OR len(list_filter(string_split(w, ' '), lambda y: len(list_filter(string_split(c, ' '), lambda x: least(5, length(x), length(y)) >= 3 AND left(x, least(5, length(x), length(y))::INT) = left(y, least(5, length(x), length(y))::INT))) = 0)) = 0 END"""
+
+
+@query("matches_term", f"WITH t AS (SELECT p_partkey, p_name AS c, lower(m) AS w FROM part, (SELECT DISTINCT left(p_name, 6) AS m FROM part) WHERE p_partkey < 300) SELECT p_partkey, w, {_MATCH} AS hit FROM t")
+def _(v):
+    part = v.table("part")
+    wanted = part.select(F.left("p_name", F.lit(6)).alias("w")).distinct()
+    return part.filter("p_partkey < 300").join(F.broadcast(wanted), F.col("p_partkey") >= 0).select("p_partkey", "w", scoring.matches_term(F.col("p_name"), F.lower("w")).alias("hit"))  # a few dozen stems
+
+
+FIT = """p AS (SELECT p_partkey AS id, ['CONSTRUCTION', 'HORECA', 'OTHER'][p_partkey % 3 + 1] AS v, p_partkey % 4 AS g, p_partkey % 5 AS e, p_partkey % 2 = 0 AS t, p_retailprice AS x, p_partkey % 6 AS q, p_name FROM part),
+fit AS (SELECT *, CASE WHEN v = 'CONSTRUCTION' THEN 100.0 ELSE 0 END AS fv, CASE WHEN g = 0 THEN 50.0 WHEN g = 1 THEN 100 ELSE 0 END AS fr, CASE WHEN e = 0 THEN 50.0 WHEN e = 1 THEN 100 ELSE 25 END AS fe, CASE WHEN NOT t THEN 50.0 WHEN contains(p_name, 'ring') THEN 100 ELSE 25 END AS fo,
+ CASE WHEN q = 0 THEN 50.0 WHEN q = 1 THEN 0 WHEN x BETWEEN 950 AND 1500 THEN 100 ELSE 0 END AS fp, CASE WHEN e = 4 THEN 'EVENT_IGNORED' WHEN t AND contains(p_name, 'bolt') THEN 'EXCLUDED_TERM_MATCH' END AS exclusion FROM p)"""
+
+
+def _fit(v: Views) -> DataFrame:
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    lit = lambda *x: F.array(*[F.lit(y) for y in x])
+    rows = v.table("part").select(
+        k.alias("id"), F.element_at(lit("CONSTRUCTION", "HORECA", "OTHER"), (k % 3 + 1).cast("int")).alias("v"), F.when(k % 4 == 0, none).when(k % 4 == 1, lit("Moscow Region")).otherwise(lit("Kazan")).alias("regions"),
+        F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, "Tender!").when(k % 5 == 4, "Spam").otherwise("Opening").alias("event"), F.when(k % 2 == 0, F.array("p_name")).otherwise(none).alias("terms"),
+        F.when(k % 6 != 0, F.col("p_retailprice")).alias("amount"), F.when(k % 6 == 1, "USD").otherwise("eur").alias("currency"),
+    )
+    rows = rows.withColumn("exclusion", scoring.fit_exclusions(F.col("event"), lit("spam"), F.col("terms"), lit("bolt")))
+    criteria = [
+        scoring.fit_vertical(F.col("v"), lit("CONSTRUCTION")), scoring.fit_region(F.col("regions"), lit("moscow")), scoring.fit_event_type(F.col("event"), lit("tender")),
+        scoring.fit_offering(F.col("terms"), lit("ring"), none, none), scoring.fit_project_value(F.col("amount"), F.col("currency"), F.lit(950.0), F.lit(1500.0), F.lit("EUR")),
+    ]
+    out, total = scoring.company_fit(criteria, F.col("exclusion"))
+    return rows.withColumns({"criteria": out, "fit": total})
+
+
+for _i, (_n, _c) in enumerate((("fit_vertical", "fv"), ("fit_region", "fr"), ("fit_event_type", "fe"), ("fit_offering", "fo"), ("fit_project_value", "fp"))):
+    query(_n, f"WITH {FIT} SELECT id, {_c} AS score FROM fit")(lambda v, i=_i: _fit(v).select("id", F.col("criteria")[i]["score"].alias("score")))
+
+
+@query("fit_exclusions", f"WITH {FIT} SELECT id, exclusion FROM fit")
+def _(v):
+    return _fit(v).select("id", "exclusion")
+
+
+@query("company_fit", f"WITH {FIT} SELECT id, CASE WHEN exclusion IS NULL THEN {_R('fv * 0.3 + fr * 0.25 + fe * 0.2 + fo * 0.15 + fp * 0.1')} ELSE 0.0 END AS fit FROM fit")
+def _(v):
+    return _fit(v).select("id", "fit")
+
+
+@query("evidence_reliability", f"WITH {SOURCES}, f AS (SELECT l_orderkey AS a, l_linenumber AS f, max(reliability) AS best FROM lineitem JOIN sources ON n IN (l_suppkey % 20, l_partkey % 20) GROUP BY 1, 2) SELECT a AS analysis_id, min(best) AS reliability, NULL AS error FROM f GROUP BY 1")
+def _(v):
+    name = lambda c: F.concat(F.lit("src"), (F.col(c) % 20).cast("string"))
+    facts = v.table("lineitem").select(F.col("l_orderkey").alias("analysis_id"), F.col("l_linenumber").alias("fact_id"), F.array(name("l_suppkey"), name("l_partkey")).alias("source_ids"))
+    return scoring.evidence_reliability(facts, v.sources)
+
+
+def _scored(v: Views) -> DataFrame:
+    return _fit(v).select(F.col("id").alias("signal_id"), F.col("id").alias("analysis_id"), (F.col("id") % 10).alias("profile_id"), F.lit(1).alias("profile_revision"), "exclusion", "fit")
+
+
+@query("build_recommendations", f"""WITH {FIT}, h AS (SELECT id, sha256('["pipeline","recommendation","' || id || '","' || id || '","' || (id % 10) || '","1","opportunity-score-v2"]') AS h FROM fit WHERE exclusion IS NULL)
+SELECT id AS signal_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
+def _(v):
+    return scoring.build_recommendations(_scored(v)).select("signal_id", "id")
+
+
+@query("scoring_summary", f"WITH {FIT} SELECT count(*) AS eligible_pairs, count(*) FILTER (exclusion IS NULL) AS scored, count(*) FILTER (exclusion IS NOT NULL) AS excluded, count(DISTINCT id % 10) AS profiles FROM fit")
+def _(v):
+    return scoring.scoring_summary(_scored(v))
+
+
+# ---------------------------------------------------------------- profiles and reads
+
+PROFILES = """profiles AS (SELECT c_custkey AS id, c_custkey AS user_id, revision, c_acctbal AS lo, 5000.0 + revision * 100 AS hi, c_mktsegment AS seg, CASE WHEN c_custkey % 5 <> 0 THEN 'EUR' END AS currency FROM customer, (SELECT unnest([1, 2]) AS revision))"""
+_TOP = "ORDER BY total_score DESC, created_at DESC, id"
+
+
+@query("latest_profiles", f"WITH {PROFILES} SELECT id, user_id, revision FROM profiles WHERE revision = 2")
+def _(v):
+    return serving.latest_profiles(v.profiles).select("id", "user_id", "revision")
+
+
+@query("apply_profile_patches", """WITH p AS (SELECT c_custkey AS u, c_acctbal AS a, unnest([1, 2]) AS seq FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0)
+SELECT u AS user_id, 2 + seq AS revision, CASE WHEN seq = 1 THEN 'USD' WHEN u % 2 = 0 THEN 'GBP' ELSE 'USD' END AS currency, CASE WHEN seq = 1 THEN a ELSE 7.0 END AS project_value_minimum FROM p""")
+def _(v):
+    ids = v.table("customer").select(F.col("c_custkey").alias("user_id"))
+    users = ids.withColumn("status", F.when(F.col("user_id") % 4 == 0, "BLOCKED").otherwise("ACTIVE"))
+    patches = ids.filter("user_id % 3 = 0").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    patches = patches.withColumns({"currency": F.when(F.col("seq") == 1, "USD").when(F.col("user_id") % 2 == 0, "GBP"), "project_value_minimum": F.when(F.col("seq") == 2, 7.0)})
+    return serving.apply_profile_patches(v.profiles, patches, users, ["currency", "project_value_minimum"]).select("user_id", "revision", "currency", "project_value_minimum")
+
+
+@query("profile_conflicts", f"""WITH {PROFILES} SELECT id, revision, 'KEYWORDS_EXCLUDED' AS problem FROM profiles WHERE id % 7 = 0 UNION ALL SELECT id, revision, 'EVENTS_IGNORED' FROM profiles WHERE id % 11 = 0
+UNION ALL SELECT id, revision, 'VALUE_RANGE' FROM profiles WHERE lo > hi OR lo < 0 UNION ALL SELECT id, revision, 'CURRENCY' FROM profiles WHERE currency IS NULL""")
+def _(v):
+    return serving.profile_conflicts(v.profiles)
+
+
+@query("list_opportunities", f"WITH {RECS} SELECT user_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id {_TOP}) AS rank FROM recs WHERE total_score >= 40 AND status = 'CANDIDATE' AND created_at BETWEEN '1996-01-01' AND '2000-01-01') WHERE rank <= 3")
+def _(v):
+    return serving.list_opportunities(v.recommendations, 3, minimum_score=40, status="CANDIDATE", created_from="1996-01-01", created_to="2000-01-01").select("user_id", "id", "rank")
+
+
+@query("page_after", f"WITH {RECS} SELECT id, total_score FROM recs WHERE total_score < 50 OR (total_score = 50 AND (created_at < '1998-01-01' OR (created_at = '1998-01-01' AND id > 100))) {_TOP} LIMIT 50")
+def _(v):
+    import datetime
+
+    return serving.page_after(v.recommendations, {"total_score": 50.0, "created_at": datetime.datetime(1998, 1, 1), "id": 100}, 50).select("id", "total_score")
+
+
+@query("find_opportunity", f"WITH {RECS}, u AS (SELECT min(user_id) AS u, arg_min(signal_id, user_id) AS s FROM recs) SELECT id FROM recs, u WHERE user_id = 899 AND signal_id = 0 ORDER BY revision DESC, created_at DESC, id LIMIT 1")
+def _(v):
+    return serving.find_opportunity(v.recommendations, 899, 0).select("id")
+
+
+_REC_FEED = "events_r AS (SELECT event_id AS id, user_id * 7 % 1500 AS user_id, event_id * 3 % 15000 AS rec, event_type, ts FROM events)"
+
+
+def _rec_feedback(v: Views) -> DataFrame:
+    return v.feedback.withColumns({"recommendation_id": F.col("id") * 3 % 15000})
+
+
+@query("saved_opportunities", f"WITH {RECS} SELECT user_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id {_TOP}) AS rank FROM recs SEMI JOIN (SELECT event_id * 3 % 15000 AS id, event_type FROM events WHERE event_type = 'signup') e USING (id)) WHERE rank <= 5")
+def _(v):
+    saved = _rec_feedback(v).drop("user_id").join(v.recommendations.select(F.col("id").alias("recommendation_id"), "user_id"), "recommendation_id")
+    return serving.saved_opportunities(v.recommendations, saved, 5).select("user_id", "id", "rank")
+
+
+@query("opportunity_sources", "SELECT l_orderkey AS recommendation_id, count(*) AS n, min(p_name) AS first_url FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = p_partkey % 100 GROUP BY 1")
+def _(v):
+    items = v.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("url"), F.lit(None).cast("timestamp").alias("published_at"), (F.col("p_partkey") % 100).alias("source_id"))
+    links = v.table("lineitem").select(F.col("l_orderkey").alias("recommendation_id"), F.col("l_partkey").alias("item_id"))
+    out = serving.opportunity_sources(links, items, v.table("supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name")))
+    return out.select("recommendation_id", F.size("links").cast("long").alias("n"), F.array_min(F.transform("links", lambda x: x["url"])).alias("first_url"))
+
+
+@query("list_sources", f"WITH {SOURCES} SELECT source_id FROM sources WHERE ai AND vertical = 'HORECA'")
+def _(v):
+    return serving.list_sources(v.sources, enabled=True, ai_allowed=True, vertical="HORECA").select("source_id")
+
+
+# ---------------------------------------------------------------- digests
+
+DIGEST = RECS + """, cand AS (SELECT *, date_trunc('week', created_at) AS period_start FROM recs WHERE status IN ('ACTIVE', 'CANDIDATE') AND revision = 2),
+uniq AS (SELECT * FROM (SELECT *, user_id % 50 AS person FROM cand) QUALIFY row_number() OVER (PARTITION BY person, period_start, signal_id % 40 ORDER BY total_score DESC, created_at DESC, id) = 1),
+top5 AS (SELECT *, row_number() OVER (PARTITION BY person, period_start ORDER BY total_score DESC, created_at DESC, id) AS rank FROM uniq QUALIFY rank <= 5),
+cats AS (SELECT person, period_start, category, count(*) AS current FROM uniq GROUP BY ALL),
+trends AS (SELECT a.person, a.period_start, a.category, a.current, coalesce(b.current, 0) AS previous, a.current - coalesce(b.current, 0) AS delta,
+ row_number() OVER (PARTITION BY a.person, a.period_start ORDER BY a.current - coalesce(b.current, 0) DESC, a.current DESC, a.category) AS rank
+ FROM cats a LEFT JOIN cats b ON a.person = b.person AND a.category = b.category AND b.period_start = a.period_start - INTERVAL 7 DAY WHERE a.current > coalesce(b.current, 0) QUALIFY rank <= 5)"""
+
+
+def _candidates(v: Views, kind: str = "WEEKLY") -> DataFrame:
+    """Fifty people and forty signals, so that periods have several rows."""
+    recs = v.recommendations
+    live = recs.select(F.col("id").alias("signal_id"), "category", "created_at", "status")
+    rows = recs.drop("category", "status", "signal_id").withColumn("signal_id", F.col("id"))
+    profiles = v.profiles.filter("revision = 2").select("id", "revision")
+    good = recs.select("analysis_id", F.lit("SUCCEEDED").alias("status"))
+    out = digest.digest_candidates(rows, live, good, profiles, kind)
+    return out.withColumns({"user_id": F.col("user_id") % 50, "signal_id": F.col("signal_id") % 997 % 40})
+
+
+@query("digest_periods", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day_start, date_trunc('week', o_orderdate)::TIMESTAMP AS week_start, date_trunc('week', o_orderdate)::TIMESTAMP + INTERVAL 7 DAY AS week_end, date_trunc('week', o_orderdate)::TIMESTAMP - INTERVAL 7 DAY AS week_before FROM orders")
+def _(v):
+    d, w = digest.digest_periods(F.col("o_orderdate"), "DAILY"), digest.digest_periods(F.col("o_orderdate"), "WEEKLY")
+    return v.table("orders").select("o_orderkey", d[0].alias("day_start"), w[0].alias("week_start"), w[1].alias("week_end"), w[2].alias("week_before"))
+
+
+@query("digest_candidates", f"WITH {DIGEST} SELECT id, period_start::TIMESTAMP AS period_start FROM cand")
+def _(v):
+    return _candidates(v).select("id", "period_start")
+
+
+@query("unique_by_signal", f"WITH {DIGEST} SELECT id, person AS user_id FROM uniq")
+def _(v):
+    return digest.unique_by_signal(_candidates(v)).select("id", "user_id")
+
+
+@query("digest_top5", f"WITH {DIGEST} SELECT id, person AS user_id, rank FROM top5")
+def _(v):
+    return digest.digest_top5(digest.unique_by_signal(_candidates(v))).select("id", "user_id", "rank")
+
+
+@query("weekly_funnel", """WITH a AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events GROUP BY 1), b AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), c AS (SELECT date_trunc('week', ts + INTERVAL 7 DAY) AS w, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1)
+SELECT coalesce(a.w, b.w, c.w)::TIMESTAMP AS period_start, coalesce(a.n, 0) AS processed, coalesce(b.n, 0) AS unique_items, coalesce(c.n, 0) AS relevant FROM a FULL JOIN b ON a.w = b.w FULL JOIN c ON coalesce(a.w, b.w) = c.w""")
+def _(v):
+    e = v.table("events")
+    heads = e.select(F.when(F.col("event_id") % 3 == 0, "REPRESENTATIVE").otherwise("NEAR_TEXT").alias("match_kind"), F.col("ts").alias("created_at"))
+    signals = e.filter("event_id % 10 = 0").select((F.col("ts") + F.make_dt_interval(F.lit(7))).alias("created_at"))
+    return digest.weekly_funnel(e.select(F.col("ts").alias("received_at")), heads, signals)
+
+
+@query("category_trends", f"WITH {DIGEST} SELECT person AS user_id, period_start::TIMESTAMP AS period_start, category, current, previous, delta, rank FROM trends")
+def _(v):
+    return digest.category_trends(digest.unique_by_signal(_candidates(v)))
+
+
+@query("build_digests", f"WITH {DIGEST} SELECT person AS user_id, 'WEEKLY' AS kind, period_start::TIMESTAMP AS period_start, count(*) AS opportunities, count(*) FILTER (band IN ('HIGH', 'CRITICAL')) AS high_priority FROM uniq GROUP BY ALL")
+def _(v):
+    return digest.build_digests(_candidates(v))["digests"].select("user_id", "kind", "period_start", "opportunities", "high_priority")
+
+
+@query("check_digests", f"WITH {DIGEST} SELECT 'HIGH_PRIORITY' AS problem, person AS user_id, period_start::TIMESTAMP AS period_start FROM uniq WHERE person = 7 GROUP BY ALL")
+def _(v):
+    made = digest.build_digests(_candidates(v))
+    broken = made["digests"].withColumn("high_priority", F.when(F.col("user_id") == 7, F.col("opportunities") + 1).otherwise(F.col("high_priority")))
+    return digest.check_digests(broken, made["items"], made["trends"])
+
+
+@query("digest_view", f"WITH {DIGEST} SELECT person AS user_id, period_start::TIMESTAMP AS period_start, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM top5 GROUP BY ALL")
+def _(v):
+    out = digest.digest_view(digest.digest_top5(digest.unique_by_signal(_candidates(v))))
+    return out.select("user_id", "period_start", F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@query("digest_counts", f"WITH {DIGEST}, {FEEDBACK} SELECT 'digests' AS what, 'WEEKLY' AS name, count(DISTINCT (person, period_start)) AS n FROM uniq UNION ALL SELECT 'deliveries', status, count(*) FROM dl GROUP BY status")
+def _(v):
+    return digest.digest_counts(digest.build_digests(_candidates(v))["digests"], v.deliveries)
+
+
+# ---------------------------------------------------------------- feedback and deliveries
+
+@query("record_feedback", f"WITH {FEEDBACK} SELECT id FROM feedback")
+def _(v):
+    return feedback.record_feedback(v.feedback)[0].select("id")
+
+
+@query("feedback_conflicts", f"WITH {FEEDBACK} SELECT id FROM f2 WHERE mood AND k > 1")
+def _(v):
+    return feedback.record_feedback(v.feedback)[1].select("id")
+
+
+@query("feedback_target", f"WITH {RECS}, f AS (SELECT event_id AS feedback_id, user_id, event_id % 997 AS signal_id FROM events) SELECT feedback_id, f.signal_id, r.id AS recommendation_id FROM f JOIN recs r ON r.user_id % 150 = f.user_id AND r.signal_id = f.signal_id QUALIFY row_number() OVER (PARTITION BY feedback_id ORDER BY revision DESC, created_at DESC, r.id) = 1")
+def _(v):
+    given = v.table("events").select(F.col("event_id").alias("feedback_id"), "user_id", (F.col("event_id") % 997).alias("signal_id"))
+    return feedback.feedback_target(given, v.recommendations.withColumn("user_id", F.col("user_id") % 150)).select("feedback_id", "signal_id", "recommendation_id")
+
+
+_KEPT = lambda v: feedback.record_feedback(v.feedback)[0]
+
+
+@query("action_counts", f"WITH {FEEDBACK} SELECT user_id, " + ", ".join(f"count(*) FILTER (action = '{a}') AS {a}" for a in feedback.ACTIONS) + " FROM feedback GROUP BY user_id")
+def _(v):
+    return feedback.action_counts(_KEPT(v))
+
+
+@query("feedback_attribution", f"WITH {FEEDBACK} SELECT user_id, count(*) FILTER (delivery_id IS NULL) AS direct, count(*) FILTER (delivery_id IS NOT NULL) AS telegram FROM feedback GROUP BY user_id")
+def _(v):
+    return feedback.feedback_attribution(_KEPT(v))
+
+
+_PERCENT = lambda a, b: f"floor({a}::DOUBLE / {b} * 100 * 100.0 + 0.5) / 100.0"
+COVER = FEEDBACK + f""", sent AS (SELECT DISTINCT user_id, rec FROM dl WHERE status = 'SENT'), fu AS (SELECT DISTINCT user_id, rec FROM feedback),
+cover AS (SELECT user_id, count(*) AS sent, count(*) FILTER (fu.rec IS NOT NULL) AS answered, {_PERCENT('count(*) FILTER (fu.rec IS NOT NULL)', 'count(*)')} AS coverage FROM sent LEFT JOIN fu USING (user_id, rec) GROUP BY user_id)"""
+
+
+@query("feedback_coverage", f"WITH {COVER} SELECT * FROM cover")
+def _(v):
+    return feedback.feedback_coverage(v.deliveries, _KEPT(v))
+
+
+_GOOD, _BAD = "count(*) FILTER (action = 'USEFUL')", "count(*) FILTER (action = 'NOT_USEFUL')"
+
+
+@query("positive_sentiment", f"WITH {FEEDBACK} SELECT user_id, {_GOOD} AS useful, {_BAD} AS not_useful, CASE WHEN {_GOOD} + {_BAD} > 0 THEN {_PERCENT(_GOOD, f'({_GOOD} + {_BAD})')} END AS positive FROM feedback GROUP BY user_id")
+def _(v):
+    return feedback.positive_sentiment(_KEPT(v))
+
+
+@query("high_score_rejections", f"WITH {RECS}, f AS (SELECT event_id AS feedback_id, user_id, event_id * 3 % 15000 AS rec, ts FROM events WHERE event_type = 'error') SELECT feedback_id, f.user_id, total_score, row_number() OVER (PARTITION BY f.user_id ORDER BY total_score DESC, ts DESC, feedback_id) AS rank FROM f JOIN recs ON recs.id = rec WHERE band IN ('HIGH', 'CRITICAL') QUALIFY rank <= 10")
+def _(v):
+    return feedback.high_score_rejections(_rec_feedback(v), v.recommendations).select("feedback_id", "user_id", "total_score", "rank")
+
+
+@query("feedback_summary", f"""WITH {COVER}, a AS (SELECT user_id, count(*) AS total, count(*) FILTER (delivery_id IS NULL) AS direct, CASE WHEN {_GOOD} + {_BAD} > 0 THEN {_PERCENT(_GOOD, f'({_GOOD} + {_BAD})')} END AS positive FROM feedback GROUP BY user_id)
+SELECT user_id, coalesce(total, 0) AS total, coalesce(direct, 0) AS direct, positive, coalesce(sent, 0) AS sent, coalesce(answered, 0) AS answered, coalesce(coverage, 0) AS coverage, true AS consistent FROM a FULL JOIN cover USING (user_id)""")
+def _(v):
+    return feedback.feedback_summary(_KEPT(v), v.deliveries).select("user_id", "total", "direct", "positive", "sent", "answered", "coverage", "consistent")
+
+
+@query("feedback_context_audit", f"WITH {FEEDBACK} SELECT id FROM events_f WHERE delivery_id IS NOT NULL AND delivery_id % 50 = 0")
+def _(v):
+    return feedback.feedback_context_audit(v.feedback, v.deliveries).select("id")
+
+
+DELIVERED = FEEDBACK + """, dr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY (status IN ('SENT', 'FAILED')) DESC, ts, id) AS k, first_value(status) OVER (PARTITION BY key ORDER BY (status IN ('SENT', 'FAILED')) DESC, ts, id) AS f FROM dl)"""
+
+
+@query("delivery_outcomes", f"WITH {DELIVERED} SELECT id, status FROM dr WHERE k = 1")
+def _(v):
+    return feedback.delivery_outcomes(v.deliveries)[0].select("id", "status")
+
+
+@query("delivery_conflicts", f"WITH {DELIVERED} SELECT id, status FROM dr WHERE k > 1 AND status IN ('SENT', 'FAILED') AND status <> f")
+def _(v):
+    changed = v.deliveries.withColumn("status", F.when((F.col("id") % 4000 == 1) & (F.col("id") > 4000), "FAILED").otherwise(F.col("status")))
+    return feedback.delivery_outcomes(changed)[1].filter("id % 4000 <> 1").select("id", "status")
+
+
+@query("new_deliveries", f"WITH {RECS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id {_TOP}) AS rank FROM recs WHERE status = 'CANDIDATE') SELECT 'NEW:' || user_id || ':' || id AS idempotency_key, rank FROM r WHERE rank <= 5 AND id % 3 <> 0")
+def _(v):
+    top = serving.list_opportunities(v.recommendations, 5, status="CANDIDATE")
+    held = v.recommendations.filter("id % 3 = 0").select(F.concat_ws(":", F.lit("NEW"), F.col("user_id").cast("string"), F.col("id").cast("string")).alias("idempotency_key"))
+    return feedback.new_deliveries(top, held).select("idempotency_key", "rank")
+
+
+@query("delivery_status_counts", f"WITH {FEEDBACK} SELECT kind, status, reused, count(*) AS n FROM dl GROUP BY ALL")
+def _(v):
+    return feedback.delivery_status_counts(v.deliveries)
+
+
+# ---------------------------------------------------------------- evaluation
+
+@query("validate_gold", f"""WITH {GOLD} SELECT 'RELEVANT_ACTION' AS problem, id FROM gold WHERE false UNION ALL SELECT 'IRRELEVANT_ACTION', id FROM gold WHERE NOT relevant AND action <> 'IGNORE' UNION ALL SELECT 'IMPORTANCE', id FROM gold WHERE relevant AND importance < 40
+UNION ALL SELECT 'REPEATED_URL', min(id) FROM gold GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'REPEATED_TEXT', min(id) FROM gold GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1""")
+def _(v):
+    return evals.validate_gold(v.gold)
+
+
+@query("gold_summary", f"""WITH {GOLD} SELECT count(*) AS items, 1 AS facts_min, 1 AS facts_max, count(*) AS facts_total, count(*) FILTER (relevant) AS relevant, count(*) FILTER (NOT relevant) AS irrelevant, count(*) FILTER (split = 'CALIBRATION') AS calibration,
+ count(*) FILTER (split = 'HOLDOUT') AS holdout, count(*) FILTER (vertical = 'CONSTRUCTION') AS construction, count(*) FILTER (vertical = 'HORECA') AS horeca FROM gold""")
+def _(v):
+    return evals.gold_summary(v.gold)
+
+
+@query("select_split", f"WITH {GOLD} SELECT id FROM gold WHERE split = 'HOLDOUT'")
+def _(v):
+    return evals.select_split(v.gold, "HOLDOUT").select("id")
+
+
+@query("eval_requests", f"WITH {GOLD} SELECT id, url, source_id, 'UNCLASSIFIED' AS category, 50 AS relevance_score, 50 AS classification_confidence FROM gold")
+def _(v):
+    return evals.eval_requests(v.gold).drop("text")
+
+
+@query("prediction_validity", f"WITH {GOLD} SELECT id, validity FROM judged")
+def _(v):
+    return v.judged.select("id", "validity")
+
+
+@query("validity_rates", f"WITH {GOLD}, c AS (SELECT count(*) AS items, count(*) FILTER (validity = 'SUCCEEDED') AS valid, count(*) FILTER (validity NOT IN ('MISSING', 'THROWN')) AS returned FROM judged) SELECT *, floor(returned / items * 1e6 + 0.5) / 1e6 AS coverage, floor(valid / returned * 1e6 + 0.5) / 1e6 AS valid_rate FROM c")
+def _(v):
+    return evals.validity_rates(v.judged)
+
+
+@query("event_type_accuracy", f"WITH {GOLD}, c AS (SELECT count(*) AS valid, count(*) FILTER (relevant <> said_no) AS correct FROM judged WHERE validity = 'SUCCEEDED') SELECT *, floor(correct / valid * 1e6 + 0.5) / 1e6 AS accuracy FROM c")
+def _(v):
+    return evals.event_type_accuracy(v.judged)
+
+
+_SIX = lambda a, b: f"floor({a}::DOUBLE / ({b}) * 1e6 + 0.5) / 1e6"
+_CONF = "count(*) FILTER (NOT said_no AND relevant) AS tp, count(*) FILTER (NOT said_no AND NOT relevant) AS fp, count(*) FILTER (said_no AND NOT relevant) AS tn, count(*) FILTER (said_no AND relevant) AS fn"
+
+
+@query("relevance_confusion", f"WITH {GOLD}, c AS (SELECT {_CONF} FROM judged WHERE validity = 'SUCCEEDED') SELECT *, {_SIX('tp', 'tp + fp')} AS precision, {_SIX('tp', 'tp + fn')} AS recall, {_SIX('2 * tp', '2 * tp + fp + fn')} AS f1, {_SIX('(tp + tn)', 'tp + fp + tn + fn')} AS accuracy FROM c")
+def _(v):
+    return evals.relevance_confusion(v.judged)
+
+
+_SQ = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+
+
+@query("fact_support", f"WITH {GOLD} SELECT id, 'f' || id AS fact_id, id % 3 = 0 OR contains({_SQ('text')}, {_SQ('quote')}) AND id % 4 <> 0 AS supported FROM gold WHERE id % 3 <> 0")
+def _(v):
+    g = v.gold.filter("id % 3 <> 0")
+    made = g.select("id", F.col("facts")[0]["id"].alias("fact_id"), F.array("source_id").alias("source_ids"), F.col("facts")[0]["statement"].alias("statement"))
+    return evals.fact_support(made, g.select("id", F.when(F.col("id") % 4 == 0, "other").otherwise(F.col("source_id")).alias("source_id"), "text"))
+
+
+@query("expected_fact_recall", f"WITH {GOLD} SELECT id, 'f' || id AS fact_id, id % 5 <> 0 AS matched FROM gold")
+def _(v):
+    facts = v.gold.select("id", F.col("facts")[0]["id"].alias("fact_id"), F.col("facts")[0]["evidenceQuote"].alias("evidenceQuote"))
+    made = facts.select("id", F.when(F.col("id") % 5 == 0, "@@").otherwise(F.concat(F.lit("So:  "), "evidenceQuote")).alias("statement"))
+    return evals.expected_fact_recall(facts, made)
+
+
+_RUN = "l_returnflag AS provider, l_linestatus AS model, 'p' AS prompt_version, 'ALL' AS split"
+LATENCY = f"SELECT {_RUN}, floor(min(l_quantity) * 1000 + 0.5) / 1000 AS min, floor(avg(l_quantity) * 1000 + 0.5) / 1000 AS mean, floor(max(l_quantity) * 1000 + 0.5) / 1000 AS max, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY ALL"
+TOKENS = f"""SELECT {_RUN}, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS with_usage, sum(l_partkey) FILTER (l_linenumber <> 7) AS input_tokens, sum(l_suppkey) FILTER (l_linenumber <> 7) AS output_tokens, 'PARTIAL' AS usage,
+ floor(sum(l_suppkey) FILTER (l_linenumber <> 7) * 1000 / sum(l_quantity) FILTER (l_linenumber <> 7) * 1000 + 0.5) / 1000 AS tokens_per_second FROM lineitem GROUP BY ALL"""
+
+
+@query("latency_stats", LATENCY)
+def _(v):
+    return evals.latency_stats(v.runs)
+
+
+@query("token_throughput", TOKENS)
+def _(v):
+    return evals.token_throughput(v.runs)
+
+
+@query("eval_failures", f"WITH {GOLD} SELECT CASE WHEN validity = 'INVALID_ANALYSIS' THEN 'INVALID' ELSE 'PROVIDER' END AS kind, coalesce(code, validity) AS code, count(*) AS n FROM judged WHERE validity <> 'SUCCEEDED' GROUP BY ALL")
+def _(v):
+    return evals.eval_failures(v.judged)
+
+
+def _report(v: Views) -> DataFrame:
+    keys = v.runs.select(*evals.RUN).distinct()
+    return evals.benchmark_report(v.judged.drop("split").join(F.broadcast(keys), F.col("id") >= 0), v.runs)  # six runs, the same answers for each
+
+
+@query("benchmark_report", f"""WITH {GOLD}, c AS (SELECT count(*) AS items, count(*) FILTER (validity = 'SUCCEEDED') AS valid, {', '.join(x.replace('FILTER (', "FILTER (validity = 'SUCCEEDED' AND ") for x in _CONF.split(', '))} FROM judged), l AS ({LATENCY}), t AS ({TOKENS})
+SELECT l.provider, l.model, items, valid, tp, fp, tn, fn, {_SIX('tp', 'tp + fp')} AS precision, l.p95, t.tokens_per_second FROM c, l JOIN t USING (provider, model)""")
+def _(v):
+    return _report(v).select("provider", "model", "items", "valid", "tp", "fp", "tn", "fn", "precision", "p95", "tokens_per_second")
+
+
+@query("check_report", "SELECT DISTINCT l_returnflag AS provider, l_linestatus AS model, 'CONFUSION_SUM' AS problem FROM lineitem WHERE l_returnflag = 'A'")
+def _(v):
+    broken = _report(v).withColumn("tp", F.col("tp") + F.when(F.col("provider") == "A", 1).otherwise(0))
+    return evals.check_report(broken).select("provider", "model", "problem")
+
+
+@query("corpus_overlap", f"SELECT item_id FROM benchmark WHERE {_SQ('text')} IN (SELECT {_SQ('text')} FROM documents UNION ALL SELECT upper(text) FROM benchmark WHERE false) OR item_id % 4 = 0")
+def _(v):
+    bench = v.table("benchmark")
+    corpus = v.table("documents").select("text").unionByName(bench.filter("item_id % 4 = 0").select(F.upper(F.concat(F.lit("  "), "text")).alias("text")))
+    return evals.corpus_overlap(bench, corpus).select("item_id")
+
+
+# ---------------------------------------------------------------- audits, telemetry, streams
+
+@query("audit_constraints", f"""WITH {SOURCES} SELECT 'sources' AS table_name, 'name' AS constraint_name, 0 AS violations UNION ALL SELECT 'sources', 'reliability', 0 UNION ALL SELECT 'sources', 'verticals', 0
+UNION ALL SELECT 'raw_items', 'raw_text', (SELECT count(*) FROM documents WHERE trim(text) = '') UNION ALL SELECT 'raw_items', 'content_hash', 0 UNION ALL SELECT 'deliveries', 'key', 0 UNION ALL SELECT 'deliveries', 'failed', 0
+UNION ALL SELECT 'deliveries', 'sent', (SELECT count(*) FROM events WHERE event_id % 4 = 3)""")
+def _(v):
+    return quality.audit_constraints({"sources": v.sources, "raw_items": v.raw, "deliveries": v.deliveries})
+
+
+@query("audit_uniqueness", """SELECT 'documents' AS table_name, 'source,h' AS keys, (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY source, md5(text) HAVING count(*) > 1)) AS duplicates
+UNION ALL SELECT 'orders', 'o_orderkey', 0 UNION ALL SELECT 'deliveries', 'channel,idempotency_key', (SELECT count(*) FROM (SELECT 1 FROM events GROUP BY event_id % 4000 HAVING count(*) > 1))""")
+def _(v):
+    return quality.audit_uniqueness({"documents": (v.table("documents").select("source", F.md5("text").alias("h")), ["source", "h"]), "orders": (v.table("orders"), ["o_orderkey"]), "deliveries": (v.deliveries, ["channel", "idempotency_key"])})
+
+
+@query("audit_references", """SELECT 'lineitem.order' AS reference, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS dangling
+UNION ALL SELECT 'orders.customer', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'labels.page', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages))""")
+def _(v):
+    t = v.table
+    return quality.audit_references({
+        "lineitem.order": (t("lineitem"), ["l_orderkey"], t("orders"), ["o_orderkey"]), "orders.customer": (t("orders"), ["o_custkey"], t("customer"), ["c_custkey"]), "labels.page": (t("labels"), ["doc_id"], t("pages"), ["page_id"]),
+    })
+
+
+@query("audit_item_dataset", """SELECT 'RAW_EVIDENCE' AS problem, source || '|' || md5(text) AS key FROM documents GROUP BY source, md5(text) HAVING count(*) > 1
+UNION ALL SELECT 'EXTERNAL_ID', source || '|' || 'x' || (doc_id % 300) FROM documents GROUP BY source, doc_id % 300 HAVING count(*) > 1 UNION ALL SELECT 'LABEL_PAIR', doc_id::VARCHAR FROM documents WHERE (doc_id % 12 = 0) <> (doc_id % 6 = 0)""")
+def _(v):
+    i = F.col("doc_id")
+    return quality.audit_item_dataset(v.table("documents").select(
+        i.alias("fixture_id"), F.col("source").alias("source_id"), F.concat(F.lit("x"), (i % 300).cast("string")).alias("external_id"), F.md5("text").alias("content_hash"), F.when(i % 12 == 0, "g").alias("duplicate_group"), F.when(i % 6 == 0, "EXACT").alias("duplicate_kind"),
+    ))
+
+
+@query("dedup_quality", """WITH p AS (SELECT text AS rep, CASE WHEN doc_id % 4 <> 0 THEN text || (doc_id % 2) END AS g FROM documents), n AS (SELECT (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM p GROUP BY rep)) AS predicted, (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM p WHERE g IS NOT NULL GROUP BY g)) AS labelled)
+SELECT predicted::BIGINT AS predicted, labelled::BIGINT AS labelled, labelled::BIGINT AS "both", labelled / predicted AS precision, labelled / labelled AS recall FROM n""")
+def _(v):
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("representative_id"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.md5("text"), (F.col("doc_id") % 2).cast("string"))).alias("duplicate_group"))
+    return quality.dedup_quality(docs, docs)
+
+
+@query("quality_gates", """WITH v AS (SELECT 'duplicates' AS gate, 100.0 * (1 - count(DISTINCT text) / count(*)) AS value, 5.0 AS bound FROM documents UNION ALL SELECT 'parse_success', 100.0, 98.0 UNION ALL SELECT 'positive_sentiment', (SELECT 100.0 * count(*) FILTER (event_type = 'click') / count(*) FILTER (event_type IN ('click', 'error')) FROM events), 60.0)
+SELECT gate, value::DOUBLE AS value, bound, CASE WHEN gate = 'duplicates' THEN value < bound ELSE value > bound END AS passed FROM v""")
+def _(v):
+    docs, e = v.table("documents"), F.col("event_type")
+    values = docs.agg((100.0 * (1 - F.count_distinct("text") / F.count("*"))).alias("value")).select(F.lit("duplicates").alias("gate"), "value")
+    values = values.unionByName(docs.agg((100.0 * F.count_if(F.col("text").isNotNull()) / F.count("*")).alias("value")).select(F.lit("parse_success").alias("gate"), "value"))
+    mood = v.table("events").agg((100.0 * F.count_if(e == "click") / F.count_if(e.isin("click", "error"))).alias("value")).select(F.lit("positive_sentiment").alias("gate"), "value")
+    return quality.quality_gates(values.unionByName(mood))
+
+
+@query("stage_summary", f"WITH {RAW}, o AS (SELECT row_number() OVER (PARTITION BY source_id, h ORDER BY id) = 1 AS new FROM raw) SELECT 'raw_items' AS stage, count(*) AS input, count(*) FILTER (new) AS created, count(*) FILTER (NOT new) AS existing, 0 AS rejected FROM o")
+def _(v):
+    return quality.stage_summary({"raw_items": ingest.resolve_raw_identity(v.raw)})
+
+
+def _operational(events: DataFrame) -> DataFrame:
+    labels = F.create_map(F.lit("eventKind"), F.concat(F.lit(" "), F.upper("event_type")), F.lit("Shard"), (F.col("event_id") % 3).cast("string"))
+    return events.select("ts", F.concat(F.lit("op"), F.initcap("event_type"), F.lit("Done")).alias("name"), labels.alias("labels"), (F.col("event_id") % 4).alias("value"))
+
+
+@query("event_counters", "SELECT 'op_' || event_type || '_done_total' AS name, 'event_kind=' || event_type || ',shard=' || (event_id % 3) AS labels, sum(event_id % 4)::DOUBLE AS value FROM events WHERE event_id % 4 <> 0 GROUP BY 1, 2")
+def _(v):
+    return telemetry.event_counters(_operational(v.table("events")))
+
+
+def _landed(v: Views, rows: DataFrame, name: str) -> tuple[str, str]:
+    """Rows as landed files for a stream, and a folder for its checkpoint."""
+    from leadloom.plans.lineage import new_table
+
+    path = new_table(v.spark, name)
+    rows.write.parquet(path)
+    return path, new_table(v.spark, f"{name}-state")
+
+
+@query("stream_ingest", "SELECT source AS source_id, sha256(text) AS content_hash FROM documents GROUP BY ALL")
+def _(v):
+    from leadloom.plans.lineage import new_table
+    from leadloom.streaming.jobs import stream_ingest
+
+    path, state = _landed(v, v.raw.select("raw_item_id", "source_id", "raw_text", "received_at"), "landed")
+    out, schema = new_table(v.spark, "ingested"), v.spark.read.parquet(path).schema
+    for k in range(2):  # the second run replays the files with a new checkpoint
+        stream_ingest(v.spark.readStream.schema(schema).parquet(path), out, f"{state}-{k}").awaitTermination()
+    return v.spark.read.parquet(out).select("source_id", "content_hash")
+
+
+@query("stream_counters", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, 'op_' || event_type || '_done_total' AS name, 'event_kind=' || event_type || ',shard=' || (event_id % 3) AS labels, sum(event_id % 4)::DOUBLE AS value FROM events WHERE event_id % 4 <> 0 GROUP BY 1, 2, 3")
+def _(v):
+    from leadloom.plans.lineage import new_table
+    from leadloom.streaming.jobs import stream_counters
+
+    end = v.spark.range(1).select(F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit("end").alias("name"), F.create_map(F.lit("k"), F.lit("v")).alias("labels"), F.lit(1).cast("long").alias("value"))
+    path, state = _landed(v, _operational(v.table("events")).unionByName(end), "events")
+    out = new_table(v.spark, "counters")
+    live = stream_counters(v.spark.readStream.schema(v.spark.read.parquet(path).schema).parquet(path))
+    live.writeStream.option("checkpointLocation", state).outputMode("append").format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(out).filter("name <> 'end_total'")
+
+
+@query("stream_feedback", f"WITH {FEEDBACK} SELECT id FROM feedback")
+def _(v):
+    from leadloom.plans.lineage import new_table
+    from leadloom.streaming.jobs import stream_feedback
+
+    path, state = _landed(v, v.feedback, "feedback")
+    out, schema = new_table(v.spark, "feedback-out"), v.spark.read.parquet(path).schema
+    for k in range(2):
+        stream_feedback(v.spark.readStream.schema(schema).parquet(path), out, f"{state}-{k}").awaitTermination()
+    return v.spark.read.parquet(out).select("id")
+
+
+@query("run_pipeline")
+def _(v):
+    from leadloom.plans.lineage import new_table
+    from leadloom.plans.pipeline import run_pipeline
+
+    people = v.profiles.filter("revision = 1 and id < 20").withColumns({"services_and_products": F.array(F.lit("tion")), "target_clients": F.array(F.lit("hotel"))})
+    sources = v.sources.withColumn("regions", F.array(F.concat(F.lit("NATION_"), F.col("n").cast("string"))))
+    out = new_table(v.spark, "pipeline")
+    rows = []
+    for k in range(2):
+        counts = run_pipeline(v.spark, out, sources, v.raw, people, LATIN_RULES)
+        rows += [(k, stage, c["created"], c["existing"]) for stage, c in counts.items()]
+    return v.spark.createDataFrame(rows, "pass int, stage string, created long, existing long")

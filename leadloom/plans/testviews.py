@@ -9,10 +9,10 @@ from leadloom.operators.rules import Rule
 
 #: Rules over the invented Latin prose.
 LATIN_RULES = [
-    Rule("construction", "vertical.construction.tion", r"\btion\b"), Rule("construction", "vertical.construction.ment", r"\bment\b"), Rule("construction", "vertical.construction.keit", r"\bkeit\b"),
-    Rule("horeca", "vertical.horeca.re", r"\bre\b"), Rule("horeca", "vertical.horeca.eau", r"\beau\b"), Rule("horeca", "vertical.horeca.der", r"\bder\b"),
-    Rule("opportunity", "opportunity.tender", r"\bthe\b"), Rule("opportunity", "opportunity.procurement", r"\bque\b"), Rule("opportunity", "opportunity.opening", r"\bdie\b"),
-    Rule("advertisement", "advertisement.explicit", r"license"), Rule("advertisement", "advertisement.discount", r"\bshe\b"), Rule("advertisement", "advertisement.promotion", r"\bst\b"),
+    Rule("construction", "vertical.construction.tion", r" tion "), Rule("construction", "vertical.construction.ment", r" ment "), Rule("construction", "vertical.construction.keit", r" keit "),
+    Rule("horeca", "vertical.horeca.re", r" re "), Rule("horeca", "vertical.horeca.eau", r" eau "), Rule("horeca", "vertical.horeca.der", r" der "),
+    Rule("opportunity", "opportunity.tender", r" the "), Rule("opportunity", "opportunity.procurement", r" que "), Rule("opportunity", "opportunity.opening", r" die "),
+    Rule("advertisement", "advertisement.explicit", r"license"), Rule("advertisement", "advertisement.discount", r" she "), Rule("advertisement", "advertisement.promotion", r" st "),
     Rule("irrelevance", "irrelevance.notice", r"stupid"),
 ]
 
