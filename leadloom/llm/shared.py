@@ -23,6 +23,16 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_row_ids(docs: DataFrame, is_table: bool) -> DataFrame:
+    """row_id, doc_id, text (null as empty) of docs; row ids stay the same however often the rows are read.
+
+    is_table: docs is read from files, whose rows have fixed places. Other rows may come in another order each time,
+    so they are written to the shared folder first.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return (rows if is_table else cut(rows)).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3."""
     return F.crc32(doc_id.cast("string")) % 3

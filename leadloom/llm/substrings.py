@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import Words, as_bytes, chunks, cut, mix, read_documents
+from leadloom.llm.shared import Words, as_bytes, chunks, cut, mix, read_documents, with_row_ids
 
 WINDOW = 20
 #: Words of an anchor. Each window's anchor is its anchor-length part of least hash, so equal windows have equal anchors.
@@ -97,7 +97,7 @@ def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False, is_table: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256; with_text adds kept (text) and removed (intervals).
 
     Every window of `window` words is hashed. A window is a repeat if its words also start earlier: in a smaller id,
@@ -107,14 +107,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     that leaves out no repeat and spares most of the shuffle. Windows are compared by 80 hash bits. Whole copies of a
     text are found by its digest first. Counts combine map-side; joins on a common passage can be split by Spark.
 
-    Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
+    is_table: see with_row_ids. Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
     not take words from each other, except whole copies of the same text, of which the first read stays. An empty
     table gives an empty result.
     """
     # the columns that both joins on row_id need, so that text is shuffled once for both
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("given"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    rows = with_row_ids(docs, is_table).withColumnRenamed("doc_id", "given")
     least = F.coalesce("given", F.lit(-(2**63)))
     digest = rows.select("row_id", least.alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("sha"))
     firsts = digest.groupBy("sha").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -165,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_documents(spark, sf_dir))
+    return remove_repeats(read_documents(spark, sf_dir), is_table=True)
 
 
 OP2_SQL = r"""
