@@ -490,7 +490,7 @@ def _(v):
     return scoring.with_opportunity_score_v2(_factors(v)).select("id", "effective_confidence", "guardrail_band", "raw_total", "total_score", "band", "guardrail_applied")
 
 
-_F2 = lambda x: f"printf('%.2f', ({x})::DOUBLE)"
+_F2 = lambda x: f"printf('%.2f', ({x})::DOUBLE + CASE WHEN ({x})::DOUBLE * 8 = floor(({x})::DOUBLE * 8) THEN 0.001 ELSE 0 END)"  # noqa: E731  exact ties go up
 
 
 @query("score_explanation", f"""WITH {FACTORS} SELECT id, md5('Opportunity Score ' || {_F2('total')} || ' (' || {_BAND('total')} || '); rawWeightedScore ' || {_F2('raw_total')} || '; businessImpact ' || {_F2('i')} || '×35%=' || {_F2('pi')} || '; companyFit ' || {_F2('f')} || '×25%=' || {_F2('pf')} || '; urgency ' || {_F2('u')} || '×20%=' || {_F2('pu')}
