@@ -99,9 +99,14 @@ def dedup_quality(assignments: DataFrame, labels: DataFrame) -> DataFrame:
     labels: id, duplicate_group (null: alone). Pairs of a cell of n are n (n - 1) / 2.
     """
     rows = assignments.select("id", "representative_id").join(labels.select("id", "duplicate_group"), "id")
-    pairs = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)))
+    pairs = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("pairs"))
     own = rows.filter("duplicate_group is not null")
-    out = pairs(rows, "representative_id").toDF("predicted").crossJoin(pairs(own, "duplicate_group").toDF("labelled")).crossJoin(pairs(own, "representative_id", "duplicate_group").toDF("both"))  # one row each
+    parts = {"predicted": pairs(rows, "representative_id"), "labelled": pairs(own, "duplicate_group"), "both": pairs(own, "representative_id", "duplicate_group")}
+    counts = None
+    for name, df in parts.items():
+        df = df.withColumn("name", F.lit(name))
+        counts = df if counts is None else counts.unionByName(df)
+    out = counts.agg(*[F.max(F.when(F.col("name") == name, F.col("pairs"))).alias(name) for name in parts])
     return out.select("*", F.when(F.col("predicted") > 0, F.col("both") / F.col("predicted")).alias("precision"), F.when(F.col("labelled") > 0, F.col("both") / F.col("labelled")).alias("recall"))
 
 
