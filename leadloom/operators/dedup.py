@@ -64,12 +64,13 @@ def near_text_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     grams = cut(texts.select("key", token_ngrams(F.col("text")).alias("grams")).withColumn("m", F.size("grams")).filter("m > 0"))
     every = grams.select("key", "m", F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("g"))
-    df = every.groupBy("g").agg(F.count("*").alias("df"))
-    counted = cut(every.join(df, "g"))
+    df = every.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = cut(every.join(df, "g"))  # a text's other n-grams stand before these in its order; their number is enough
+    own = Window.partitionBy("key")
     need = F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "g"))  # within one text
-    probe = counted.withColumn("r", rank).filter(F.col("r") <= F.col("m") - need + 1).filter("df > 1")
-    index = counted.filter("df > 1").select(F.col("key").alias("key_b"), F.col("m").alias("m_b"), "g")
+    place = F.row_number().over(own.orderBy("df", "g")) + F.col("m") - F.count("*").over(own)
+    probe = shared.withColumn("r", place).filter(F.col("r") <= F.col("m") - need + 1)
+    index = shared.select(F.col("key").alias("key_b"), F.col("m").alias("m_b"), "g")
     order = F.struct(F.col("m"), F.col("key")) < F.struct(F.col("m_b").alias("m"), F.col("key_b").alias("key"))
     pairs = probe.join(index, "g").filter(order).select(F.col("key").alias("key_a"), "key_b").distinct()
     left = grams.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a"))
