@@ -161,6 +161,45 @@ def _(v):
     return text.canonicalize_urls(text.normalize_items(raw), "original_url", "canonical_url").select("raw_item_id", "status", "title", "text", "language", "normalized_hash", "canonical_url")
 
 
+def _sql_decode(x: str) -> str:
+    """One pass: the ampersand itself comes last."""
+    for name, char in text.NAMED_ENTITIES.items():
+        if name != "amp":
+            x = f"replace({x}, '&{name};', chr({ord(char)}))"
+    return f"replace({x}, '&amp;', '&')"
+
+
+@query("decode_entities", f"SELECT page_id, md5({_sql_decode('html')}) AS digest FROM pages WHERE NOT regexp_matches(html, '&#')")
+def _(v):
+    return v.table("pages").filter(~F.contains("html", F.lit("&#"))).select("page_id", F.md5(text.decode_entities("html")).alias("digest"))
+
+
+_LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l1 AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g')) AS x FROM l0), l2 AS (SELECT *, lag(lower(x)) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l1 WHERE x <> '')"""
+
+
+@query("normalize_lines", f"WITH {_LINES} SELECT doc_id, string_agg(x, '|' ORDER BY i) AS lines FROM l2 WHERE p IS NULL OR p <> lower(x) GROUP BY doc_id")
+def _(v):
+    tidy = F.filter(F.split(text.normalize_lines("text"), "\n"), lambda x: x != "")
+    return v.table("documents").select("doc_id", F.array_join(tidy, "|").alias("lines"))
+
+
+@query("extract_title", rf"SELECT page_id, nullif(left(trim(regexp_replace({_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), 1000), '') AS title FROM pages")
+def _(v):
+    return v.table("pages").select("page_id", text.extract_title(F.lit(None).cast("string"), F.col("html")).alias("title"))
+
+
+@query("canonicalize_url", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_[^&]*$', ''), '([^/])/+$', '\1') AS canonical_url FROM pages")
+def _(v):
+    return text.canonicalize_urls(v.table("pages").select("page_id", "url"), "url", "canonical_url").select("page_id", "canonical_url")
+
+
+@query("normalized_hash", "SELECT doc_id AS raw_item_id, sha256('x' || left(regexp_replace(text, '[^A-Za-z]+', '', 'g'), 60)) AS normalized_hash FROM documents")
+def _(v):
+    raw = v.raw.withColumn("raw_text", F.concat(F.lit("<p>x"), F.left(F.regexp_replace("raw_text", "[^A-Za-z]+", ""), F.lit(60)), F.lit("</p>")))
+    return text.normalize_items(raw).select("raw_item_id", "normalized_hash")
+
+
 @query("boilerplate_lines", r"""SELECT line, count(*) AS n, false AS boilerplate FROM (SELECT trim(lower(unnest(string_split(text, chr(10))))) AS line FROM documents) WHERE line <> '' GROUP BY line""")
 def _(v):
     return text.boilerplate_lines(v.table("documents"))
@@ -193,6 +232,13 @@ def _(v):
     return dedup.dedup_candidates(v.raw.select("raw_item_id"), v.raw, v.sources).select(F.col("raw_item_id").alias("id"), "source_id", F.col("verticals")[0].alias("vertical"))
 
 
+@query("observed_order", "SELECT source AS source_id, arg_min(doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id - 3000 ELSE doc_id END * 1000000 + doc_id) AS first_id FROM documents GROUP BY source")
+def _(v):
+    moved = F.when(F.col("id") % 4 == 0, F.timestamp_seconds(F.unix_seconds("observed_at") - 1800000))
+    rows = v.items.withColumn("at", dedup.observed_at(moved, F.col("observed_at")))
+    return rows.groupBy("source_id").agg(F.min(F.struct("at", "id")).alias("m")).select("source_id", F.col("m.id").alias("first_id"))
+
+
 @query("exact_edges", f"WITH {EDGES} SELECT a, b, {_KIND} FROM edges")
 def _(v):
     return dedup.exact_edges(v.items)
@@ -1043,6 +1089,15 @@ def _(v):
     return readers.read_gold_dataset(v.spark, path).select("id", "split", F.col("labels.facts")[0]["evidenceQuote"].alias("quote"))
 
 
+@query("write_stage", "SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1")
+def _(v):
+    from leadloom.plans.lineage import new_table
+
+    path = new_table(v.spark, "written")
+    sinks.write_stage(v.recommendations.select("id", "category", "status"), path, partition_by=["category"])
+    return readers.read_stage(v.spark, path, "id long, status string, category string").groupBy("category").agg(F.count("*").alias("n"))
+
+
 @query("read_stage", "SELECT o_orderkey AS id, o_orderpriority AS category FROM orders WHERE o_orderstatus = 'F'")
 def _(v):
     from leadloom.plans.lineage import new_table
