@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from leadloom.llm.shared import read_documents
 
 #: Entries of a task's caches; a full cache starts anew.
-CACHE = 500_000
+CACHE = 250_000
 
 
 class PieceEncoder:

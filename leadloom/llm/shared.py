@@ -16,7 +16,7 @@ __all__ = ["cut", "new_table", "shared_dir"]
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACES = r"\x20\x09-\x0D"
 #: Byte budget of one vectorised step inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
