@@ -421,12 +421,12 @@ def _(v):
 def _requests(v: Views) -> DataFrame:
     from leadloom.operators.analyze import analysis_requests
 
-    lines = v.table("lineitem").filter("l_orderkey < 3000")
+    lines = v.table("lineitem")
     evidence = lines.select(
         F.col("l_orderkey").alias("signal_id"), (F.col("l_orderkey") + F.when(F.col("l_partkey") % 97 == 0, 1).otherwise(0)).alias("of_signal"), F.col("l_linenumber").alias("id"), F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string")).alias("source_id"),
     )
     declared = lines.groupBy(F.col("l_orderkey").alias("signal_id")).agg(F.collect_set("l_linenumber").alias("declared"))
-    return analysis_requests(v.signals.filter("signal_id < 3000").select("signal_id", "status").join(declared, "signal_id", "left"), evidence, v.sources)
+    return analysis_requests(v.signals.select("signal_id", "status").join(declared, "signal_id", "left"), evidence, v.sources)
 
 
 @query("analysis_requests", """WITH e AS (SELECT l_orderkey AS s, count(*) AS n, count(DISTINCT (l_linenumber, l_suppkey % 20)) AS pairs, count(*) FILTER (l_partkey % 97 = 0) AS outside, count(*) FILTER (l_suppkey % 10 = 9) AS refused FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1)
