@@ -13,12 +13,19 @@ SCORE_WEIGHTS = {"actionability": 0.10, "business_impact": 0.35, "company_fit":
 BANDS = (("CRITICAL", 85), ("HIGH", 70), ("MEDIUM", 55), ("LOW", 40))
 GUARDRAIL = ((40, "LOW", 54), (60, "MEDIUM", 69), (80, "HIGH", 84))
 SCORING_VERSION = "opportunity-score-v2"
+#: Parts of each vertical in the join of analyses and profiles.
+PAIR_PARTS = 64
 
 
 def eligible_pairs(analyses: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Succeeded analyses with each profile that has their vertical. Spark broadcasts profiles if their size allows."""
+    """Succeeded analyses with each profile that has their vertical. Spark broadcasts profiles if their size allows.
+
+    There are few verticals: the analyses of each are dealt to PAIR_PARTS parts, and its profiles go to all of them.
+    """
     wanted = profiles.withColumn("vertical", F.explode(F.array_distinct("verticals"))).filter("vertical <> 'OTHER'")
-    return analyses.filter("status = 'SUCCEEDED'").join(wanted, "vertical")
+    wanted = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))))
+    dealt = analyses.filter("status = 'SUCCEEDED'").withColumn("_part", F.pmod(F.xxhash64(*analyses.columns), F.lit(PAIR_PARTS)).cast("int"))
+    return dealt.join(wanted, ["vertical", "_part"]).drop("_part")
 
 
 def normalize_term(value: Column) -> Column:

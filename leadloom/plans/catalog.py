@@ -1158,7 +1158,7 @@ def _(v):
     from leadloom.plans.lineage import new_table
     from leadloom.plans.pipeline import run_pipeline
 
-    people = v.profiles.filter("revision = 1 and id < 20").withColumns({"services_and_products": F.array(F.lit("tion")), "target_clients": F.array(F.lit("hotel"))})
+    people = v.profiles.filter("revision = 1").withColumns({"services_and_products": F.array(F.lit("tion")), "target_clients": F.array(F.lit("hotel"))})
     sources = v.sources.withColumn("regions", F.array(F.concat(F.lit("NATION_"), F.col("n").cast("string"))))
     out = new_table(v.spark, "pipeline")
     rows = []

@@ -30,3 +30,23 @@ def test_analysis_requests(spark, duck):
     got = catalog.QUERIES["analysis_requests"](spark, SF).toPandas()
     assert len(got) == len(duck.sql("SELECT o_orderkey FROM orders").df())
     assert plain(got) == plain(duck.sql(sql).df())
+
+
+def test_run_pipeline_profiles(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("leadloom.plans.pipeline.run_pipeline", lambda spark, out, sources, raw, people, rules: seen.append(people.select("id", "revision").collect()) or {})
+    catalog.QUERIES["run_pipeline"](spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect()
+    assert all(sorted(x) == sorted((c["c_custkey"], 1) for c in customers) for x in seen) and len(customers) > 20
+
+
+def test_pairs_of_repeated_rows(spark):
+    from leadloom.operators.scoring import eligible_pairs
+
+    kinds = ["CONSTRUCTION", "HORECA", "OTHER"]
+    analyses = [(i // 2, kinds[i // 2 % 3], "SUCCEEDED" if i % 5 else "FAILED") for i in range(200)]
+    profiles = [(p, [kinds[p % 3], kinds[p % 2], kinds[p % 3]]) for p in range(12)]
+    got = eligible_pairs(spark.createDataFrame(analyses, "id long, vertical string, status string"), spark.createDataFrame(profiles, "profile_id long, verticals array<string>"))
+    assert got.columns == ["vertical", "id", "status", "profile_id", "verticals"]
+    wanted = sorted((i, p) for i, v, s in analyses for p, vs in profiles if s == "SUCCEEDED" and v in vs and v != "OTHER")
+    assert sorted((r["id"], r["profile_id"]) for r in got.collect()) == wanted
