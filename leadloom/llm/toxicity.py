@@ -14,7 +14,7 @@ from leadloom.llm.shared import _BYTE, _LOWER, Words, as_bytes, chunks, fold, mi
 
 #: At most this many labelled rows of each class are learned from: those with the smallest digests of their ids.
 SAMPLE_PER_CLASS = 3000
-#: Bytes of a word, and its end, that the models look at.
+#: Bytes that the models look at together: a byte, or the end of a word, and up to DEPTH - 1 bytes before it.
 DEPTH = 12
 #: Discounts of counts 1, 2 and more: what one text says alone is left to the shared counts.
 DISCOUNTS = (1.0, 1.5, 2.0)
@@ -32,18 +32,32 @@ THRESHOLD = 0.7
 TOXIC_WEIGHT = 3.0
 
 
+#: Tell windows inside words, and what comes before their last byte, from beginnings of the same bytes.
+_INSIDE, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
 class Beginnings:
-    """All beginnings of the words of some texts, in order: hashes, last and next-to-last byte, and their words."""
+    """All beginnings of the words of some texts, in order: hashes, hashes without the last byte, last and next-to-last byte.
+
+    Beyond DEPTH bytes a window of DEPTH bytes slides to the end of the word.
+    """
 
     def __init__(self, texts: list[bytes]):
         words = Words(texts, lower=True)
         buf = _LOWER[words.buf].copy()
         buf[words.ends] = 32
-        depth = np.minimum(words.ends - words.starts + 1, DEPTH)
+        depth = words.ends - words.starts + 1
         self.first = np.concatenate(([0], np.cumsum(depth)))  # of each word
         start = np.repeat(words.starts, depth)
         at = start + np.arange(self.first[-1]) - np.repeat(self.first[:-1], depth)
-        self.hash = rolling(_BYTE[buf], start, at + 1)
+        values, from_ = _BYTE[buf], np.maximum(start, at - (DEPTH - 1))
+        self.deep = np.flatnonzero(from_ > start)
+        self.hash = rolling(values, from_, at + 1)
+        self.hash[self.deep] ^= _INSIDE
+        self.parent = np.zeros(len(self.hash), np.uint64)  # 0: a word begins
+        self.parent[1:] = self.hash[:-1]
+        self.parent[self.first[:-1]] = 0
+        self.parent[self.deep] = rolling(values, from_[self.deep], at[self.deep]) ^ _CONTEXT
         self.byte, self.before = buf[at], np.where(at > start, buf[at - 1], 0).astype(np.uint8)
         self.texts = words.first
         self.of = np.repeat(np.arange(len(texts)), np.diff(words.first))  # of each word its text
@@ -83,6 +97,19 @@ class Ratios:
     def slot(self, h: np.ndarray, way: int) -> np.ndarray:
         return (h >> np.uint64(7 * way) & np.uint64(len(self.keys[way]) - 1)).astype(np.int64)
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the values of each."""
+        known, got = np.zeros(len(hashes), bool), np.zeros((len(hashes), 2), np.float32)
+        for way in range(len(self.keys)):
+            rest = np.flatnonzero(~known) if way else slice(None)
+            h = hashes[rest]
+            slot = self.slot(h, way)
+            hit = self.keys[way][slot] == h
+            at = np.flatnonzero(hit) if way == 0 else rest[hit]
+            got[at] = self.values[way][slot[hit]]
+            known[at] = True
+        return known, got
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the length-normalised log ratio of its distinct words, and their number.
 
@@ -92,20 +119,14 @@ class Ratios:
             self.build()
         b = Beginnings(texts)
         n = len(b.hash)
-        known, got = np.zeros(n, bool), np.zeros((n, 2), np.float32)
-        for way in range(len(self.keys)):
-            rest = np.flatnonzero(~known) if way else slice(None)
-            h = b.hash[rest]
-            slot = self.slot(h, way)
-            hit = self.keys[way][slot] == h
-            at = np.flatnonzero(hit) if way == 0 else rest[hit]
-            got[at] = self.values[way][slot[hit]]
-            known[at] = True
+        known, got = self.find(b.hash)
         before = np.empty(n, np.float32)
         before[1:] = got[:-1, 1]
         went = np.empty(n, bool)
         went[1:] = known[:-1]
         before[b.first[:-1]], went[b.first[:-1]] = self.root, True
+        went[b.deep], deep = self.find(b.parent[b.deep])
+        before[b.deep] = deep[:, 1]
         each = np.where(known, got[:, 0], np.where(went, before, 0))
         words = np.minimum(np.add.reduceat(each, b.first[:-1]), CLIP[1]) if n else np.zeros(0)
         words = np.where((words < CLIP[0]) | ~b.new, 0, words)
@@ -149,7 +170,11 @@ def kneser_ney(counts: pd.DataFrame, toxic: np.ndarray, ordinary: np.ndarray) ->
     has = (at < len(parents)) & (parents[np.minimum(at, len(parents) - 1)] == c["hash"].to_numpy()) if len(parents) else np.zeros(0, bool)
     own_back = np.where(has, back[np.minimum(at, max(len(parents) - 1, 0))], 0.0) if len(parents) else np.zeros(0)
     root = np.flatnonzero(parents == 0)
-    return Ratios(hashes, logs[0] - logs[1], own_back, float(back[root[0]]) if len(root) else 0.0)
+    # What comes before the last byte of a window inside a word is no row of its own.
+    other = ~np.isin(parents, c["hash"].to_numpy()) & (parents != 0)
+    hashes = np.concatenate((hashes, parents[other].astype(np.uint64)))
+    own_back = np.concatenate((own_back, back[other]))
+    return Ratios(hashes, np.concatenate((logs[0] - logs[1], np.zeros(other.sum()))), own_back, float(back[root[0]]) if len(root) else 0.0)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: float = TOXIC_WEIGHT) -> tuple[float, float]:
@@ -182,12 +207,9 @@ def _counts(labelled: DataFrame) -> pd.DataFrame:
                     continue
                 depth = np.diff(b.first)
                 text = np.repeat(b.of, depth)
-                parent = np.zeros(len(b.hash), np.uint64)
-                parent[1:] = b.hash[:-1]
-                parent[b.first[:-1]] = 0
                 once = np.unique(b.hash ^ mix(text.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
                 frame = pd.DataFrame({
-                    "hash": b.hash[once].view(np.int64), "parent": parent[once].view(np.int64), "byte": b.byte[once].astype(np.int32),
+                    "hash": b.hash[once].view(np.int64), "parent": b.parent[once].view(np.int64), "byte": b.byte[once].astype(np.int32),
                     "before": b.before[once].astype(np.int32), "kind": kind[lo + text[once]].astype(np.int32),
                 })
                 frame = frame.groupby(list(frame.columns), sort=False).size().reset_index(name="n")
@@ -251,8 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted.
 
-    A text's words are read from their beginnings, byte by byte (A-Z lowered, at most DEPTH bytes and the end). Each
-    class has a Kneser-Ney model of the next byte given the beginning so far, smoothed by counts that both share. The
+    A text's words are read from their beginnings, byte by byte (A-Z lowered) to their end. Each
+    class has a Kneser-Ney model of the next byte given the beginning so far, of which beyond DEPTH bytes the last DEPTH - 1 count, smoothed by counts that both share. The
     length-normalised log ratio of a text's distinct words goes through a logistic curve that was fitted on
     parts of the sample left out of the counts.
 

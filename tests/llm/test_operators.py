@@ -347,3 +347,18 @@ def test_pipeline_stages(spark, rows, tmp_path):
         assert at.columns == docs.columns, name
     last = {r[1] for r in at.select("doc_id", "text").collect()}
     assert out.count() == at.count() and len(last) <= len(rows)
+
+
+def test_toxicity_reads_words_to_their_end(spark):
+    from leadloom.llm.toxicity import score_toxicity
+
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(300):
+        ends = ["".join(r.choice("bcdfgh") for _ in range(5)) for _ in range(20)] + [r.choice(["vile", "nasty", "rotten"]) + r.choice("bcdfgh") for _ in range(8)] * (i % 3 == 0)
+        rows.append((i, " ".join(f"commonbeginning/{x}" for x in ends)))
+        labels.append((i, int(i % 3 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(score_toxicity(docs, marks))
+    held = [(i, b) for i, b in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["predicted"] == b for i, b in held) >= 0.95 * len(held)
