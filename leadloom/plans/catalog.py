@@ -196,8 +196,7 @@ def _(v):
 
 @query("normalized_hash", "SELECT doc_id AS raw_item_id, sha256('x' || left(regexp_replace(text, '[^A-Za-z]+', '', 'g'), 60)) AS normalized_hash FROM documents")
 def _(v):
-    raw = v.raw.withColumn("raw_text", F.concat(F.lit("<p>x"), F.left(F.regexp_replace("raw_text", "[^A-Za-z]+", ""), F.lit(60)), F.lit("</p>")))
-    return text.normalize_items(raw).select("raw_item_id", "normalized_hash")
+    return text.normalize_items(v.raw).select("raw_item_id", "normalized_hash")
 
 
 @query("boilerplate_lines", r"""SELECT line, count(*) AS n, false AS boilerplate FROM (SELECT trim(lower(unnest(string_split(text, chr(10))))) AS line FROM documents) WHERE line <> '' GROUP BY line""")

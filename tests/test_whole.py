@@ -50,3 +50,13 @@ def test_pairs_of_repeated_rows(spark):
     assert got.columns == ["vertical", "id", "status", "profile_id", "verticals"]
     wanted = sorted((i, p) for i, v, s in analyses for p, vs in profiles if s == "SUCCEEDED" and v in vs and v != "OTHER")
     assert sorted((r["id"], r["profile_id"]) for r in got.collect()) == wanted
+
+
+def test_normalized_hash(spark, tmp_path):
+    import hashlib
+
+    opening = "The same opening of more than sixty letters stands before what tells these texts apart, "
+    texts = {1: (opening + "one", opening + "one"), 2: (opening + "two", opening + "two"), 3: (f"<p>{opening}A &amp; B</p>", opening + "A & B")}
+    spark.createDataFrame([(i, t, "s1") for i, (t, _) in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["raw_item_id"]: r["normalized_hash"] for r in catalog.QUERIES["normalized_hash"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, (_, t) in texts.items()}
