@@ -565,8 +565,8 @@ _MATCH = """CASE WHEN length(c) < 3 OR length(w) < 3 THEN c = w ELSE contains(c,
 @query("matches_term", f"WITH t AS (SELECT DISTINCT a.p_partkey, a.p_name AS c, lower(left(b.p_name, 6)) AS w FROM part a JOIN part b ON a.p_size = b.p_size WHERE a.p_partkey % 5 = 0) SELECT p_partkey, w, {_MATCH} AS hit FROM t")
 def _(v):
     part = v.table("part")
-    wanted = part.select("p_size", F.lower(F.left("p_name", F.lit(6))).alias("w")).distinct()
-    return part.filter("p_partkey % 5 = 0").join(wanted, "p_size").select("p_partkey", "w", scoring.matches_term(F.col("p_name"), F.col("w")).alias("hit"))
+    wanted = part.select("p_size", F.lower("p_name").alias("w")).distinct()
+    return part.join(wanted, "p_size").select("p_partkey", "w", scoring.matches_term(F.col("p_name"), F.col("w")).alias("hit"))
 
 
 FIT = """p AS (SELECT p_partkey AS id, ['CONSTRUCTION', 'HORECA', 'OTHER'][p_partkey % 3 + 1] AS v, p_partkey % 4 AS g, p_partkey % 5 AS e, p_partkey % 2 = 0 AS t, p_retailprice AS x, p_partkey % 6 AS q, p_name FROM part),

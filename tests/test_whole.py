@@ -60,3 +60,8 @@ def test_normalized_hash(spark, tmp_path):
     spark.createDataFrame([(i, t, "s1") for i, (t, _) in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["raw_item_id"]: r["normalized_hash"] for r in catalog.QUERIES["normalized_hash"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, (_, t) in texts.items()}
+
+
+def test_matches_term(spark, duck):
+    sql = without(catalog.ORACLE["matches_term"], " WHERE a.p_partkey % 5 = 0").replace("left(b.p_name, 6)", "b.p_name")
+    assert plain(catalog.QUERIES["matches_term"](spark, SF).toPandas()) == plain(duck.sql(sql).df())
