@@ -21,6 +21,8 @@ LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}"
 #: A value that this many owners hold is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: So is one in this many repositories, whoever owns them.
+EXAMPLE_REPOSITORIES = 20
 
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
@@ -59,18 +61,21 @@ def secret_candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     return rows.select("row_id", "doc_id", "owner", F.concat(*kinds.values()).alias("base"), bare.alias("bare"))
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """value -> repositories, owners, verdict (live: one owner; example: example_owners or more; shared: between).
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """value -> repositories, owners, base_owners, verdict, of values that are a base credential somewhere.
 
-    A repository is a document here. Each level combines map-side, so that a value in a third of all rows costs
-    each task one row for each repository, then one for each owner.
+    Repositories and owners hold the value in a base or a bare span; base_owners hold it in a base span. Verdicts:
+    example (example_owners or example_repositories, or more), live (else, one base owner) and shared. A repository is
+    a document here. Each level combines map-side, so that a value in a third of all rows costs each task one row for
+    each repository, then one for each owner.
     """
-    each = found.select("owner", "doc_id", F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("value"))
-    repositories = each.groupBy("value", "owner", "doc_id").agg(F.lit(1).alias("one"))
-    owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    totals = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
-    verdict = F.when(F.col("owners") == 1, "live").when(F.col("owners") >= example_owners, "example").otherwise("shared")
-    return totals.withColumn("verdict", verdict)
+    values = lambda spans, base: F.transform(F.array_distinct(F.transform(spans, lambda x: x["value"])), lambda x: F.struct(x.alias("value"), F.lit(base).alias("base")))
+    each = found.select("owner", "doc_id", F.explode(F.concat(values("base", True), values("bare", False))).alias("x")).select("owner", "doc_id", "x.*")
+    repositories = each.groupBy("value", "owner", "doc_id").agg(F.max("base").alias("base"))
+    owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"), F.max("base").alias("base"))
+    totals = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"), F.count_if("base").alias("base_owners")).filter("base_owners > 0")
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    return totals.withColumn("verdict", F.when(example, "example").when(F.col("base_owners") == 1, "live").otherwise("shared"))
 
 
 def _joined(spans: Column) -> Column:
@@ -80,7 +85,8 @@ def _joined(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, repositories
+    (the most that hold one of the row's base credentials; 0 without any).
 
     Base spans are those of the three patterns. Added spans (kind copy) are bare tokens outside them whose value is a
     live-looking base credential elsewhere in the corpus; widely copied examples add none. Positions are code points.
@@ -96,6 +102,7 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", example_owners: int
     judged = each.join(verdicts, F.col("x.value") == F.col("value")).groupBy("row_id").agg(
         F.count_if(~copy & (F.col("verdict") == "live")).alias("n_live"),
         F.count_if(~copy & (F.col("verdict") == "example")).alias("n_example"),
+        F.max(F.when(~copy, F.col("repositories"))).alias("repositories"),
         F.collect_list(F.when(copy & (F.col("verdict") == "live"), F.col("x"))).alias("added"),
     )
     by_place = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
@@ -106,6 +113,7 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", example_owners: int
         F.sha2(_joined(by_place(F.col("base"))), 256).alias("base_sha256"),
         _joined(by_place(F.concat("base", F.coalesce("added", F.array().cast(_SPAN))))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )
 
 

@@ -362,3 +362,13 @@ def test_toxicity_reads_words_to_their_end(spark):
     got = by_id(score_toxicity(docs, marks))
     held = [(i, b) for i, b in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(got[i]["predicted"] == b for i, b in held) >= 0.95 * len(held)
+
+
+def test_secrets_copied_bare_or_in_one_source(spark):
+    from leadloom.llm.secrets import scan_secrets
+
+    bare, hot = "copied1everywhere", "onesource1example"
+    texts = [(f"token: {bare}", "s0")] + [(f"see {bare} again", f"s{i}") for i in (1, 2, 3)] + [(f"token: {hot}", "hot")] * 25
+    got = by_id(scan_secrets(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, source string")))
+    assert [got[0][c] for c in ("n_live", "n_example", "repositories")] == [0, 1, 4] and not any(got[i]["spans"] for i in (1, 2, 3))
+    assert [got[9][c] for c in ("n_live", "n_example", "repositories")] == [0, 1, 25]
