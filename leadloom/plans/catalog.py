@@ -171,7 +171,7 @@ def _sql_decode(x: str) -> str:
 
 @query("decode_entities", f"SELECT page_id, md5({_sql_decode('html')}) AS digest FROM pages WHERE NOT regexp_matches(html, '&#')")
 def _(v):
-    return v.table("pages").filter(~F.contains("html", F.lit("&#"))).select("page_id", F.md5(text.decode_entities("html")).alias("digest"))
+    return v.table("pages").select("page_id", F.md5(text.decode_entities("html")).alias("digest"))
 
 
 _LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -542,7 +542,7 @@ _F2 = lambda x: f"printf('%.2f', ({x})::DOUBLE + CASE WHEN ({x})::DOUBLE * 8 = f
  || '; effectiveConfidence min(analysisConfidence ' || {_F2('c')} || ', evidenceReliability ' || {_F2('r')} || ')=' || {_F2('e')} || '×10%=' || {_F2('pe')} || '; actionability ' || {_F2('a')} || '×10%=' || {_F2('pa')} || CASE WHEN total < raw_total THEN '; confidenceGuardrail capped priority at ' || gb || '/' || {_F2('top')} ELSE '; confidenceGuardrail not applied' END) AS digest
 FROM f4 WHERE id % 2 = 0""")
 def _(v):
-    rows = scoring.with_opportunity_score_v2(_factors(v).filter("id % 2 = 0"))
+    rows = scoring.with_opportunity_score_v2(_factors(v))
     return rows.select("id", F.md5(scoring.score_explanation(rows)).alias("digest"))
 
 
@@ -853,7 +853,7 @@ def _(v):
 @query("delivery_conflicts", f"WITH {DELIVERED} SELECT id, status FROM dr WHERE k > 1 AND status IN ('SENT', 'FAILED') AND status <> f")
 def _(v):
     changed = v.deliveries.withColumn("status", F.when((F.col("id") % 4000 == 1) & (F.col("id") > 4000), "FAILED").otherwise(F.col("status")))
-    return feedback.delivery_outcomes(changed)[1].filter("id % 4000 <> 1").select("id", "status")
+    return feedback.delivery_outcomes(changed)[1].select("id", "status")
 
 
 @query("new_deliveries", f"WITH {RECS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id {_TOP}) AS rank FROM recs WHERE status = 'CANDIDATE') SELECT 'NEW:' || user_id || ':' || id AS idempotency_key, rank FROM r WHERE rank <= 5 AND id % 3 <> 0")
@@ -921,7 +921,7 @@ _SQ = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"  # noqa: E
 
 @query("fact_support", f"WITH {GOLD} SELECT id, 'f' || id AS fact_id, id % 3 = 0 OR contains({_SQ('text')}, {_SQ('quote')}) AND id % 4 <> 0 AS supported FROM gold WHERE id % 3 <> 0")
 def _(v):
-    g = v.gold.filter("id % 3 <> 0")
+    g = v.gold
     made = g.select("id", F.col("facts")[0]["id"].alias("fact_id"), F.array("source_id").alias("source_ids"), F.col("facts")[0]["statement"].alias("statement"))
     return evals.fact_support(made, g.select("id", F.when(F.col("id") % 4 == 0, "other").otherwise(F.col("source_id")).alias("source_id"), "text"))
 

@@ -65,3 +65,26 @@ def test_normalized_hash(spark, tmp_path):
 def test_matches_term(spark, duck):
     sql = without(catalog.ORACLE["matches_term"], " WHERE a.p_partkey % 5 = 0").replace("left(b.p_name, 6)", "b.p_name")
     assert plain(catalog.QUERIES["matches_term"](spark, SF).toPandas()) == plain(duck.sql(sql).df())
+
+
+def test_score_explanation(spark, duck):
+    sql = without(catalog.ORACLE["score_explanation"], "WHERE id % 2 = 0")
+    assert plain(catalog.QUERIES["score_explanation"](spark, SF).toPandas()) == plain(duck.sql(sql).df())
+
+
+def test_fact_support(spark, duck):
+    sql = without(catalog.ORACLE["fact_support"], " WHERE id % 3 <> 0", "id % 3 = 0 OR ")
+    assert plain(catalog.QUERIES["fact_support"](spark, SF).toPandas()) == plain(duck.sql(sql).df())
+
+
+def test_decode_entities(spark, tmp_path):
+    import hashlib
+
+    spark.createDataFrame([(1, "a &#65; &#x42; &amp;"), (2, "b &lt;")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["digest"] for r in catalog.QUERIES["decode_entities"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in ((1, "a A B &"), (2, "b <"))}
+
+
+def test_delivery_conflicts(spark, duck):
+    wanted = duck.sql("SELECT event_id AS id, 'FAILED' AS status FROM events WHERE event_id % 4000 = 1 AND event_id > 4000").df()
+    assert len(wanted) and plain(catalog.QUERIES["delivery_conflicts"](spark, SF).toPandas()) == plain(wanted)
