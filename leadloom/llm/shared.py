@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ __all__ = ["cut", "new_table", "shared_dir"]
 
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACES = r"\x20\x09-\x0D"
+#: Longer words (in bytes) are hashed by a cryptographic digest.
+LONG = 64
 #: Byte budget of one vectorised step inside a task.
 CHUNK_BYTES = 1 << 20
 
@@ -40,8 +43,7 @@ def fold(doc_id: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of maximal runs of non-separators; 0 for null. Native."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACES}]+\z", "")
-    return F.length(F.regexp_replace(trimmed, rf"[{SPACES}]*[^{SPACES}]+", "x")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"[^{SPACES}]+")).cast("long")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,7 +55,9 @@ def partitions(spark: SparkSession) -> int:
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two independent families: of each a number for each byte, and a base.
+_BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _BYTES[0]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -97,16 +101,23 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
 
 
 class Words:
-    """Words of some texts: hashes, and for each text the range of its words."""
+    """Words of some texts: hashes, and for each text the range of its words.
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    Polynomial hashes modulo 2^64 are blind to some differences between long strings, so words of more than LONG bytes
+    have a part of a cryptographic digest as their hash. which names one of two independent families of hashes.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, which: int = 0):
         buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         if lower:
             buf = _LOWER[buf]
         gap = _SPACE[buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.hash = rolling(_BYTE[buf], self.starts, self.ends)
+        self.hash = rolling(_BYTES[which][buf], self.starts, self.ends, which)
+        for i in np.flatnonzero(self.ends - self.starts > LONG):
+            digest = hashlib.blake2b(buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest()
+            self.hash[i] = np.frombuffer(digest, np.uint64)[which]
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.starts, at)
         self.buf, self.at = buf, at

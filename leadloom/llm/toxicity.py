@@ -5,176 +5,196 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from leadloom.llm.shared import _BYTE, _LOWER, Words, as_bytes, chunks, fold, mix, read_documents, rolling
-
-#: At most this many labelled rows of each class are learned from: those with the smallest digests of their ids.
-SAMPLE_PER_CLASS = 3000
-#: Bytes that the models look at together: a byte, or the end of a word, and up to DEPTH - 1 bytes before it.
-DEPTH = 12
-#: Discounts of counts 1, 2 and more: what one text says alone is left to the shared counts.
-DISCOUNTS = (1.0, 1.5, 2.0)
-#: Beginnings seen less often in the sample than this count as unseen.
-LEAST = 2
-#: Cross-fitting parts for the calibration.
-PARTS = 4
-#: Upper bound of one word's log ratio, so that no single word decides a long text; ratios below the lower one, which
-#: mostly tell languages and topics apart, count 0.
-CLIP = (2.2, 8.0)
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from leadloom.llm.shared import _BYTE, as_bytes, chunks, cut, fold, mix, read_documents, rolling
+
+#: The sample that is learned from is bounded: so many labelled texts of each class, those with the smallest digests of
+#: their ids, and so many bytes of them; a text of more than a tenth of these bytes is not taken into the sample.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 3000, 12 << 20
+#: Order of the models: a byte, or the end of a word, is predicted from up to ORDER - 1 bytes of the word before it.
+ORDER = 12
+#: Absolute discounts of counts 1, 2 and more: up to three texts say nothing by themselves and leave all to the shared counts.
+DISCOUNTS = (1.0, 2.0, 3.0)
+#: Share of its words that a toxic text takes from the toxic model; the others come from the ordinary one.
+SHARE = 0.01
 #: Words of no evidence that each text is taken to have besides its own, so that very short texts need several signs.
 PRIOR_WORDS = 40
+#: Cross-fitting parts for the calibration, and the weight of a toxic text in it.
+PARTS, TOXIC_WEIGHT = 4, 8.0
 THRESHOLD = 0.7
-#: A toxic text counts as so many ordinary ones in the calibration.
-TOXIC_WEIGHT = 3.0
-
 
+#: Letters and digits of ASCII lowered, its other characters as spaces; bytes of other characters as they are.
+_FOLDED = np.array([ord(chr(c).lower()) if chr(c).isalnum() or c > 127 else 32 for c in range(128)] + list(range(128, 256)), np.uint8)
 #: Tell windows inside words, and what comes before their last byte, from beginnings of the same bytes.
 _INSIDE, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 class Beginnings:
-    """All beginnings of the words of some texts, in order: hashes, hashes without the last byte, last and next-to-last byte.
+    """All beginnings of the words of some texts, in order, each with its context (the beginning before its last byte).
 
-    Beyond DEPTH bytes a window of DEPTH bytes slides to the end of the word.
+    Beyond ORDER bytes a window of ORDER bytes slides to the end of the word. Context 0 is the start of a word.
     """
 
     def __init__(self, texts: list[bytes]):
-        words = Words(texts, lower=True)
-        buf = _LOWER[words.buf].copy()
-        buf[words.ends] = 32
-        depth = words.ends - words.starts + 1
+        buf = _FOLDED[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], buf == 32)).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        of_text = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        self.words = np.diff(of_text)  # of each text
+        self.word_text = np.repeat(np.arange(len(texts)), self.words)
+        depth = ends - starts + 1
         self.first = np.concatenate(([0], np.cumsum(depth)))  # of each word
-        start = np.repeat(words.starts, depth)
+        start = np.repeat(starts, depth)
         at = start + np.arange(self.first[-1]) - np.repeat(self.first[:-1], depth)
-        values, from_ = _BYTE[buf], np.maximum(start, at - (DEPTH - 1))
+        values, from_ = _BYTE[buf], np.maximum(start, at - (ORDER - 1))
         self.deep = np.flatnonzero(from_ > start)
         self.hash = rolling(values, from_, at + 1)
         self.hash[self.deep] ^= _INSIDE
-        self.parent = np.zeros(len(self.hash), np.uint64)  # 0: a word begins
-        self.parent[1:] = self.hash[:-1]
-        self.parent[self.first[:-1]] = 0
-        self.parent[self.deep] = rolling(values, from_[self.deep], at[self.deep]) ^ _CONTEXT
+        self.context = np.zeros(len(self.hash), np.uint64)
+        self.context[1:] = self.hash[:-1]
+        self.context[self.first[:-1]] = 0
+        self.context[self.deep] = rolling(values, from_[self.deep], at[self.deep]) ^ _CONTEXT
         self.byte, self.before = buf[at], np.where(at > start, buf[at - 1], 0).astype(np.uint8)
-        self.texts = words.first
-        self.of = np.repeat(np.arange(len(texts)), np.diff(words.first))  # of each word its text
-        own = words.hash ^ mix(self.of.astype(np.uint64) + np.uint64(1))
-        self.new = np.zeros(len(own), bool)  # words that their text has not had before
-        self.new[np.unique(own, return_index=True)[1]] = True
+        self.text = np.repeat(self.word_text, depth)
 
 
-class Ratios:
-    """Log ratios toxic / ordinary of each known beginning given the one before, in a few hash tables.
-
-    Only the arrays travel; each task builds the tables.
-    """
+class Table:
+    """hash -> value, 0 where unknown, in a few direct-mapped tables. Only the arrays travel; each task builds the tables."""
 
-    def __init__(self, hashes: np.ndarray, value: np.ndarray, back: np.ndarray, root: float):
-        self.hashes, self.value, self.back, self.root = hashes, value.astype(np.float32), back.astype(np.float32), root
-        self.keys: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.given = hashes, values.astype(np.float32)
+        self.ways: list[tuple[np.ndarray, np.ndarray]] = []
 
     def __getstate__(self):
-        return {**self.__dict__, "keys": [], "values": []}
+        return {"hashes": self.hashes, "given": self.given, "ways": []}
 
-    def build(self) -> None:
-        """Tables one after another, each for what found no place in those before it, until all have one."""
+    def _slot(self, hashes: np.ndarray, way: int) -> np.ndarray:
+        return (hashes >> np.uint64(7 * way) & np.uint64(len(self.ways[way][0]) - 1)).astype(np.int64)
+
+    def _build(self) -> None:
+        """Tables one after another, each for what found no place in those before it."""
         left = np.unique(self.hashes, return_index=True)[1]
-        while len(left):
+        while len(left) or not self.ways:
             bits = max(10, int(np.ceil(np.log2(len(left) + 1))) + 1)
-            keys, values = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, 2), np.float32)
-            self.keys.append(keys)
-            self.values.append(values)
-            slot = self.slot(self.hashes[left], len(self.keys) - 1)
-            _, one = np.unique(slot, return_index=True)
-            keys[slot[one]] = self.hashes[left[one]]
-            values[slot[one]] = np.stack((self.value[left[one]], self.back[left[one]]), axis=1)
+            keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+            self.ways.append((keys, values))
+            slot, one = np.unique(self._slot(self.hashes[left], len(self.ways) - 1), return_index=True)
+            keys[slot], values[slot] = self.hashes[left[one]], self.given[left[one]]
             left = np.delete(left, one)
 
-    def slot(self, h: np.ndarray, way: int) -> np.ndarray:
-        return (h >> np.uint64(7 * way) & np.uint64(len(self.keys[way]) - 1)).astype(np.int64)
-
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are known, and the values of each."""
-        known, got = np.zeros(len(hashes), bool), np.zeros((len(hashes), 2), np.float32)
-        for way in range(len(self.keys)):
-            rest = np.flatnonzero(~known) if way else slice(None)
-            h = hashes[rest]
-            slot = self.slot(h, way)
-            hit = self.keys[way][slot] == h
-            at = np.flatnonzero(hit) if way == 0 else rest[hit]
-            got[at] = self.values[way][slot[hit]]
-            known[at] = True
+        """Which of the hashes are known, and the value of each."""
+        if not self.ways:
+            self._build()
+        known, got = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
+        for way, (keys, values) in enumerate(self.ways):
+            rest = np.flatnonzero(~known)
+            slot = self._slot(hashes[rest], way)
+            hit = keys[slot] == hashes[rest]
+            got[rest[hit]] = values[slot[hit]]
+            known[rest[hit]] = True
         return known, got
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the length-normalised log ratio of its distinct words, and their number.
 
-        A word that a text repeats says nothing new.
-        """
-        if not self.keys:
-            self.build()
+class Ratios:
+    """Log ratios toxic / ordinary of the beginnings that one class at least tells something of, and of contexts' backoffs."""
+
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray, contexts: np.ndarray, backoffs: np.ndarray):
+        self.ratios, self.backoffs = Table(hashes, ratios), Table(contexts, backoffs)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Log-likelihood of each text as a toxic one less that as an ordinary one, over its number of words."""
         b = Beginnings(texts)
-        n = len(b.hash)
-        known, got = self.find(b.hash)
-        before = np.empty(n, np.float32)
-        before[1:] = got[:-1, 1]
-        went = np.empty(n, bool)
-        went[1:] = known[:-1]
-        before[b.first[:-1]], went[b.first[:-1]] = self.root, True
-        went[b.deep], deep = self.find(b.parent[b.deep])
-        before[b.deep] = deep[:, 1]
-        each = np.where(known, got[:, 0], np.where(went, before, 0))
-        words = np.minimum(np.add.reduceat(each, b.first[:-1]), CLIP[1]) if n else np.zeros(0)
-        words = np.where((words < CLIP[0]) | ~b.new, 0, words)
-        sums, n_new = np.bincount(b.of, words, len(texts)), np.bincount(b.of, b.new, len(texts))
-        return sums / (n_new + PRIOR_WORDS), n_new
-
-
-def kneser_ney(counts: pd.DataFrame, toxic: np.ndarray, ordinary: np.ndarray) -> Ratios:
-    """Interpolated Kneser-Ney by class: own counts given the beginning so far, backing off to counts shared by both.
-
-    counts: hash, parent, byte, before of each beginning; toxic and ordinary: texts of each class that have it. The
-    shared counts are those of both classes; they back off to the number of distinct beginnings in which a byte
-    follows the byte before it.
+        if not len(b.hash):
+            return np.zeros(len(texts))
+        known, each = self.ratios.find(b.hash)
+        rest = np.flatnonzero(~known)
+        each[rest] = self.backoffs.find(b.context[rest])[1]
+        words = np.add.reduceat(each.astype(np.float64), b.first[:-1])
+        toxic = np.logaddexp(np.log(1 - SHARE), np.log(SHARE) + words)
+        return np.bincount(b.word_text, toxic, len(texts)) / (b.words + PRIOR_WORDS)
+
+
+def _discount(count: Column) -> Column:
+    least = F.lit(0.0)
+    for n, d in enumerate(DISCOUNTS, 1):
+        least = F.when(count >= n, F.lit(d)).otherwise(least)
+    return F.least(count, least)
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(model, hash, value, is_context): the log ratios of interpolated Kneser-Ney models of both classes.
+
+    From (model, hash, context, base, toxic, ordinary): texts of each class that have a beginning, and base, the
+    probability of its last byte after the byte before it. A class's own discounted count given the context backs off
+    to the counts of both classes together, and these to base. A beginning whose counts are all discounted, in both
+    classes, has the ratio of its context's backoffs and needs no row; contexts of such beginnings only have ratio 0.
     """
-    both = toxic + ordinary
-    keep = both >= LEAST
-    c = counts[keep]
-    toxic, ordinary = toxic[keep], ordinary[keep]
-    pair = c["before"].to_numpy().astype(np.int64) * 256 + c["byte"].to_numpy()
-    kinds = np.bincount(pair, minlength=65536).astype(np.float64)
-    follow = kinds.reshape(256, 256).sum(1)
-    shared = (kinds[pair] + 0.1) / (follow[pair >> 8] + 25.6)
-    parents, of = np.unique(c["parent"].to_numpy(), return_inverse=True)
-
-    def level(own: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.bincount(of, own, len(parents))
-        cut_off = np.minimum(own, np.asarray((0.0, *DISCOUNTS))[np.minimum(own, 3).astype(int)])
-        free = np.where(total > 0, np.bincount(of, cut_off, len(parents)) / np.maximum(total, 1), 1.0)
-        free = np.maximum(free, 1e-6)
-        return np.where(total[of] > 0, (own - cut_off) / np.maximum(total[of], 1), 0) + free[of] * lower, free
-
-    lower, _ = level(toxic + ordinary, shared)
-    logs, backs = [], []
-    for own in (toxic, ordinary):
-        p, free = level(own, lower)
-        logs.append(np.log(np.maximum(p, 1e-12)))
-        backs.append(np.log(free))
-    back = backs[0] - backs[1]
-    hashes = c["hash"].to_numpy().astype(np.uint64)
-    at = np.searchsorted(parents, c["hash"].to_numpy())
-    has = (at < len(parents)) & (parents[np.minimum(at, len(parents) - 1)] == c["hash"].to_numpy()) if len(parents) else np.zeros(0, bool)
-    own_back = np.where(has, back[np.minimum(at, max(len(parents) - 1, 0))], 0.0) if len(parents) else np.zeros(0)
-    root = np.flatnonzero(parents == 0)
-    # What comes before the last byte of a window inside a word is no row of its own.
-    other = ~np.isin(parents, c["hash"].to_numpy()) & (parents != 0)
-    hashes = np.concatenate((hashes, parents[other].astype(np.uint64)))
-    own_back = np.concatenate((own_back, back[other]))
-    return Ratios(hashes, np.concatenate((logs[0] - logs[1], np.zeros(other.sum()))), own_back, float(back[root[0]]) if len(root) else 0.0)
+    both = F.col("toxic") + F.col("ordinary")
+    sums = []
+    for name, c in (("toxic", F.col("toxic")), ("ordinary", F.col("ordinary")), ("both", both)):
+        sums += [F.sum(c).alias(f"{name}_all"), F.sum(_discount(c)).alias(f"{name}_free")]
+    tells = F.greatest("toxic", "ordinary") > DISCOUNTS[-1]
+    contexts = counts.groupBy("model", "context").agg(*sums, F.max(tells).alias("tells")).filter("tells").drop("tells")
+    free = lambda name: F.when(F.col(f"{name}_all") > 0, F.greatest(F.lit(1e-6), F.col(f"{name}_free") / F.col(f"{name}_all"))).otherwise(1.0)
+    own = lambda name, c: F.when(F.col(f"{name}_all") > 0, (c - _discount(c)) / F.col(f"{name}_all")).otherwise(0.0)
+    shared = own("both", both) + free("both") * F.col("base")
+    rows = counts.filter(tells).join(contexts, ["model", "context"]).withColumn("shared", shared)
+    p = lambda name: own(name, F.col(name)) + free(name) * F.col("shared")
+    ratios = rows.select("model", "hash", F.log(p("toxic") / p("ordinary")).alias("value"), F.lit(False).alias("is_context"))
+    return ratios.unionByName(contexts.select("model", F.col("context").alias("hash"), F.log(free("toxic") / free("ordinary")).alias("value"), F.lit(True).alias("is_context")))
+
+
+def count_beginnings(sample: DataFrame) -> DataFrame:
+    """(hash, context, byte, before, toxic, ordinary): arrays of the texts with a beginning, by part. From (text, toxic, part)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            kind = batch.column("toxic").to_numpy(zero_copy_only=False) * PARTS + batch.column("part").to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(texts):
+                b = Beginnings(texts[lo:hi])
+                once = np.unique(b.hash ^ mix(b.text.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+                rows = np.stack((b.hash[once], kind[lo + b.text[once]].astype(np.uint64)), axis=1)
+                _, one, n = np.unique(mix(rows[:, 0]) + rows[:, 1], return_index=True, return_counts=True)
+                at = once[one]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.hash[at].view(np.int64)), pa.array(b.context[at].view(np.int64)), pa.array(b.byte[at].astype(np.int32)),
+                     pa.array(b.before[at].astype(np.int32)), pa.array(rows[one, 1].astype(np.int32)), pa.array(n)],
+                    names=["hash", "context", "byte", "before", "kind", "n"],
+                )
+
+    rows = sample.mapInArrow(count, "hash long, context long, byte int, before int, kind int, n long")
+    part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("double")
+    return rows.groupBy("hash", "context", "byte", "before").agg(
+        F.array(*[part(PARTS + p) for p in range(PARTS)]).alias("toxic"), F.array(*[part(p) for p in range(PARTS)]).alias("ordinary")
+    )
+
+
+def _models(sample: DataFrame) -> dict[int, Ratios]:
+    """Models that leave out one part each, and, as PARTS, the model of the whole sample. Only rows that tell come to the driver."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    counts = cut(count_beginnings(sample))
+    kinds = counts.groupBy("before", "byte").agg(F.count("*").alias("n"))  # 65,536 rows at most
+    befores = kinds.groupBy("before").agg(F.sum("n").alias("all"))
+    base = kinds.join(befores, "before").select("before", "byte", ((F.col("n") + 0.1) / (F.col("all") + 25.6)).alias("base"))
+    tells = F.greatest(total(F.col("toxic")), total(F.col("ordinary"))) > DISCOUNTS[-1]
+    contexts = counts.filter(tells).select("context").distinct()
+    variants = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("model"), *[(total(F.col(c)) - (F.element_at(c, m + 1) if m < PARTS else 0.0)).alias(c) for c in ("toxic", "ordinary")]
+    ) for m in range(PARTS + 1)]))
+    rows = counts.join(contexts, "context", "left_semi").join(base, ["before", "byte"]).select("hash", "context", "base", variants.alias("v"))
+    table = kneser_ney(rows.select("hash", "context", "base", "v.*").filter("toxic + ordinary > 0")).toArrow()
+    model, hashes, value, context = (table.column(c).to_numpy() for c in ("model", "hash", "value", "is_context"))
+    hashes, out = hashes.view(np.uint64), {}
+    for m in range(PARTS + 1):
+        a, b = (model == m) & ~context, (model == m) & context
+        out[m] = Ratios(hashes[a], value[a], hashes[b], value[b])
+    return out
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: float = TOXIC_WEIGHT) -> tuple[float, float]:
@@ -193,110 +213,101 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: float = TOXIC_WEIGHT) -> tup
     return float(w[0] / scale), float(w[1])
 
 
-def _counts(labelled: DataFrame) -> pd.DataFrame:
-    """hash, parent, byte, before and, for each class and part, the number of texts with that beginning. From (text, toxic, part)."""
-    kinds = 2 * PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            kind = batch.column("toxic").to_numpy(zero_copy_only=False) * PARTS + batch.column("part").to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(texts):
-                b = Beginnings(texts[lo:hi])
-                if not len(b.hash):
-                    continue
-                depth = np.diff(b.first)
-                text = np.repeat(b.of, depth)
-                once = np.unique(b.hash ^ mix(text.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-                frame = pd.DataFrame({
-                    "hash": b.hash[once].view(np.int64), "parent": b.parent[once].view(np.int64), "byte": b.byte[once].astype(np.int32),
-                    "before": b.before[once].astype(np.int32), "kind": kind[lo + text[once]].astype(np.int32),
-                })
-                frame = frame.groupby(list(frame.columns), sort=False).size().reset_index(name="n")
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    rows = labelled.mapInArrow(count, "hash long, parent long, byte int, before int, kind int, n long")
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(kinds)]
-    all_of = rows.groupBy("hash", "parent", "byte", "before").agg(*sums, F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    return all_of.drop("n").toArrow().to_pandas()
-
-
-def _scored(rows: DataFrame, pick, columns: list[str], schema: str) -> DataFrame:
-    """columns of rows, and x: the score of text by pick(batch)'s model for each part."""
+def _scored(rows: DataFrame, models, part: str | None = None) -> DataFrame:
+    """rows and, as _ll_x, the score of text by the broadcast model of the row's part, or by the whole sample's."""
+    columns = rows.columns
+    at_text = columns.index("text")
+    at_part = columns.index(part) if part else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = pick()
+        known = models.value
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            part = batch.column("part").to_numpy(zero_copy_only=False)
+            texts = as_bytes(batch.column(at_text))
+            parts = batch.column(at_part).to_numpy(zero_copy_only=False) if part else np.full(len(texts), PARTS)
             x = np.zeros(len(texts))
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
+            for p in np.unique(parts):
+                at = np.flatnonzero(parts == p)
                 own = [texts[i] for i in at]
                 for lo, hi in chunks(own):
-                    x[at[lo:hi]] = models[p].score(own[lo:hi])[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(x)], names=[*columns, "x"])
+                    x[at[lo:hi]] = known[int(p)].score(own[lo:hi])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*columns, "_ll_x"])
 
-    return rows.mapInArrow(score, f"{schema}, x double")
+    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("_ll_x", DoubleType())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[Ratios, float, float]:
-    """Model, slope and offset from rows whose fold is not 1.
+def choose_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, toxic, part): the bounded sample of labelled rows whose fold is not 1, each text of a class once.
 
-    A bounded sample is learned from: sample_per_class labelled rows of each class, those with the smallest digests of
-    their ids. Counts are made in Spark; the table of beginnings seen twice or more, bounded by the sample, comes to
-    the driver. The calibration scores each part of the sample with a model of the other parts.
+    Only ids, digests and sizes of at most per_class rows of each class come to the driver.
     """
     spark = docs.sparkSession
-    named = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    named = named.filter(fold(F.col("doc_id")) != 1).withColumn("digest", F.md5(F.col("doc_id").cast("string")))
-    ids = [
-        named.filter(F.col("toxic") == c).orderBy("digest").limit(sample_per_class).select("doc_id", "toxic") for c in (0, 1)
-    ]
-    chosen = ids[0].unionByName(ids[1]).toArrow().to_pandas()  # 2 * sample_per_class rows at most
-    chosen = spark.createDataFrame(chosen.astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
+    named = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    named = named.filter(fold(F.col("doc_id")) != 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(named, "doc_id")
+    keyed = rows.select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string")).alias("digest"), F.md5("text").alias("sha"), F.octet_length("text").alias("size"))
+    keyed = cut(keyed.filter(F.col("size") * 10 <= most_bytes).groupBy("toxic", "sha").agg(F.min(F.struct("digest", "doc_id", "size")).alias("x")).select("toxic", "sha", "x.*"))
+    chosen = []
+    for c in (0, 1):
+        room = most_bytes
+        for r in keyed.filter(F.col("toxic") == c).orderBy("digest", "sha").limit(per_class).collect():
+            room -= r["size"]
+            if room < 0:
+                break
+            chosen.append((r["doc_id"], r["sha"]))
     part = F.pmod(F.crc32(F.concat(F.lit("part "), F.col("doc_id").cast("string"))), F.lit(PARTS)).cast("int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", part).select("text", "toxic", "part")
-    counts = _counts(rows)
-    by_kind = counts[[f"k{k}" for k in range(2 * PARTS)]].to_numpy(dtype=np.float64)
-    ordinary, toxic = by_kind[:, :PARTS], by_kind[:, PARTS:]
-    models = {}
-    for p in range(PARTS):
-        others = [q for q in range(PARTS) if q != p]
-        models[p] = kneser_ney(counts, toxic[:, others].sum(1), ordinary[:, others].sum(1))
-    shared = spark.sparkContext.broadcast(models)
-    sample = _scored(rows, lambda: shared.value, ["toxic"], "toxic int").toArrow().to_pandas()
-    slope, offset = calibrate(sample["x"].to_numpy(), sample["toxic"].to_numpy().astype(np.float64))
-    return kneser_ney(counts, toxic.sum(1), ordinary.sum(1)), slope, offset
+    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, sha string"))  # 2 * per_class rows at most
+    rows = rows.withColumn("sha", F.md5("text")).join(picked, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"])
+    return rows.select("text", "toxic", part.alias("part"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS):
+    """Broadcast models, slope and offset, from a bounded sample of rows whose fold is not 1.
+
+    Counts and Kneser-Ney levels are made in Spark. The calibration scores each part of the sample with a model of the
+    other parts.
+    """
+    sample = cut(choose_sample(docs, labels, sample_per_class))
+    models = docs.sparkSession.sparkContext.broadcast(_models(sample))
+    scored = _scored(sample, models, "part").select("toxic", "_ll_x").toArrow()
+    slope, offset = calibrate(scored.column("_ll_x").to_numpy(), scored.column("toxic").to_numpy().astype(np.float64))
+    return models, slope, offset
+
+
+def _probability(slope: float, offset: float) -> Column:
+    return 1 / (1 + F.exp(-(F.lit(slope) * F.col("_ll_x") + F.lit(offset))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted.
 
-    A text's words are read from their beginnings, byte by byte (A-Z lowered) to their end. Each
-    class has a Kneser-Ney model of the next byte given the beginning so far, of which beyond DEPTH bytes the last DEPTH - 1 count, smoothed by counts that both share. The
-    length-normalised log ratio of a text's distinct words goes through a logistic curve that was fitted on
-    parts of the sample left out of the counts.
+    Words (A-Z lowered, split at ASCII characters other than letters and digits) are read byte by byte from their beginnings
+    to their end; a byte is predicted from up to ORDER - 1 bytes of its word before it. Each class has an interpolated Kneser-Ney
+    model that backs off to counts that both share. The ordinary log-likelihood of a text is that of the ordinary
+    model; the toxic one takes each word from the toxic model with probability SHARE, else from the ordinary one. Their
+    difference over the number of words (and PRIOR_WORDS) may have either sign; it goes through a logistic curve that
+    was fitted on parts of the sample left out of the counts.
 
-    Null and empty text has log ratio 0 and so the score of a text without evidence. Rows with null ids are scored;
+    Null and empty text has difference 0 and so the score of a text without evidence. Rows with null ids are scored;
     held_out is then false. Labels that contradict each other count as toxic. Without labels of both classes scores
-    stay below the threshold. Repeated rows are scored each.
+    stay below the threshold. Repeated rows are scored each; equal texts have equal scores. An empty table gives an
+    empty result. Columns other than doc_id and text are not read.
     """
-    model, slope, offset = train(docs, labels, sample_per_class)
-    shared = docs.sparkSession.sparkContext.broadcast({0: model})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("part"))
-    scored = _scored(rows, lambda: shared.value, ["doc_id"], "doc_id long")
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("x") + F.lit(offset))))
+    models, slope, offset = train(docs, labels, sample_per_class)
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), models)
     return scored.select(
-        "doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), score.alias("score")
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), _probability(slope, offset).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns. Rows with a null id stay."""
-    toxic = score_toxicity(docs, labels, **how).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns, in one pass after the training.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids stay or go like any other. Null and
+    empty texts stay. An empty table gives an empty result.
+    """
+    models, slope, offset = train(docs, labels, sample_per_class)
+    return _scored(docs, models).filter(_probability(slope, offset) < threshold).select(*docs.columns)
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -267,9 +267,12 @@ def test_jaccard(spark, docs, rows, none, monkeypatch, width, percent, frequent,
         assert jaccard.jaccard_components(none).count() == 0
 
 
-def test_components(spark):
-    from leadloom.llm.components import connected_components
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_components(spark, monkeypatch, last):
+    from leadloom.operators import graph
+    from leadloom.operators.graph import connected_components
 
+    monkeypatch.setattr(graph, "LAST_EDGES", last)
     r = random.Random(4)
     for edges in ([(i, i + 1) for i in range(60)], [(r.randrange(90), r.randrange(90)) for _ in range(50)], [(5, 5)], [(-3, 2**62), (2**62, 7), (None, 1)]):
         root = {}
