@@ -5,57 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import cut, read_documents
+from leadloom.llm.shared import cut, join_counted, read_documents
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
     """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
-    Lengths that occur once drop out first, then (length, prefix hash) pairs that occur once; only rows of the
-    groups that survive are grouped by the hash of their full content. Every level counts with map-side
-    combination, so a group of a third of all rows costs each task one row.
+    Lengths that occur once drop out first, then (length, prefix hash) pairs that occur once; only rows of the groups
+    that survive are grouped by the hash of their full content. The digest of each row is a result, so lengths, prefix
+    hashes and digests are taken in one scan; no text is shuffled. Every level counts with map-side combination, and
+    rows meet the counts of hot keys by a bounded broadcast, so a group of a third of all rows burdens no task.
 
     Null text counts as empty. Of equal texts the row with the largest id stays; of repeated rows with that id, the
     one read last (row_id). Null ids are smallest. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    keyed = rows.withColumns({"n_bytes": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, prefix_chars))})
-    by_length = keyed.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
-    by_prefix = (
-        keyed.join(by_length, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").count().filter("count > 1")
-        .select("n_bytes", "prefix", F.lit(True).alias("open"))
-    )
-    hashed = cut(
-        keyed.join(by_prefix, ["n_bytes", "prefix"], "left")
-        .select("row_id", "doc_id", F.col("open").isNotNull().alias("open"), F.sha2("text", 256).alias("text_sha256"))
-    )
-    opened = hashed.filter("open")
-    groups = opened.groupBy("text_sha256").agg(
-        F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count("*").alias("group_size")
-    )
-    same = opened.join(groups, "text_sha256").select(
-        "row_id", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
-        (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256",
-    )
-    alone = hashed.filter("not open").select(
-        "row_id", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256",
-    )
-    return same.unionByName(alone)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = cut(docs.select(
+        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.octet_length(text).alias("n_bytes"),
+        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"), F.unhex(F.sha2(text, 256)).alias("sha"),
+    ))
+    total = rows.count()
+    alone = []
+    for key in (["n_bytes"], ["n_bytes", "prefix"]):
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1")
+        marked = cut(join_counted(rows, sizes, key, "size", total))
+        alone.append(marked.filter("size is null").select("row_id", "doc_id", "sha"))
+        rows = marked.filter("size is not null").drop("size")
+    groups = rows.groupBy("sha").agg(F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count("*").alias("group_size"))
+    same = join_counted(rows.select("row_id", "doc_id", "sha"), groups, ["sha"], "group_size", total)
+    digest = F.lower(F.hex("sha")).alias("text_sha256")
+    out = same.select("row_id", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), digest)
+    for one in alone:
+        out = out.unionByName(one.select("row_id", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest))
+    return out
 
 
-def drop_copies(docs: DataFrame, prefix_chars: int = 128) -> DataFrame:
-    """The rows that exact_dedup keeps, with all their columns."""
-    columns = docs.columns
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_dedup(docs, prefix_chars=prefix_chars).filter("kept").select(name.alias("_ll_id"), F.col("text_sha256").alias("_ll_sha"))
-    marked = docs.withColumns({"_ll_id": name, "_ll_sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
-    # repeated rows meet in the join's partitions: of those with the same id and text, one stays
-    return marked.join(kept, ["_ll_id", "_ll_sha"], "left_semi").dropDuplicates(["_ll_id", "_ll_sha"]).select(*columns)
+def drop_copies(docs: DataFrame, prefix_chars: int = 128, is_table: bool = False) -> DataFrame:
+    """The rows that exact_dedup keeps, with all their columns: of equal texts the row with the largest id (of those the one
+    read last), whatever else shares its id.
+
+    is_table: docs is read from files, whose rows have fixed places; other rows are written to the shared folder first.
+    Null text counts as empty. An empty table gives an empty result.
+    """
+    docs = docs if is_table else cut(docs)
+    away = exact_dedup(docs, prefix_chars=prefix_chars).filter("not kept").select(F.col("row_id").alias("_ll_row"))
+    return docs.withColumn("_ll_row", F.monotonically_increasing_id()).join(away, "_ll_row", "left_anti").select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

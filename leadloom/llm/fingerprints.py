@@ -19,6 +19,8 @@ CELLS, HASHES = 48, 3
 #: Differences are taken with sketches of up to so many doublings of CELLS; each retry doubles.
 DOUBLINGS = 12
 ROUNDS = 60
+#: Text of a range of ids, and most ranges (their bounds, 8 bytes each, are part of the plan); a task streams through its ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 
 
 def digests(text: str) -> np.ndarray:
@@ -59,18 +61,55 @@ def sketch(sets: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray,
     return count.reshape(n, cells), key.reshape(n, cells), sums.reshape(n, cells)
 
 
+_CELL = np.dtype([("count", ">u2"), ("key", ">u8"), ("check", ">u8")])
+
+
 def fingerprint(count: np.ndarray, key: np.ndarray, sums: np.ndarray) -> list[str]:
-    """The sketch as hexadecimal text: of each cell the count (2 bytes, modulo), key and check sums (4 bytes each)."""
-    packed = np.zeros(count.shape, np.dtype([("c", ">u2"), ("k", ">u4"), ("s", ">u4")]))
-    packed["c"], packed["k"], packed["s"] = count & 0xFFFF, (key >> np.uint64(32)).astype(np.uint32), (sums >> np.uint64(32)).astype(np.uint32)
+    """Sketches as hexadecimal text: of each cell the count (modulo 2^16) and the whole key and check sums."""
+    packed = np.zeros(count.shape, _CELL)
+    packed["count"], packed["key"], packed["check"] = count & 0xFFFF, key, sums
     return [row.tobytes().hex() for row in packed]
 
 
+def subtract(left: str, right: str) -> tuple[set[int], set[int]] | None:
+    """Digests that only the left and only the right text has, recovered from two stored fingerprints alone.
+
+    None if peeling gets stuck: then make both again with more cells.
+    """
+    a, b = (np.frombuffer(bytes.fromhex(x), _CELL) for x in (left, right))
+    count = (a["count"].astype(np.int64) - b["count"].astype(np.int64) + 0x8000) % 0x10000 - 0x8000
+    key, sums = (a[c].astype(np.uint64) ^ b[c].astype(np.uint64) for c in ("key", "check"))
+    keys, sign, _, clean = peel(count, key, sums, len(a))
+    return ({int(k) for k in keys[sign > 0]}, {int(k) for k in keys[sign < 0]}) if clean[0] else None
+
+
+def peel(count: np.ndarray, key: np.ndarray, sums: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests in subtracted sketches that lie one after another, their signs, which sketch each is of, and which came out empty."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for _ in range(ROUNDS):
+        pure = np.flatnonzero((np.abs(count) == 1) & (check(key) == sums))
+        if not len(pure):
+            break
+        _, once = np.unique(key[pure] ^ mix((pure // cells).astype(np.uint64) + np.uint64(1)), return_index=True)
+        at = pure[once]
+        keys, sign, pair = key[at], count[at], at // cells
+        found.append((keys, sign, pair))
+        checks = check(keys)
+        for place in places(keys, cells):
+            np.add.at(count, pair * cells + place, -sign)
+            np.bitwise_xor.at(key, pair * cells + place, keys)
+            np.bitwise_xor.at(sums, pair * cells + place, checks)
+    clean = ~((count != 0) | (key != 0) | (sums != 0)).reshape(-1, cells).any(axis=1)
+    keys, sign, pair = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    return keys, sign, pair, clean
+
+
 def differences(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each pair of sets how many digests only the left and only the right one has, and the cells that sufficed.
 
-    The sketches are subtracted cell by cell; cells that hold one digest are peeled until none is left. Pairs that do
-    not come out empty are tried again with twice the cells. Batches of pairs are peeled together.
+    The first sketches are those of the fingerprints. They are subtracted cell by cell; cells that hold one digest are
+    peeled until none is left. Pairs that do not come out empty are tried again with twice the cells. Batches of pairs
+    are peeled together.
     """
     n = len(left)
     only_left, only_right, used = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -82,22 +121,8 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.nda
         for lo in range(0, len(todo), max(1, (1 << 18) // cells)):
             some = todo[lo : lo + max(1, (1 << 18) // cells)]
             a, b = sketch([left[i] for i in some], cells), sketch([right[i] for i in some], cells)
-            count, key, sums = (a[0] - b[0]).ravel(), (a[1] ^ b[1]).ravel(), (a[2] ^ b[2]).ravel()
-            got = np.zeros((2, len(some)), np.int64)
-            for _ in range(ROUNDS):
-                pure = np.flatnonzero((np.abs(count) == 1) & (check(key) == sums))
-                if not len(pure):
-                    break
-                pair = pure // cells
-                _, once = np.unique(key[pure] ^ mix(pair.astype(np.uint64) + np.uint64(1)), return_index=True)
-                keys, sign, pair = key[pure[once]], count[pure[once]], pair[once]
-                np.add.at(got, ((sign < 0).astype(int), pair), 1)
-                checks = check(keys)
-                for at in places(keys, cells):
-                    np.add.at(count, pair * cells + at, -sign)
-                    np.bitwise_xor.at(key, pair * cells + at, keys)
-                    np.bitwise_xor.at(sums, pair * cells + at, checks)
-            clean = ~((count != 0) | (key != 0) | (sums != 0)).reshape(len(some), cells).any(axis=1)
+            _, sign, pair, clean = peel((a[0] - b[0]).ravel(), (a[1] ^ b[1]).ravel(), (a[2] ^ b[2]).ravel(), cells)
+            got = np.stack([np.bincount(pair[sign > 0], minlength=len(some)), np.bincount(pair[sign < 0], minlength=len(some))])
             done = some[clean]
             only_left[done], only_right[done], used[done] = got[0, clean], got[1, clean], cells
         todo = todo[used[todo] == 0]
@@ -141,15 +166,17 @@ def fingerprint_documents(docs: DataFrame, pieces: int | None = None) -> DataFra
     the bounds and first ids of the ranges come to the driver.
 
     Null text is empty; an empty text has an empty set of digests and is like an empty one. Of repeated rows each
-    follows the other in an order by text. Rows with a null id come before all others. A single document is followed
-    by itself. An empty table gives an empty result.
+    follows the other in an order by text; they share a range, which one task streams through. Rows with a null id come
+    before all others. A single document is followed by itself. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     least = F.coalesce("doc_id", F.lit(-(2**63)))
     ids = rows.select(least.alias("id"))
-    pieces = pieces or 2 * partitions(spark)
-    marks = ids.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)] or [0.5], 10000).alias("q"), F.count("*").alias("n")).first()
+    if pieces is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        pieces = max(2 * partitions(spark), min(MOST_RANGES, size // RANGE_BYTES))
+    marks = ids.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)] or [0.5], max(10000, 20 * pieces)).alias("q"), F.count("*").alias("n")).first()
     bounds = sorted(set(marks["q"] or []))
     placed = rows.withColumn("_id", least).withColumn("piece", range_of(F.col("_id"), bounds))
     firsts = {r["piece"]: r["id"] for r in placed.groupBy("piece").agg(F.min("_id").alias("id")).collect()}  # a row for each range

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.shared import _LOWER, chunks, fold, mix, read_documents
@@ -83,7 +84,8 @@ def learn(
 ) -> Centroids | None:
     """Centroids from rows whose fold is not 1 and that have a language and a letter; None without such rows.
 
-    Document frequencies are of all these rows, summed in Spark. The centroids come from a bounded sample:
+    Document frequencies are of all these rows, summed in Spark in the same scan as the sizes of the languages, of which
+    one row each comes to the driver. The centroids come from a bounded sample:
     sample_per_language rows of each language, sample rows in all at most; its vectors come to the driver.
     """
     spark = docs.sparkSession
@@ -91,36 +93,40 @@ def learn(
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), "text")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(FEATURES, np.int64), 0
+        """Rows with each feature, and, where at is null, rows of each language."""
+        df, languages = np.zeros(FEATURES, np.int64), Counter()
         for batch in batches:
             texts = [x.encode() for x in batch.column("text").to_pylist()]
             for lo in range(0, len(texts), 256):
                 df += (frequencies(texts[lo : lo + 256]) > 0).sum(axis=0)
-            n += len(texts)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(np.append(df, n))], names=["at", "n"])
+            languages.update(batch.column("lang").to_pylist())
+        if languages:
+            at, names = [*range(FEATURES), *[None] * len(languages)], [*[None] * FEATURES, *languages]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(names, pa.string()), pa.array([*df.tolist(), *languages.values()], pa.int64())], names=["at", "lang", "n"])
 
-    counts = rows.mapInArrow(presence, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = rows.select("lang", "text").mapInArrow(presence, "at long, lang string, n long").groupBy("at", "lang").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if not len(counts):
         return None
-    df = np.zeros(FEATURES + 1)
-    df[counts["at"]] = counts["n"]
-    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1).astype(np.float32)
-    languages = sorted(x[0] for x in rows.select("lang").distinct().collect())
+    features, sizes = counts[counts["at"].notna()], counts[counts["at"].isna()]
+    df = np.zeros(FEATURES)
+    df[features["at"].astype(int)] = features["n"]
+    idf = (np.log((sizes["n"].sum() + 1) / (df + 1)) + 1).astype(np.float32)
+    languages = sorted(sizes["lang"])
     each = max(1, min(sample_per_language, sample // len(languages)))
+    # digests below a language's bound are about 4 * each rows, so the window below meets a bounded number of rows
+    bounds = spark.createDataFrame([(x, min(1.0, 4 * each / int(n))) for x, n in zip(sizes["lang"], sizes["n"])], "lang string, bound double")
     digest = F.md5(F.col("doc_id").cast("string"))
-    ids = None
-    for name in languages:
-        some = rows.filter(F.col("lang") == name).select("doc_id", digest.alias("digest")).orderBy("digest").limit(each).select("doc_id")
-        ids = some if ids is None else ids.unionByName(some)
-    chosen = spark.createDataFrame(ids.toArrow().to_pandas(), "doc_id long")
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id"))
+    chosen = rows.join(F.broadcast(bounds), "lang").filter(share < F.col("bound")).withColumn("digest", digest)
+    chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(frequencies([t.encode() for t in batch.column("text").to_pylist()]) * idf)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "v"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(vectors, "lang string, v binary").toArrow().to_pandas()
+    got = chosen.mapInArrow(vectors, "lang string, v binary").toArrow().to_pandas()
     names, centers, radius = [], [], []
     for name in languages:
         x = np.stack([np.frombuffer(v, np.float32) for v in sorted(got["v"][got["lang"] == name])])

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 from leadloom.llm.shared import read_documents
 
-#: Entries of a task's caches; a full cache starts anew.
-CACHE = 250_000
+#: Entries of a task's caches; a full cache starts anew. Longer units (in characters) are not cached.
+CACHE, CACHED_LENGTH = 250_000, 64
 
 
 class PieceEncoder:
@@ -153,9 +153,9 @@ class PieceEncoder:
         except KeyError:
             if len(cache) >= CACHE:
                 cache.clear()
-            for u in {u for u in units if u not in cache}:
+            for u in {u for u in units if len(u) <= CACHED_LENGTH and u not in cache}:
                 cache[u] = self.unit_ids(u)
-            found = [cache[u] for u in units]
+            found = [cache[u] if len(u) <= CACHED_LENGTH else self.unit_ids(u) for u in units]
         joined = ",".join(found)
         return joined, joined.count(",") + 1
 

@@ -27,27 +27,64 @@ EXAMPLE_REPOSITORIES = 20
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
+#: Numbers are summed in blocks of so many, then blocks: arrays that grow by copying stay short.
+BLOCK = 256
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once although use names it within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums_before(values: Column, first: Column) -> Column:
+    """first plus the sum of the values before each value."""
+    start = F.struct(first.alias("p"), F.array().cast("array<int>").alias("s"))
+    return F.aggregate(values, start, lambda a, x: F.struct((a["p"] + x).alias("p"), F.array_append(a["s"], a["p"]).alias("s")), lambda a: a["s"])
+
+
+def _running(values: Column) -> Column:
+    """For each value the sum of those before it."""
+    def by_blocks(v: Column) -> Column:
+        n = F.ceil(F.size(v) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, _sums_before(sums, F.lit(0)), _sums_before))
+
+    return _once(values, by_blocks)
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans of a pattern: text between matches and the matches give the starts by a running sum of lengths."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("s")),
-        lambda a, x: F.struct((a["p"] + x["g"] + x["m"]).alias("p"), F.array_append(a["s"], a["p"] + x["g"]).alias("s")),
-        lambda a: a["s"],
-    )
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(starts.alias("s"), found.alias("m"), values.alias("v"))
-    good = F.filter(rows, lambda x: F.length(x["v"]) >= least)
-    return F.transform(good, lambda x: F.struct(
-        x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), F.sha2(x["v"], 256).alias("value")
-    )).cast(_SPAN)
+    """Spans of a pattern: text between matches and the matches give the starts by running sums of lengths."""
+    def of(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+        sizes = F.transform(found, F.length)
+        starts = _running(F.flatten(F.zip_with(gaps, sizes, lambda g, m: F.array(g, m))))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        starts = F.filter(starts, lambda x, i: i % 2 == 1)  # of the matches
+        rows = F.arrays_zip(starts.alias("s"), sizes.alias("m"), values.alias("v"))
+        good = F.filter(rows, lambda x: F.length(x["v"]) >= least)
+        return F.transform(good, lambda x: F.struct(
+            x["s"].alias("start"), (x["s"] + x["m"]).alias("end"), F.lit(kind).alias("kind"), F.sha2(x["v"], 256).alias("value")
+        )).cast(_SPAN)
+
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+
+
+def _inside(span: Column, spans: Column) -> Column:
+    """Whether one of the spans (ascending, none overlapping) holds a span: the last that starts no later, by binary search."""
+    bits = F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int")
+    steps = F.slice(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), 32 - bits, bits)
+
+    def step(at: Column, by: Column) -> Column:
+        to = at + by
+        return F.when((to <= F.size(spans)) & (F.try_element_at(spans, to)["start"] <= span["start"]), to).otherwise(at)
+
+    last = F.aggregate(steps, F.lit(0), step)
+    return F.coalesce(F.try_element_at(spans, F.greatest(last, F.lit(1)))["end"] >= span["end"], F.lit(False)) & (last > 0)
 
 
 def secret_candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
-    """One row per input row: row_id, doc_id, owner, base and bare spans with the digest of their credential."""
+    """One row per input row: row_id, doc_id, owner, the spans of each base kind and bare ones, with the digest of their credential."""
     text = F.col("_text")
     none = F.array().cast(_SPAN)
     rows = docs.select(
@@ -58,7 +95,7 @@ def secret_candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     for kind, (name, (pattern, group, least)) in enumerate(BASE.items()):
         kinds[name] = F.when(text.rlike(SCREEN[name]), _spans(text, LONG.get(name, pattern), group, least, kind)).otherwise(none)
     bare = F.when(text.rlike(BARE), _spans(text, BARE, 0, 12, len(BASE))).otherwise(none)
-    return rows.select("row_id", "doc_id", "owner", F.concat(*kinds.values()).alias("base"), bare.alias("bare"))
+    return rows.select("row_id", "doc_id", "owner", *[x.alias(name) for name, x in kinds.items()], bare.alias("bare"))
 
 
 def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
@@ -70,7 +107,7 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_re
     each repository, then one for each owner.
     """
     values = lambda spans, base: F.transform(F.array_distinct(F.transform(spans, lambda x: x["value"])), lambda x: F.struct(x.alias("value"), F.lit(base).alias("base")))
-    each = found.select("owner", "doc_id", F.explode(F.concat(values("base", True), values("bare", False))).alias("x")).select("owner", "doc_id", "x.*")
+    each = found.select("owner", "doc_id", F.explode(F.concat(values(F.concat(*BASE), True), values("bare", False))).alias("x")).select("owner", "doc_id", "x.*")
     repositories = each.groupBy("value", "owner", "doc_id").agg(F.max("base").alias("base"))
     owners = repositories.groupBy("value", "owner").agg(F.count("*").alias("n"), F.max("base").alias("base"))
     totals = owners.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"), F.count_if("base").alias("base_owners")).filter("base_owners > 0")
@@ -96,8 +133,8 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", example_owners: int
     """
     found = cut(secret_candidates(docs, owner_col))
     verdicts = ownership(found, example_owners)
-    outside = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] <= b["start"]) & (b["end"] <= s["end"])))
-    each = found.select("row_id", F.explode(F.concat("base", outside)).alias("x"))
+    outside = F.filter("bare", lambda b: ~(_inside(b, F.col("assign")) | _inside(b, F.col("access")) | _inside(b, F.col("hex"))))
+    each = found.select("row_id", F.explode(F.concat(*BASE, outside)).alias("x"))
     copy = F.col("x.kind") == len(BASE)
     judged = each.join(verdicts, F.col("x.value") == F.col("value")).groupBy("row_id").agg(
         F.count_if(~copy & (F.col("verdict") == "live")).alias("n_live"),
@@ -107,11 +144,10 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", example_owners: int
     )
     by_place = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     out = found.join(judged, "row_id", "left")
-    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return out.select(
-        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
-        F.sha2(_joined(by_place(F.col("base"))), 256).alias("base_sha256"),
-        _joined(by_place(F.concat("base", F.coalesce("added", F.array().cast(_SPAN))))).alias("spans"),
+        "doc_id", *[F.size(name).cast("long").alias(f"n_{name}") for name in BASE],
+        F.sha2(_joined(by_place(F.concat(*BASE))), 256).alias("base_sha256"),
+        _joined(by_place(F.concat(*BASE, F.coalesce("added", F.array().cast(_SPAN))))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
         F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )

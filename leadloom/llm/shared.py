@@ -50,6 +50,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows left join keys, where size is the number of rows of a key.
+
+    Keys of more than 1/1024 of all rows, of which there are fewer than 1024, are broadcast: no task gets a hot key.
+    """
+    hot = F.broadcast(keys.filter(F.col(size) * 1024 > total))
+    rare = keys.filter(F.col(size) * 1024 <= total)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rare, on, "left"))
+
+
 # ---------------------------------------------------------------- vectorised hashing inside tasks
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -8,10 +8,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import cut, new_table, read_documents
+from leadloom.llm.shared import cut, join_counted, new_table, read_documents
 
 CACHE_SCHEMA = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
 LIMIT = 1024
@@ -75,8 +76,8 @@ def count_tokens(
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit, cached (known before this run).
 
-    The cache is a parquet table of (content digest, tokenizer digest, count) at cache_path; it is created if absent
-    and appended to. One row per distinct missing content is encoded; the smallest id stands for its copies, so only
+    The cache is a parquet table of (content digest, tokenizer digest, count) at cache_path, read once; new counts are
+    appended, and the table is created with the first ones. One row per distinct missing content is encoded; the smallest id stands for its copies, so only
     ids meet in the choice and a group of a third of all rows costs each task one row.
 
     Null text is empty and has 0 tokens. Repeated rows are counted each. An empty table gives an empty result and
@@ -86,31 +87,41 @@ def count_tokens(
     version = file_digest(tokenizer)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("content_sha256", F.sha2("text", 256))
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens")
     digests = cut(keyed.select("doc_id", "content_sha256", F.octet_length("text").cast("long").alias("n_bytes")))
-    old = cut(digests.select("content_sha256").distinct().join(known, "content_sha256"))
+    total = digests.count()
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    missing = digests.join(old, "content_sha256", "left_anti").groupBy("content_sha256").agg(F.min(name).alias("name"))
+    contents = digests.groupBy("content_sha256").agg(F.min(name).alias("name"), F.count("*").alias("copies"))
+    contents = cut(contents.join(_cached(spark, cache_path, version), "content_sha256", "left"))
+    missing = contents.filter("n_tokens is null").select("content_sha256", "name")
     chosen = keyed.withColumn("name", name).join(missing, ["name", "content_sha256"], "left_semi").select("content_sha256", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer, ranks)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("content_sha256"), pa.array([version] * len(texts), pa.string()), pa.array(count(texts), pa.int64())],
-                names=["content_sha256", "tokenizer_sha256", "n_tokens"],
-            )
-
-    chosen.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content_sha256"]).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_sha256") == version)
-    # a run that was broken off and run again may have stored a count twice
-    counts = counts.groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
-    out = digests.join(counts, "content_sha256").join(old.select("content_sha256", F.lit(True).alias("old")), "content_sha256", "left")
-    return out.select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("old").isNotNull().alias("cached")
-    )
+            yield pa.RecordBatch.from_arrays([batch.column("content_sha256"), pa.array(count(texts), pa.int64())], names=["content_sha256", "n_tokens"])
+
+    counted = cut(chosen.mapInArrow(encode, "content_sha256 string, n_tokens long").dropDuplicates(["content_sha256"]))
+    if not counted.isEmpty():
+        counted.select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens").write.mode("append").parquet(cache_path)
+    old = contents.filter("n_tokens is not null").select("content_sha256", "copies", "n_tokens", F.lit(True).alias("cached"))
+    new = counted.join(contents.select("content_sha256", "copies"), "content_sha256").select("content_sha256", "copies", "n_tokens", F.lit(False).alias("cached"))
+    out = join_counted(digests, old.unionByName(new), ["content_sha256"], "copies", total)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
+
+
+def _cached(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    """content_sha256, n_tokens of the cache, one row each; empty if there is no cache yet.
+
+    A run that was broken off and run again may have stored a count twice.
+    """
+    try:
+        stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], CACHE_SCHEMA)
+    return stored.filter(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

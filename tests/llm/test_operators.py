@@ -375,3 +375,112 @@ def test_secrets_copied_bare_or_in_one_source(spark):
     got = by_id(scan_secrets(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, source string")))
     assert [got[0][c] for c in ("n_live", "n_example", "repositories")] == [0, 1, 4] and not any(got[i]["spans"] for i in (1, 2, 3))
     assert [got[9][c] for c in ("n_live", "n_example", "repositories")] == [0, 1, 25]
+
+
+def twins():
+    """Two words of 1,024 bytes whose polynomial hashes modulo 2^64 are equal for every base and choice of byte values."""
+    return tuple("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    from leadloom.llm.jaccard import jaccard_components
+    from leadloom.llm.substrings import remove_repeats
+
+    a, b = twins()
+    tail = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, a), (4, b), (5, f"{b} {tail}")], "doc_id long, text string")
+    assert {i: r["n_removed"] for i, r in by_id(remove_repeats(docs)).items()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 20}
+    assert {i: r["component_id"] for i, r in by_id(jaccard_components(docs, percent=90)).items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+    with pytest.raises(ValueError):
+        jaccard_components(docs, percent=50)
+
+
+def test_rows_not_ids_are_dropped(spark):
+    from leadloom.llm.exact_dedup import drop_copies
+    from leadloom.llm.jaccard import one_of_each
+    from leadloom.llm.toxicity import drop_toxic
+
+    base = " ".join(f"word{i}" for i in range(40))
+    near = base + " more"
+    rows = [(3, base, "x"), (5, near, "y"), (5, "a text of its own that nothing else is like", "z"), (9, "twice", "u"), (9, "twice", "v"), (None, None, "n"), (None, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id string")
+    texts = lambda df: sorted(str(r["text"]) for r in df.collect())
+    assert texts(one_of_each(docs)) == sorted(["", "None", base, rows[2][1], "twice"])
+    assert texts(drop_copies(docs)) == sorted([base, near, rows[2][1], "twice", "None" if "None" in texts(drop_copies(docs)) else ""])
+    many = [(i, f"plain words number {i % 7} " * 5 + ("vile rotten scum " * 9 if i % 3 == 0 else "")) for i in range(240)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in many], "doc_id long, toxic int")
+    mixed = many + [(1, "vile rotten scum " * 30), (None, "vile rotten scum " * 30), (3, "plain words number 1 " * 9), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in drop_toxic(spark.createDataFrame(mixed, "doc_id long, text string"), marks).collect()]
+    assert (3, "plain words number 1 " * 9) in kept and (None, None) in kept and not any("vile" in (t or "") for _, t in kept)
+    assert len([1 for i, _ in kept if i == 1]) == 1
+
+
+def test_stored_fingerprints_can_be_peeled(spark):
+    from leadloom.llm.fingerprints import digests, fingerprint_documents, subtract
+
+    lines = [f"paragraph {i} of a text" for i in range(30)]
+    texts = ["\n".join(lines), "\n".join(lines[2:] + ["a new one"]), "\n".join(f"other {i}" for i in range(90))]
+    got = by_id(fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    a, b = (set(digests(t).tolist()) for t in texts[:2])
+    assert subtract(got[0]["fingerprint"], got[1]["fingerprint"]) == (a - b, b - a)
+    assert subtract(got[0]["fingerprint"], got[0]["fingerprint"]) == (set(), set())
+    assert subtract(got[0]["fingerprint"], got[2]["fingerprint"]) is None
+
+
+def test_one_very_long_text(spark):
+    from leadloom.llm.mixing import mix_sources
+    from leadloom.llm.secrets import scan_secrets
+
+    n = 12000
+    secrets = "\n".join(f"token: abcdefghijkl{i:07d} 0123456789abcdef{i:08x}" for i in range(n))
+    blank = " " * 1_000_000 + "a" + "\t" * 1_000_000 + "b c" + " " * 1_000_000
+    docs = spark.createDataFrame([(1, secrets, "s"), (2, blank, "s"), (3, "x abcdefghijkl0000007 y", "t")], "doc_id long, text string, source string")
+    got = by_id(scan_secrets(docs))
+    assert (got[1]["n_assign"], got[1]["n_hex"]) == (n, n) and got[3]["spans"] == "copy:2:21"
+    spans = sorted((m.start(), 0, m.end()) for m in re.finditer(r"token: [a-z0-9]+", secrets)) + sorted((m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]{16,}", secrets))
+    assert got[1]["base_sha256"] == sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    assert by_id(mix_sources(docs))[2]["size"] == 3
+
+
+def test_kneser_ney_against_brute_force(spark):
+    from leadloom.llm.toxicity import DISCOUNTS, PRIOR_WORDS, SHARE, Ratios, count_beginnings, kneser_ney
+
+    r = random.Random(7)
+    texts = [(" ".join(r.choice(["idiot", "idle", "ideal", "the", "then", "scum", "scumbag", "a"][: 8 if k else 5]) for _ in range(6)), k) for k in [0, 1] * 40]
+    import math
+
+    counts = {0: collections.Counter(), 1: collections.Counter()}
+    for t, k in texts:
+        seen = {(w[:i], (w + " ")[i]) for w in t.split() for i in range(len(w) + 1)}
+        counts[k].update(seen)
+    pairs = {(c[-1:], b, c) for k in counts for c, b in counts[k]}
+    follow = lambda before: sum(p[0] == before for p in pairs)
+    base = lambda c, b: (sum(p[:2] == (c[-1:], b) for p in pairs) + 0.1) / (follow(c[-1:]) + 25.6)
+    discount = lambda n: min(n, (0.0, *DISCOUNTS)[min(n, 3)])
+
+    def level(own, context, byte, low):
+        inside = {b: n for (c, b), n in own.items() if c == context}
+        total = sum(inside.values())
+        if not total:
+            return low
+        free = max(1e-6, sum(map(discount, inside.values())) / total)
+        return (inside.get(byte, 0) - discount(inside.get(byte, 0))) / total + free * low
+
+    def ratio(context, byte):
+        known = any((context, byte) in counts[k] for k in counts)
+        shared = level(counts[0] + counts[1], context, byte, base(context, byte)) if known else 1e-3  # what it is cancels
+        return math.log(level(counts[1], context, byte, shared) / level(counts[0], context, byte, shared))
+
+    sample = spark.createDataFrame([(t, k, 0) for t, k in texts], "text string, toxic int, part int")
+    rows = count_beginnings(sample).selectExpr("hash", "context", "byte", "before", "toxic[0] as toxic", "ordinary[0] as ordinary")
+    kinds = rows.groupBy("before", "byte").count()
+    sums = kinds.groupBy("before").agg(F.sum("count").alias("all"))
+    rows = rows.join(kinds.join(sums, "before").selectExpr("before", "byte", "(count + 0.1) / (all + 25.6) as base"), ["before", "byte"])
+    table = kneser_ney(rows.withColumn("model", F.lit(0)).drop("before", "byte")).toPandas()
+    own, back = table[~table["is_context"]], table[table["is_context"]]
+    arrays = [x for part in (own, back) for x in (part["hash"].to_numpy().view("uint64"), part["value"].to_numpy())]
+    model = Ratios(*arrays)
+    for text in ["idiot the scumbag", "the then ideal", "idiotic scum a", "unseen words", "a"]:
+        words = [sum(ratio(w[:i], (w + " ")[i]) for i in range(len(w) + 1)) for w in text.split()]
+        want = sum(math.log(1 - SHARE + SHARE * math.exp(x)) for x in words) / (len(words) + PRIOR_WORDS)
+        assert model.score([text.encode()])[0] == pytest.approx(want, abs=1e-5), text
