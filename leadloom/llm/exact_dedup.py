@@ -49,7 +49,7 @@ def drop_copies(docs: DataFrame, prefix_chars: int = 128, is_table: bool = False
     """
     docs = docs if is_table else cut(docs)
     away = exact_dedup(docs, prefix_chars=prefix_chars).filter("not kept").select(F.col("row_id").alias("_ll_row"))
-    return docs.withColumn("_ll_row", F.monotonically_increasing_id()).join(away, "_ll_row", "left_anti").select(*docs.columns)
+    return docs.withColumn("_ll_row", F.monotonically_increasing_id()).join(away.hint("shuffle_hash"), "_ll_row", "left_anti").select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

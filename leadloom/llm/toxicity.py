@@ -26,6 +26,8 @@ PRIOR_WORDS = 40
 #: Cross-fitting parts for the calibration, and the weight of a toxic text in it.
 PARTS, TOXIC_WEIGHT = 4, 8.0
 THRESHOLD = 0.7
+#: Bytes of text that a task takes apart at a time.
+STEP_BYTES = 1 << 18
 
 #: Letters and digits of ASCII lowered, its other characters as spaces; bytes of other characters as they are.
 _FOLDED = np.array([ord(chr(c).lower()) if chr(c).isalnum() or c > 127 else 32 for c in range(128)] + list(range(128, 256)), np.uint8)
@@ -156,7 +158,7 @@ def count_beginnings(sample: DataFrame) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             kind = batch.column("toxic").to_numpy(zero_copy_only=False) * PARTS + batch.column("part").to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, STEP_BYTES):
                 b = Beginnings(texts[lo:hi])
                 once = np.unique(b.hash ^ mix(b.text.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
                 rows = np.stack((b.hash[once], kind[lo + b.text[once]].astype(np.uint64)), axis=1)
@@ -228,7 +230,7 @@ def _scored(rows: DataFrame, models, part: str | None = None) -> DataFrame:
             for p in np.unique(parts):
                 at = np.flatnonzero(parts == p)
                 own = [texts[i] for i in at]
-                for lo, hi in chunks(own):
+                for lo, hi in chunks(own, STEP_BYTES):
                     x[at[lo:hi]] = known[int(p)].score(own[lo:hi])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*columns, "_ll_x"])
 
@@ -243,9 +245,10 @@ def choose_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     spark = docs.sparkSession
     named = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     named = named.filter(fold(F.col("doc_id")) != 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(named, "doc_id")
-    keyed = rows.select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string")).alias("digest"), F.md5("text").alias("sha"), F.octet_length("text").alias("size"))
-    keyed = cut(keyed.filter(F.col("size") * 10 <= most_bytes).groupBy("toxic", "sha").agg(F.min(F.struct("digest", "doc_id", "size")).alias("x")).select("toxic", "sha", "x.*"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.md5("text"))
+    keyed = rows.select("doc_id", "sha", F.octet_length("text").alias("size")).filter(F.col("size") * 10 <= most_bytes).join(named, "doc_id")  # no text in this shuffle
+    place = F.struct(F.md5(F.col("doc_id").cast("string")).alias("digest"), "doc_id", "size")
+    keyed = cut(keyed.groupBy("toxic", "sha").agg(F.min(place).alias("x")).select("toxic", "sha", "x.*"))
     chosen = []
     for c in (0, 1):
         room = most_bytes
@@ -253,11 +256,10 @@ def choose_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
             room -= r["size"]
             if room < 0:
                 break
-            chosen.append((r["doc_id"], r["sha"]))
+            chosen.append((r["doc_id"], r["sha"], c))
     part = F.pmod(F.crc32(F.concat(F.lit("part "), F.col("doc_id").cast("string"))), F.lit(PARTS)).cast("int")
-    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, sha string"))  # 2 * per_class rows at most
-    rows = rows.withColumn("sha", F.md5("text")).join(picked, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"])
-    return rows.select("text", "toxic", part.alias("part"))
+    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, sha string, toxic int"))  # 2 * per_class rows at most
+    return rows.join(picked, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("text", "toxic", part.alias("part"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS):
