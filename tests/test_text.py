@@ -19,6 +19,8 @@ def test_clean_page(spark):
 def test_urls():
     c = text.canonical_url
     assert c("https://u:p@EXAMPLE.test:443//notices//42/?b=2&utm_source=x&a=3&fbclid=9&a=1#top") == "https://example.test/notices/42?a=1&a=3&b=2"
+    assert c("https://example.test/a/?_x=1&B=2&b=3&a=4&1=5") == "https://example.test/a?_x=1&1=5&a=4&b=3&B=2"
+    assert c("http://bücher.test/ä b") == "http://xn--bcher-kva.test/%C3%A4%20b" and c("http://[::1]:8080/") == "http://[::1]:8080/"
     assert c("http://example.test") == "http://example.test/" and c("no url") is None and c("http://[bad") is None
 
 
@@ -39,3 +41,11 @@ def test_uuid(spark):
     got = spark.range(1).select(deterministic_uuid("ns", "raw", F.lit("a"), F.lit(None).cast("string"))).first()[0]
     h = hashlib.sha256(b'["ns","raw","a",null]').hexdigest()
     assert got == f"{h[:8]}-{h[8:12]}-8{h[13:16]}-{'89ab'[int(h[16], 16) % 4]}{h[17:20]}-{h[20:32]}"
+
+
+def test_lines_and_entities(spark):
+    rows = [("A\r\n\r\n a \rB\n\n\nПоделиться\n\nb\nC\n\n", "A\n\nB\n\nC"), ("\n \n", ""), ("x\u00a0 y\nX Y", "x y"), (None, None), ("Мы используем файлы cookie!\nz", "z")]
+    df = spark.createDataFrame(rows, "t string, w string")
+    assert all(r[0] == r[1] for r in df.select(text.normalize_lines("t"), "w").collect())
+    odd = [("&#1090;&#x1F600;&#xD800;&#1114112;&#00065;&AMP;lt;&nope;&nbsp;.", "т😀&#xD800;&#1114112;A&lt;&nope; ."), ("&#99999999999999999999;", "&#99999999999999999999;"), ("plain", "plain"), (None, None)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(odd, "t string, w string").select(text.decode_entities("t"), "w").collect())
