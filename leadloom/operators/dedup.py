@@ -56,23 +56,31 @@ def near_text_similarity(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def near_text_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_text_pairs(texts: DataFrame, threshold: float = THRESHOLD, places: DataFrame | None = None) -> DataFrame:
     """(key_a, key_b, similarity) of distinct texts with overlap coefficient >= threshold. texts: key, text.
 
-    The smaller set's rarest m - ceil(t m) + 1 n-grams must meet all n-grams of the larger one. N-grams of one text
-    alone drop out before the join; a pair is verified once.
+    places (key, vertical, bin): only texts that share a vertical in the same or a neighbouring bin are compared.
+    The smaller set's rarest m - ceil(t m) + 1 n-grams must meet all n-grams of the larger one, in a vertical and a bin
+    of both. N-grams of one text alone drop out before the join; sets are 64-bit hashes, and a pair is verified once.
     """
-    grams = cut(texts.select("key", token_ngrams(F.col("text")).alias("grams")).withColumn("m", F.size("grams")).filter("m > 0"))
-    every = grams.select("key", "m", F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("g"))
+    hashed = F.array_sort(F.transform(token_ngrams(F.col("text")), lambda g: F.xxhash64(g)))
+    grams = cut(texts.select("key", hashed.alias("grams")).withColumn("m", F.size("grams")).filter("m > 0"))
+    every = grams.select("key", "m", F.explode("grams").alias("g"))
     df = every.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cut(every.join(df, "g"))  # a text's other n-grams stand before these in its order; their number is enough
     own = Window.partitionBy("key")
     need = F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
     place = F.row_number().over(own.orderBy("df", "g")) + F.col("m") - F.count("*").over(own)
-    probe = shared.withColumn("r", place).filter(F.col("r") <= F.col("m") - need + 1)
+    probe = shared.withColumn("r", place).filter(F.col("r") <= F.col("m") - need + 1).select("key", "m", "g")
     index = shared.select(F.col("key").alias("key_b"), F.col("m").alias("m_b"), "g")
+    meet = ["g"]
+    if places is not None:
+        near_bins = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
+        probe = probe.join(places.withColumn("bin", near_bins).distinct(), "key")
+        index = index.join(places.withColumnRenamed("key", "key_b"), "key_b")
+        meet = ["g", "vertical", "bin"]
     order = F.struct(F.col("m"), F.col("key")) < F.struct(F.col("m_b").alias("m"), F.col("key_b").alias("key"))
-    pairs = probe.join(index, "g").filter(order).select(F.col("key").alias("key_a"), "key_b").distinct()
+    pairs = probe.join(index, meet).filter(order).select(F.col("key").alias("key_a"), "key_b").distinct()
     left = grams.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a"))
     right = grams.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b"))
     scored = pairs.join(left, "key_a").join(right, "key_b").withColumn("similarity", near_text_similarity(F.col("grams_a"), F.col("grams_b")))
@@ -83,14 +91,14 @@ def near_edges(items: DataFrame, threshold: float = THRESHOLD, window_hours: int
     """(a, b, similarity): each item with the earliest item of each near text, within the window and a shared vertical.
 
     items: id long, observed_at, verticals, normalized_hash, text. Copies of one text are linked by their hash already,
-    so the earliest partner keeps all clusters. Items meet by vertical and by week or a neighbouring week.
+    so the earliest partner keeps all clusters. Texts, then items, meet by vertical and by window or a neighbouring one.
     """
-    texts = items.groupBy(F.col("normalized_hash").alias("key")).agg(F.first("text").alias("text"))
-    near = cut(near_text_pairs(texts, threshold))
-    both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "similarity"))
     span = window_hours * 3600
     placed = items.select("id", F.col("normalized_hash").alias("key"), F.unix_micros("observed_at").alias("at"), F.explode(F.array_distinct("verticals")).alias("v"))
     placed = placed.withColumn("bin", F.floor(F.col("at") / F.lit(span * 1_000_000)))
+    texts = items.groupBy(F.col("normalized_hash").alias("key")).agg(F.first("text").alias("text"))
+    near = cut(near_text_pairs(texts, threshold, placed.select("key", F.col("v").alias("vertical"), "bin").distinct()))
+    both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "similarity"))
     one = placed.join(both.withColumnRenamed("key_a", "key"), "key").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
     two = placed.select(F.col("id").alias("id_b"), F.col("key").alias("key_b"), F.col("at").alias("at_b"), "v", "bin")
     met = one.join(two, ["key_b", "v", "bin"]).filter(F.abs(F.col("at") - F.col("at_b")) <= span * 1_000_000)
@@ -101,12 +109,18 @@ def near_edges(items: DataFrame, threshold: float = THRESHOLD, window_hours: int
 
 
 def pairs_in_window(items: DataFrame, window_hours: int = WINDOW_HOURS) -> DataFrame:
-    """By vertical the number of pairs within the window, by a range frame instead of pairs. items: vertical, observed_at."""
-    at = F.unix_millis("observed_at")
-    times = items.groupBy("vertical", at.alias("at")).agg(F.count("*").alias("k"))
-    frame = Window.partitionBy("vertical").orderBy("at").rangeBetween(-window_hours * 3_600_000, -1)
-    before = F.coalesce(F.sum("k").over(frame), F.lit(0))
-    return times.withColumn("before", before).groupBy("vertical").agg(F.sum(F.col("k") * F.col("before") + F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
+    """By vertical the number of pairs within the window, by a range frame instead of pairs. items: vertical, observed_at.
+
+    Times are counted first and dealt to bins of the window's length; each bin sees its own times and those of the bin
+    before, so a vertical is spread over as many tasks as it has bins.
+    """
+    span = window_hours * 3_600_000
+    times = items.groupBy("vertical", F.unix_millis("observed_at").alias("at")).agg(F.count("*").alias("k"))
+    bin_ = F.floor(F.col("at") / F.lit(span))
+    dealt = times.withColumn("x", F.explode(F.array(F.struct(bin_.alias("bin"), F.lit(True).alias("own")), F.struct((bin_ + 1).alias("bin"), F.lit(False).alias("own"))))).select("vertical", "at", "k", "x.*")
+    frame = Window.partitionBy("vertical", "bin").orderBy("at").rangeBetween(-span, -1)
+    own = dealt.withColumn("before", F.coalesce(F.sum("k").over(frame), F.lit(0))).filter("own")
+    return own.groupBy("vertical").agg(F.sum(F.col("k") * F.col("before") + F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
 
 
 def duplicate_clusters(edges: DataFrame) -> DataFrame:

@@ -68,12 +68,22 @@ def high_score_rejections(feedback: DataFrame, recommendations: DataFrame, n: in
 
 
 def feedback_summary(feedback: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """All counts of each user; consistent says whether attribution and actions add up."""
-    out = action_counts(feedback).join(feedback_attribution(feedback), "user_id").join(positive_sentiment(feedback).select("user_id", "positive"), "user_id")
-    out = out.join(feedback_coverage(deliveries, feedback), "user_id", "full")
-    out = out.fillna(0, [*ACTIONS, "direct", "telegram", "sent", "answered"]).fillna(0.0, ["coverage"])
-    total = sum((F.col(a) for a in ACTIONS[1:]), F.col(ACTIONS[0]))
-    return out.withColumns({"total": total, "consistent": (total == F.col("direct") + F.col("telegram")) & (F.col("answered") <= F.col("sent"))})
+    """All counts of each user, from one aggregation; consistent says whether attribution and actions add up.
+
+    Feedback and sent deliveries meet by (user, recommendation) first, each pair with its counts, then by user.
+    """
+    action, direct = F.col("action"), F.col("delivery_id").isNull()
+    given = feedback.select("user_id", "recommendation_id", F.lit(False).alias("sent"), "action", direct.alias("direct"))
+    sent = deliveries.filter("status = 'SENT'").select("user_id", "recommendation_id", F.lit(True).alias("sent"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("boolean").alias("direct"))
+    counts = {a: F.count_if(action == a) for a in ACTIONS} | {"direct": F.count_if(F.col("direct")), "telegram": F.count_if(~F.col("direct"))}
+    pairs = given.unionByName(sent).groupBy("user_id", "recommendation_id").agg(F.max("sent").alias("sent"), F.count("action").alias("any"), *[c.alias(n) for n, c in counts.items()])
+    out = pairs.groupBy("user_id").agg(*[F.sum(n).alias(n) for n in counts], F.count_if("sent").alias("sent"), F.count_if(F.col("sent") & (F.col("any") > 0)).alias("answered"))
+    useful, total = F.col("USEFUL"), sum((F.col(a) for a in ACTIONS[1:]), F.col(ACTIONS[0]))
+    moods = useful + F.col("NOT_USEFUL")
+    return out.withColumns({
+        "positive": F.when(moods > 0, percent(useful, moods)), "coverage": F.when(F.col("sent") > 0, percent(F.col("answered"), F.col("sent"))).otherwise(0.0),
+        "total": total, "consistent": (total == F.col("direct") + F.col("telegram")) & (F.col("answered") <= F.col("sent")),
+    })
 
 
 def feedback_context_audit(feedback: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -2,69 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCORES = ("business_impact", "company_fit", "urgency", "confidence", "actionability", "total_score")
-
-
-def _blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(c) == "")
-
-
-def _outside(c: str, low: float, high: float) -> Column:
-    return F.col(c).isNotNull() & ~F.col(c).between(low, high)
-
-
-#: Table -> constraint -> when a row breaks it. Columns that a table lacks are left out.
-CONSTRAINTS: dict[str, dict[str, Column]] = {}
-
+_SCORE = "{0} between 0 and 100"
+_HASH = "{0} rlike '^[0-9a-f]{{64}}$'"
+_TEXT = "trim({0}) <> ''"
+_ORDER = "updated_at >= created_at"
+_DELIVERED = (
+    "(status = 'PENDING' and provider_message_id is null and failure_code is null) or (status = 'SENT' and provider_message_id is not null and failure_code is null)"
+    " or (status = 'FAILED' and provider_message_id is null and failure_code is not null)"
+)
+_REASONED = "(status = 'FAILED') = (failure_reason is not null)"
+
+
+def _each(check: str, *columns: str) -> dict[str, tuple[str, str]]:
+    return {c: (c, check.format(c)) for c in columns}
+
+
+def _all(columns: str, what: str) -> str:
+    return " and ".join(f"{c} {what}" for c in columns.split())
+
+
+_ANALYSIS = "headline summary why_important event_type facts inferences entities risks candidate_actions business_impact urgency confidence actionability"
+_COUNTS = "processed_count unique_count relevant_count opportunity_count high_priority_count"
+
+#: Table -> constraint -> columns and what holds for each row; unknown (null) holds, as in a database.
+CONSTRAINTS: dict[str, dict[str, tuple[str, str]]] = {
+    "sources": {
+        **_each(_TEXT, "name"), "dimensions": ("regions verticals", "size(regions) > 0 and size(verticals) > 0"), "reliability": ("reliability", _SCORE.format("reliability")), "verticals": ("verticals", "size(verticals) > 0"),
+        "time_order": ("created_at updated_at last_success_at last_error_at", f"{_ORDER} and coalesce(last_success_at >= created_at, true) and coalesce(last_error_at >= created_at, true)"),
+        "poll_policy": ("poll_interval_minutes type", "case when poll_interval_minutes is null then type in ('FIXTURE', 'MANUAL') else poll_interval_minutes > 0 end"),
+        "ai_permission": ("ai_allowed rights rights_basis", "not ai_allowed or (rights in ('OPEN_DATA', 'PUBLIC_API', 'PARTNER', 'CONSENT') and rights_basis is not null and trim(rights_basis) <> '')"),
+        "ai_rights": ("ai_allowed rights", "not ai_allowed or rights in ('OPEN_DATA', 'PUBLIC_API', 'PARTNER', 'CONSENT')"), "telegram": ("type rights", "type <> 'PARTNER_TELEGRAM' or rights in ('PARTNER', 'CONSENT')"),
+    },
+    "raw_items": {**_each(_TEXT, "raw_text"), **_each(_HASH, "content_hash")},
+    "normalized_items": {**_each(_TEXT, "text"), **_each(_HASH, "normalized_hash"), "title": ("title", "length(title) <= 1000")},
+    "normalization_attempts": {
+        "outcome": ("status rejection_code", "case status when 'SUCCEEDED' then rejection_code is null when 'REJECTED' then rejection_code is not null and trim(rejection_code) <> '' else false end"),
+        "payload": ("status normalized_item_id rejection_detail", "case status when 'SUCCEEDED' then normalized_item_id is not null and rejection_detail is null when 'REJECTED' then normalized_item_id is null and rejection_detail is not null and trim(rejection_detail) <> '' else false end"),
+    },
+    "assignments": {
+        "similarity": ("similarity", "similarity between 0 and 1"), "distance": ("time_distance_hours", "time_distance_hours >= 0"),
+        "representative": ("id representative_id matched_to_id match_kind similarity time_distance_hours", "match_kind <> 'REPRESENTATIVE' or (id = representative_id and id = matched_to_id and similarity = 1 and time_distance_hours = 0)"),
+    },
+    "signals": {
+        **_each(_SCORE, "relevance_score", "classification_confidence"), "time_order": ("created_at updated_at", _ORDER), "rule_ids": ("rule_ids", "size(rule_ids) > 0"),
+        "supersession": ("status superseded_by id", "(status = 'SUPERSEDED') = (superseded_by is not null) and not (superseded_by <=> id)"),
+    },
+    "analyses": {
+        "payload": (f"{_ANALYSIS} status failure_code failure_reason retryable deadline", f"case status when 'SUCCEEDED' then {_all(_ANALYSIS, 'is not null')} and {_all('failure_code failure_reason retryable', 'is null')}"
+                    f" when 'FAILED' then {_all(_ANALYSIS, 'is null')} and deadline is null and {_all('failure_code failure_reason retryable', 'is not null')} else false end"),
+        "lists": ("facts candidate_actions", "size(facts) > 0 and size(candidate_actions) <= 5"), **_each(_SCORE, "business_impact", "urgency", "actionability"), "confidence": ("confidence", "confidence between 0 and 1"),
+    },
+    "users": {"revision": ("revision", "revision > 0"), "time_order": ("created_at updated_at", _ORDER)},
+    "profiles": {
+        "revision": ("revision", "revision > 0"), "range": ("project_value_minimum project_value_maximum", "project_value_minimum <= project_value_maximum"), "dimensions": ("verticals regions", "size(verticals) > 0 and size(regions) > 0"),
+        "services": ("services_and_products", "size(services_and_products) > 0"), **{c: (c, f"{c} >= 0") for c in ("project_value_minimum", "project_value_maximum")},
+        "currency": ("project_value_minimum project_value_maximum currency", "case when project_value_minimum is null and project_value_maximum is null then currency is null else currency is not null and currency rlike '^[A-Z]{3}$' end"),
+        "time_order": ("created_at updated_at", _ORDER),
+    },
+    "recommendations": {**_each(_SCORE, "business_impact", "company_fit", "urgency", "confidence", "actionability", "total_score"), "actions": ("recommended_actions", "size(recommended_actions) between 2 and 5")},
+    "deliveries": {"outcome": ("status provider_message_id failure_code", _DELIVERED), "reason": ("status failure_reason", _REASONED), "key": ("idempotency_key", _TEXT.format("idempotency_key")), "time_order": ("created_at updated_at", _ORDER)},
+    "digests": {
+        "period": ("kind period_start period_end", "case kind when 'DAILY' then period_end = period_start + interval 1 day when 'WEEKLY' then period_end = period_start + interval 7 days else false end"),
+        "alignment": ("kind period_start", "date_trunc('day', period_start) = period_start and (kind = 'DAILY' or weekday(period_start) = 0)"),
+        "summary": (f"kind {_COUNTS}", f"case kind when 'DAILY' then {_all(_COUNTS, 'is null')} when 'WEEKLY' then {_all(_COUNTS, 'is not null')} else false end"),
+        "counts": (f"kind {_COUNTS}", f"kind = 'DAILY' or ({_all(_COUNTS, '>= 0')} and high_priority_count <= opportunity_count)"),
+    },
+    "digest_items": {"rank": ("rank", "rank between 1 and 5")},
+    "digest_trends": {"counts": ("current previous delta", "current >= 0 and previous >= 0 and delta = current - previous and delta > 0"), "rank": ("rank", "rank between 1 and 5")},
+    "digest_deliveries": {"outcome": ("status provider_message_id failure_code", _DELIVERED), "reason": ("status failure_reason", _REASONED), "time_order": ("created_at updated_at", _ORDER)},
+}
 
-def constraints() -> dict[str, dict[str, Column]]:
-    if not CONSTRAINTS:
-        CONSTRAINTS.update({
-            "sources": {"name": _blank("name"), "reliability": _outside("reliability", 0, 100), "verticals": F.size("verticals") < 1},
-            "raw_items": {"raw_text": _blank("raw_text"), "content_hash": ~F.col("content_hash").rlike("^[0-9a-f]{64}$")},
-            "normalized_items": {"text": _blank("text"), "normalized_hash": ~F.col("normalized_hash").rlike("^[0-9a-f]{64}$"), "title": F.length("title") > 1000},
-            "normalization_attempts": {"outcome": ~F.when(F.col("status") == "REJECTED", F.col("rejection_code").isNotNull()).otherwise(F.col("rejection_code").isNull())},
-            "assignments": {
-                "similarity": _outside("similarity", 0, 1), "distance": F.col("time_distance_hours") < 0,
-                "representative": (F.col("match_kind") == "REPRESENTATIVE") != ((F.col("id") == F.col("representative_id")) & (F.col("id") == F.col("matched_to_id"))),
-            },
-            "signals": {"relevance": _outside("relevance_score", 0, 100), "confidence": _outside("classification_confidence", 0, 100)},
-            "recommendations": {s: _outside(s, 0, 100) for s in SCORES},
-            "profiles": {"revision": F.col("revision") < 1, "range": F.col("project_value_minimum") > F.col("project_value_maximum")},
-            "deliveries": {
-                "sent": (F.col("status") == "SENT") & F.col("provider_message_id").isNull(), "failed": (F.col("status") == "FAILED") & F.col("failure_code").isNull(),
-                "key": _blank("idempotency_key"),
-            },
-        })
-    return CONSTRAINTS
 
+def audit_constraints(tables: dict[str, DataFrame], rules: dict[str, dict[str, tuple[str, str]]] | None = None) -> DataFrame:
+    """(table_name, constraint_name, violations, missing): one pass over each table.
 
-def audit_constraints(tables: dict[str, DataFrame], rules: dict[str, dict[str, Column]] | None = None) -> DataFrame:
-    """(table, constraint, violations): one pass over each table."""
+    A rule over columns that a table lacks is not checked: its violations are null and missing names the columns.
+    """
     out = None
     for name, df in tables.items():
-        own = (rules or constraints()).get(name, {})
-        used = {k: c for k, c in own.items() if _fits(df, c)}
-        if not used:
+        own = (rules or CONSTRAINTS).get(name, {})
+        if not own:
             continue
-        counted = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in used.items()])
-        pairs = F.array(*[F.struct(F.lit(k).alias("constraint"), F.col(k).alias("violations")) for k in used])
-        rows = counted.select(F.explode(pairs).alias("p")).select(F.lit(name).alias("table_name"), F.col("p.constraint").alias("constraint_name"), F.col("p.violations").alias("violations"))
+        lacks = {k: [c for c in columns.split() if c not in df.columns] for k, (columns, _) in own.items()}
+        counted = df.agg(F.lit(None).cast("long").alias("_none"), *[F.count_if(~F.coalesce(F.expr(check), F.lit(True))).alias(k) for k, (_, check) in own.items() if not lacks[k]])
+        pairs = F.array(*[F.struct(F.lit(k).alias("constraint_name"), F.col("_none" if lacks[k] else k).alias("violations"), F.lit(",".join(lacks[k]) or None).cast("string").alias("missing")) for k in own])
+        rows = counted.select(F.lit(name).alias("table_name"), F.explode(pairs).alias("p")).select("table_name", "p.*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _fits(df: DataFrame, rule: Column) -> bool:
-    try:
-        df.select(rule).schema
-        return True
-    except Exception:  # noqa: BLE001  a column that this form of the table does not have
-        return False
-
-
 def audit_uniqueness(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """(table, keys, duplicates): identities that occur more than once; nulls are no identity."""
     out = None

@@ -55,10 +55,14 @@ def intersecting(candidates: Column, wanted: Column) -> Column:
     return F.filter(normalize_terms(candidates), lambda c: F.exists(terms, lambda w: matches_term(c, w)))
 
 
-def _criterion(name: str, score: Column, reason: Column) -> Column:
-    weight = FIT_WEIGHTS[name]
+def _criterion(name: str, score: Column, reason: Column, matched: Column | None = None) -> Column:
+    """One criterion; matched are the values that made the match, an empty array without one."""
+    weight, none = FIT_WEIGHTS[name], F.array().cast("array<string>")
     score = score.cast("double")
-    return F.struct(F.lit(name).alias("criterion"), score.alias("score"), F.lit(weight).alias("weight"), half_up(F.lit(weight) * score, 2).alias("contribution"), reason.alias("reason_code"))
+    values = none if matched is None else F.when(F.endswith(reason, F.lit("_MATCH")), matched).otherwise(none)
+    return F.struct(
+        F.lit(name).alias("criterion"), score.alias("score"), F.lit(weight).alias("weight"), half_up(F.lit(weight) * score, 2).alias("contribution"), reason.alias("reason_code"), values.alias("matched_values")
+    )
 
 
 def _pick(unknown: Column, match: Column, miss: int, names: tuple[str, str, str]) -> tuple[Column, Column]:
@@ -67,22 +71,22 @@ def _pick(unknown: Column, match: Column, miss: int, names: tuple[str, str, str]
 
 def fit_vertical(vertical: Column, verticals: Column) -> Column:
     ok = (vertical != "OTHER") & F.array_contains(verticals, vertical)
-    return _criterion("VERTICAL", F.when(ok, 100).otherwise(0), F.when(ok, "VERTICAL_MATCH").otherwise("VERTICAL_MISMATCH"))
+    return _criterion("VERTICAL", F.when(ok, 100).otherwise(0), F.when(ok, "VERTICAL_MATCH").otherwise("VERTICAL_MISMATCH"), F.array(vertical))
 
 
 def fit_region(regions: Column, wanted: Column) -> Column:
-    return _criterion("REGION", *_pick(F.coalesce(F.size(regions), F.lit(0)) <= 0, F.size(intersecting(regions, wanted)) > 0, 0, ("REGION_UNKNOWN", "REGION_MATCH", "REGION_MISMATCH")))
+    return _criterion("REGION", *_pick(F.coalesce(F.size(regions), F.lit(0)) <= 0, F.size(intersecting(regions, wanted)) > 0, 0, ("REGION_UNKNOWN", "REGION_MATCH", "REGION_MISMATCH")), intersecting(regions, wanted))
 
 
 def fit_event_type(event: Column, interested: Column) -> Column:
     own = normalize_term(F.coalesce(event, F.lit("")))
     unknown = (own == "") | (F.size(interested) <= 0)
-    return _criterion("EVENT_TYPE", *_pick(unknown, F.array_contains(normalize_terms(interested), own), 25, ("EVENT_UNKNOWN", "EVENT_MATCH", "EVENT_MISMATCH")))
+    return _criterion("EVENT_TYPE", *_pick(unknown, F.array_contains(normalize_terms(interested), own), 25, ("EVENT_UNKNOWN", "EVENT_MATCH", "EVENT_MISMATCH")), F.array(own))
 
 
 def fit_offering(terms: Column, services: Column, keywords: Column, clients: Column) -> Column:
     wanted = F.concat(services, keywords, clients)
-    return _criterion("OFFERING", *_pick(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.size(intersecting(terms, wanted)) > 0, 25, ("OFFERING_UNKNOWN", "OFFERING_MATCH", "OFFERING_MISMATCH")))
+    return _criterion("OFFERING", *_pick(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.size(intersecting(terms, wanted)) > 0, 25, ("OFFERING_UNKNOWN", "OFFERING_MATCH", "OFFERING_MISMATCH")), intersecting(terms, wanted))
 
 
 def fit_project_value(amount: Column, currency: Column, low: Column, high: Column, wanted_currency: Column) -> Column:
@@ -176,11 +180,26 @@ def score_explanation(df: DataFrame) -> Column:
     )
 
 
-def build_recommendations(scored: DataFrame, namespace: str = "pipeline") -> DataFrame:
-    """Pairs that are not excluded -> recommendations with deterministic ids; 2 to 5 actions of different titles."""
-    rows = scored.filter("exclusion is null")
+def recommendation_id(namespace: str = "pipeline") -> Column:
+    """From signal_id, analysis_id, profile_id and profile_revision."""
     identity = [F.col(c).cast("string") for c in ("signal_id", "analysis_id", "profile_id", "profile_revision")]
-    return rows.withColumns({"id": deterministic_uuid(namespace, "recommendation", *identity, F.lit(SCORING_VERSION)), "scoring_version": F.lit(SCORING_VERSION)})
+    return deterministic_uuid(namespace, "recommendation", *identity, F.lit(SCORING_VERSION))
+
+
+def build_recommendations(scored: DataFrame, namespace: str = "pipeline") -> DataFrame:
+    """Pairs that are not excluded -> recommendations with deterministic ids, recommended_actions and source_ids.
+
+    scored: exclusion, the ids, candidate_actions (title, ...) and source_ids of the analysis. error is
+    INVALID_RECOMMENDED_ACTION_COUNT unless there are 2 to 5 actions, DUPLICATE_RECOMMENDED_ACTION if two have one title,
+    case aside, INVALID_SOURCE_IDS if sources are absent or repeated; else null.
+    """
+    titles = F.transform("candidate_actions", lambda a: F.lower(a["title"]))
+    error = (
+        F.when(~F.coalesce(F.size("candidate_actions"), F.lit(0)).between(2, 5), "INVALID_RECOMMENDED_ACTION_COUNT").when(F.size(F.array_distinct(titles)) < F.size(titles), "DUPLICATE_RECOMMENDED_ACTION")
+        .when((F.coalesce(F.size("source_ids"), F.lit(0)) < 1) | (F.size(F.array_distinct("source_ids")) < F.size("source_ids")), "INVALID_SOURCE_IDS")
+    )
+    rows = scored.filter("exclusion is null").withColumns({"id": recommendation_id(namespace), "scoring_version": F.lit(SCORING_VERSION), "error": error})
+    return rows.withColumnRenamed("candidate_actions", "recommended_actions")
 
 
 def scoring_summary(scored: DataFrame, created: int | None = None) -> DataFrame:

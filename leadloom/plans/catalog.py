@@ -57,7 +57,7 @@ dl AS (SELECT event_id AS id, user_id + CASE WHEN event_id % 50 = 0 THEN 1 ELSE
 GOLD = r"""gold AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 < 2 THEN 'CALIBRATION' ELSE 'HOLDOUT' END AS split, 'u' || (doc_id % 390) AS url, text, source AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'CONSTRUCTION' ELSE 'HORECA' END AS vertical,
  quality = 1 AS relevant, CASE WHEN quality = 1 OR toxic = 1 THEN 'CONTACT' ELSE 'IGNORE' END AS action, CASE WHEN quality = 1 THEN 30 + doc_id % 60 ELSE 20 END AS importance, regexp_extract(text, '^[^.\n]*') AS quote FROM labels JOIN documents USING (doc_id)),
 judged AS (SELECT id, split, relevant, CASE WHEN id % 23 = 0 THEN 'MISSING' WHEN id % 17 = 0 THEN 'FAILED_ANALYSIS' WHEN id % 19 = 0 THEN 'THROWN' WHEN id % 13 = 0 THEN 'INVALID_ANALYSIS' ELSE 'SUCCEEDED' END AS validity,
- CASE WHEN id % 23 = 0 THEN NULL WHEN id % 17 = 0 OR id % 19 = 0 THEN 'E' || (id % 2) END AS code, length(text) % 3 = 0 AS said_no FROM gold)"""
+ CASE WHEN id % 23 = 0 THEN 'AI_INTERNAL_ERROR' WHEN id % 17 = 0 OR id % 19 = 0 THEN CASE WHEN id % 4 = 3 THEN 'AI_INTERNAL_ERROR' ELSE 'E' || (id % 2) END WHEN id % 13 = 0 THEN 'AI_INVALID_RESPONSE' END AS code, length(text) % 3 = 0 AS said_no, text, quote FROM gold)"""
 
 # ---------------------------------------------------------------- ingestion
 
@@ -81,10 +81,10 @@ def _(v):
     return ingest.resolve_raw_identity(v.raw).select("raw_item_id", "outcome")
 
 
-@query("raw_identity_conflicts", f"WITH {RAW} SELECT a.id AS raw_item_id FROM raw a JOIN raw b ON b.external_id = 'ext-' || (a.id - a.id % 2) AND a.source_id = b.source_id WHERE a.h <> b.h")
+@query("raw_identity_conflicts", "SELECT doc_id AS raw_item_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 = 0")
 def _(v):
-    moved = v.raw.withColumn("external_id", F.concat(F.lit("ext-"), (F.col("raw_item_id") - F.col("raw_item_id") % 2).cast("string")))
-    return ingest.raw_identity_conflicts(moved, v.raw).select("raw_item_id")
+    changed = v.raw.withColumn("content_hash", F.when(F.col("raw_item_id") % 7 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
+    return ingest.raw_identity_conflicts(changed, v.raw).select("raw_item_id")
 
 
 @query("ingestion_summary", f"""WITH {SOURCES}, {RAW}, o AS (SELECT source_id, row_number() OVER (PARTITION BY source_id, h ORDER BY id) = 1 AS new FROM raw)
@@ -155,12 +155,6 @@ def _(v):
     return v.table("pages").select("page_id", F.md5(text.strip_markup(F.col("html"))).alias("digest"))
 
 
-@query("normalize_items")
-def _(v):
-    raw = v.table("pages").select(F.col("page_id").alias("raw_item_id"), F.col("html").alias("raw_text"), F.lit(None).cast("string").alias("raw_payload"), F.col("url").alias("original_url"))
-    return text.canonicalize_urls(text.normalize_items(raw), "original_url", "canonical_url").select("raw_item_id", "status", "title", "text", "language", "normalized_hash", "canonical_url")
-
-
 def _sql_decode(x: str) -> str:
     """One pass: the ampersand itself comes last."""
     for name, char in text.NAMED_ENTITIES.items():
@@ -169,50 +163,75 @@ def _sql_decode(x: str) -> str:
     return f"replace({x}, '&amp;', '&')"
 
 
-@query("decode_entities", f"SELECT page_id, md5({_sql_decode('html')}) AS digest FROM pages WHERE NOT regexp_matches(html, '&#')")
+@query("decode_entities", f"SELECT page_id, md5({_sql_decode('html')}) AS digest FROM pages")
 def _(v):
     return v.table("pages").select("page_id", F.md5(text.decode_entities("html")).alias("digest"))
 
 
-_LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-l1 AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g')) AS x FROM l0), l2 AS (SELECT *, lag(lower(x)) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l1 WHERE x <> '')"""
+def _sql_lines(source: str, key: str) -> str:
+    """tidy: key, text with its lines tidied. From a relation with key and text. Blank lines are counted, so that one stays where some were."""
+    return f"""l0 AS (SELECT {key}, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
+l1 AS (SELECT {key}, i, trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g')) AS x FROM l0), l2 AS (SELECT *, count(*) FILTER (x = '') OVER (PARTITION BY {key} ORDER BY i) AS blanks FROM l1),
+l3 AS (SELECT *, lag(lower(x)) OVER (PARTITION BY {key} ORDER BY i) AS p FROM l2 WHERE x <> ''), l4 AS (SELECT *, lag(blanks) OVER (PARTITION BY {key} ORDER BY i) AS b FROM l3 WHERE p IS NULL OR p <> lower(x)),
+tidy AS (SELECT {key}, string_agg(CASE WHEN b IS NULL THEN '' WHEN blanks > b THEN chr(10) || chr(10) ELSE chr(10) END || x, '' ORDER BY i) AS text FROM l4 GROUP BY {key})"""
+
 
+@query("normalize_lines", f"WITH {_sql_lines('documents', 'doc_id')} SELECT doc_id, md5(coalesce(tidy.text, '')) AS digest FROM documents LEFT JOIN tidy USING (doc_id)")
+def _(v):
+    return v.table("documents").select("doc_id", F.md5(text.normalize_lines("text")).alias("digest"))
+
+
+_SQL_TITLE = rf"nullif(left(trim(regexp_replace({_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), 1000), '')"
+_SQL_URL = r"regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_[^&]*$', ''), '([^/])/+$', '\1')"
 
-@query("normalize_lines", f"WITH {_LINES} SELECT doc_id, string_agg(x, '|' ORDER BY i) AS lines FROM l2 WHERE p IS NULL OR p <> lower(x) GROUP BY doc_id")
+
+@query("normalize_items", f"""WITH plain AS (SELECT page_id, {_sql_decode(f"regexp_replace({_STRIP}, '<[^>]+>', ' ', 'g')")} AS text FROM pages), {_sql_lines('plain', 'page_id')}
+SELECT page_id AS raw_item_id, CASE WHEN tidy.text IS NULL THEN 'REJECTED' ELSE 'SUCCEEDED' END AS status, {_SQL_TITLE} AS title, coalesce(tidy.text, '') AS text, CASE WHEN tidy.text IS NULL THEN NULL WHEN regexp_matches(tidy.text, '\\p{{Latin}}') THEN 'en' ELSE 'und' END AS language,
+ sha256(tidy.text) AS normalized_hash, {_SQL_URL} AS canonical_url FROM pages LEFT JOIN tidy USING (page_id)""")
 def _(v):
-    tidy = F.filter(F.split(text.normalize_lines("text"), "\n"), lambda x: x != "")
-    return v.table("documents").select("doc_id", F.array_join(tidy, "|").alias("lines"))
+    raw = v.table("pages").select(F.col("page_id").alias("raw_item_id"), F.col("html").alias("raw_text"), F.lit(None).cast("string").alias("raw_payload"), F.col("url").alias("original_url"))
+    return text.canonicalize_urls(text.normalize_items(raw), "original_url", "canonical_url").select("raw_item_id", "status", "title", "text", "language", "normalized_hash", "canonical_url")
 
 
-@query("extract_title", rf"SELECT page_id, nullif(left(trim(regexp_replace({_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), 1000), '') AS title FROM pages")
+@query("extract_title", f"SELECT page_id, {_SQL_TITLE} AS title FROM pages")
 def _(v):
     return v.table("pages").select("page_id", text.extract_title(F.lit(None).cast("string"), F.col("html")).alias("title"))
 
 
-@query("canonicalize_url", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_[^&]*$', ''), '([^/])/+$', '\1') AS canonical_url FROM pages")
+@query("canonicalize_url", f"SELECT page_id, {_SQL_URL} AS canonical_url FROM pages")
 def _(v):
     return text.canonicalize_urls(v.table("pages").select("page_id", "url"), "url", "canonical_url").select("page_id", "canonical_url")
 
 
-@query("normalized_hash", "SELECT doc_id AS raw_item_id, sha256('x' || left(regexp_replace(text, '[^A-Za-z]+', '', 'g'), 60)) AS normalized_hash FROM documents")
+@query("normalized_hash", f"WITH {_sql_lines('documents', 'doc_id')} SELECT doc_id AS raw_item_id, sha256(tidy.text) AS normalized_hash FROM documents LEFT JOIN tidy USING (doc_id)")
 def _(v):
     return text.normalize_items(v.raw).select("raw_item_id", "normalized_hash")
 
 
-@query("boilerplate_lines", r"""SELECT line, count(*) AS n, false AS boilerplate FROM (SELECT trim(lower(unnest(string_split(text, chr(10))))) AS line FROM documents) WHERE line <> '' GROUP BY line""")
+def _cyrillic(v: Views) -> DataFrame:
+    """Documents, some with Cyrillic words or lines that are boilerplate, some with none but them."""
+    i, t = F.col("doc_id"), F.col("text")
+    extra = F.when(i % 4 == 1, F.concat(t, F.lit("\nПоделиться\n"))).when(i % 4 == 2, F.concat(F.lit("Мы используем файлы cookie, да\n"), t)).when(i % 20 == 3, F.lit("Тендер на строительство школы")).when(i % 20 == 7, F.lit(" поделиться \n")).otherwise(t)
+    return v.table("documents").withColumn("text", extra)
+
+
+_CYRILLIC = "cyr AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || chr(10) || 'Поделиться' || chr(10) WHEN doc_id % 4 = 2 THEN 'Мы используем файлы cookie, да' || chr(10) || text WHEN doc_id % 20 = 3 THEN 'Тендер на строительство школы' WHEN doc_id % 20 = 7 THEN ' поделиться ' || chr(10) ELSE text END AS text FROM documents)"
+
+
+@query("boilerplate_lines", f"""WITH {_CYRILLIC} SELECT line, count(*) AS n, line = 'поделиться' OR starts_with(line, 'мы используем файлы cookie') AS boilerplate FROM (SELECT trim(lower(unnest(string_split(text, chr(10))))) AS line FROM cyr) WHERE line <> '' GROUP BY line""")
 def _(v):
-    return text.boilerplate_lines(v.table("documents"))
+    return text.boilerplate_lines(_cyrillic(v))
 
 
-@query("detect_language", r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Latin}') THEN 'en' ELSE 'und' END AS language FROM documents")
+@query("detect_language", rf"WITH {_CYRILLIC}, n AS (SELECT doc_id, len(regexp_extract_all(text, '\p{{Cyrillic}}')) AS c, len(regexp_extract_all(text, '\p{{Latin}}')) AS l FROM cyr) SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN 'und' WHEN c >= l THEN 'ru' ELSE 'en' END AS language FROM n")
 def _(v):
-    return v.table("documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
+    return _cyrillic(v).select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
-@query("normalization_summary", "SELECT count(*) AS attempts, count(*) AS succeeded, 0 AS rejected, count(*) FILTER (doc_id % 2 = 1) AS created, count(*) FILTER (doc_id % 2 = 0) AS existing FROM documents")
+@query("normalization_summary", f"WITH {_CYRILLIC} SELECT count(*) AS attempts, count(*) FILTER (doc_id % 20 <> 7) AS succeeded, count(*) FILTER (doc_id % 20 = 7) AS rejected, count(*) FILTER (doc_id % 2 = 1) AS created, count(*) FILTER (doc_id % 2 = 0) AS existing FROM cyr")
 def _(v):
-    done = text.normalize_items(v.raw)
-    return text.normalization_summary(done, v.raw.filter("raw_item_id % 2 = 0").select("raw_item_id", F.lit(text.NORMALIZER_VERSION).alias("normalizer_version")))
+    raw = v.raw.drop("raw_text").join(_cyrillic(v).select(F.col("doc_id").alias("raw_item_id"), F.col("text").alias("raw_text")), "raw_item_id")
+    return text.normalization_summary(text.normalize_items(raw), v.raw.filter("raw_item_id % 2 = 0").select("raw_item_id", F.lit(text.NORMALIZER_VERSION).alias("normalizer_version")))
 
 
 @query("check_outcomes", "SELECT doc_id AS raw_item_id FROM documents WHERE doc_id % 40 = 0")
@@ -263,6 +282,12 @@ def _(v):
     return dedup.near_text_pairs(texts).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
 
 
+@query("near_text_similarity_half", f"WITH {_PAIRS.replace('0.95', '0.5')} SELECT x AS key_a, y AS key_b, similarity FROM near")
+def _(v):
+    texts = v.table("documents").groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"))
+    return dedup.near_text_pairs(texts, 0.5).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
+
+
 @query("near_edges", f"""WITH {SOURCES}, {_PAIRS}, it AS (SELECT doc_id AS id, md5(text) AS h, vertical FROM documents JOIN sources ON source_id = source),
 sym AS (SELECT x, y, similarity FROM near UNION ALL SELECT y, x, similarity FROM near),
 met AS (SELECT a.id, b.h, min(b.id) AS other, min(similarity) AS similarity FROM it a JOIN sym ON a.h = x JOIN it b ON b.h = y AND a.vertical = b.vertical AND abs(a.id - b.id) <= 1008 GROUP BY a.id, b.h)
@@ -296,14 +321,26 @@ def _(v):
     return dedup.dedup_assignments(v.items, near=False).drop("similarity")
 
 
-@query("dedup_assignments_near")
+NEAR = SOURCES + ", " + _PAIRS + """, it AS (SELECT doc_id AS id, md5(text) AS h, vertical FROM documents JOIN sources ON source_id = source),
+nsym AS (SELECT x, y, similarity FROM near UNION ALL SELECT y, x, similarity FROM near),
+met AS (SELECT a.id, b.h, min(b.id) AS other, min(similarity) AS similarity FROM it a JOIN nsym ON a.h = x JOIN it b ON b.h = y AND a.vertical = b.vertical AND abs(a.id - b.id) <= 1008 GROUP BY a.id, b.h),
+close AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b, similarity FROM met),
+every AS (SELECT a, b, p, 1.0::DOUBLE AS s FROM edges UNION ALL SELECT a, b, 3, similarity FROM close ANTI JOIN edges USING (a, b)),
+both_ways AS (SELECT a AS x, b AS y, a, p, s FROM every UNION ALL SELECT b, a, a, p, s FROM every),
+reached(x, y) AS (SELECT DISTINCT x, x FROM both_ways UNION SELECT reached.x, both_ways.y FROM reached JOIN both_ways ON reached.y = both_ways.x), heads AS (SELECT x AS id, min(y) AS rep FROM reached GROUP BY x),
+ranked AS (SELECT x AS id, y AS partner, p, s, row_number() OVER (PARTITION BY x ORDER BY p, s DESC, a, y) AS r FROM both_ways),
+placed AS (SELECT i.id, coalesce(c.rep, i.id) AS rep, CASE WHEN coalesce(c.rep, i.id) = i.id THEN i.id ELSE r.partner END AS matched, CASE WHEN coalesce(c.rep, i.id) = i.id THEN 'REPRESENTATIVE' ELSE ['SOURCE_IDENTITY', 'CANONICAL_URL', 'NORMALIZED_HASH', 'NEAR_TEXT'][r.p + 1] END AS kind,
+ CASE WHEN coalesce(c.rep, i.id) = i.id THEN 1.0 ELSE r.s END::DOUBLE AS similarity FROM items i LEFT JOIN heads c ON c.id = i.id LEFT JOIN ranked r ON r.id = i.id AND r.r = 1)"""
+
+
+@query("dedup_assignments_near", f"WITH RECURSIVE {EDGES}, {NEAR} SELECT id, rep AS representative_id, matched AS matched_to_id, kind AS match_kind, similarity, CASE WHEN kind = 'REPRESENTATIVE' THEN 0.0 ELSE abs(id - matched) / 6.0 END::DOUBLE AS time_distance_hours FROM placed")
 def _(v):
     return dedup.dedup_assignments(v.items)
 
 
-@query("dedup_metrics", f"WITH RECURSIVE {ASSIGNED} SELECT count(*) AS input_items, count(*) FILTER (kind = 'REPRESENTATIVE') AS clusters, count(*) FILTER (kind <> 'REPRESENTATIVE') AS duplicates, count(*) FILTER (kind <> 'REPRESENTATIVE') AS exact_duplicates, 0 AS near_duplicates FROM assigned")
+@query("dedup_metrics", f"WITH RECURSIVE {EDGES}, {NEAR} SELECT count(*) AS input_items, count(*) FILTER (kind = 'REPRESENTATIVE') AS clusters, count(*) FILTER (kind <> 'REPRESENTATIVE') AS duplicates, count(*) FILTER (kind NOT IN ('REPRESENTATIVE', 'NEAR_TEXT')) AS exact_duplicates, count(*) FILTER (kind = 'NEAR_TEXT') AS near_duplicates FROM placed")
 def _(v):
-    return dedup.dedup_metrics(dedup.dedup_assignments(v.items, near=False))
+    return dedup.dedup_metrics(dedup.dedup_assignments(v.items))
 
 
 @query("check_dedup_coverage", "SELECT 'MISSING_ASSIGNMENT' AS problem, doc_id AS id FROM documents WHERE doc_id % 90 = 0 UNION ALL SELECT 'OUTSIDE_REFERENCE', -1 UNION ALL SELECT 'REPEATED_ASSIGNMENT', doc_id FROM documents WHERE doc_id % 91 = 1 UNION ALL SELECT 'UNKNOWN_ITEM', doc_id FROM documents WHERE doc_id % 91 = 1")
@@ -428,9 +465,9 @@ def _requests(v: Views) -> DataFrame:
     return analysis_requests(v.signals.select("signal_id", "status").join(declared, "signal_id", "left"), evidence, v.sources)
 
 
-@query("analysis_requests", """WITH e AS (SELECT l_orderkey AS s, count(*) AS n, count(DISTINCT (l_linenumber, l_suppkey % 20)) AS pairs, count(*) FILTER (l_partkey % 97 = 0) AS outside, count(*) FILTER (l_suppkey % 10 = 9) AS refused FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1)
+@query("analysis_requests", """WITH e AS (SELECT l_orderkey AS s, count(*) AS n, count(DISTINCT (l_linenumber, l_suppkey % 20)) AS pairs, count(*) FILTER (l_partkey % 97 = 0) AS outside, count(*) FILTER (l_suppkey % 10 = 9) AS refused FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS signal_id, coalesce(n, 0) AS evidence_count, CASE WHEN o_orderstatus = 'P' THEN 'SIGNAL_NOT_ANALYZABLE' WHEN coalesce(n, 0) = 0 THEN 'NO_EVIDENCE' WHEN pairs < n THEN 'DUPLICATE_EVIDENCE' WHEN outside > 0 THEN 'EVIDENCE_OUTSIDE_SIGNAL' WHEN refused > 0 THEN 'AI_PROCESSING_NOT_PERMITTED' END AS error
-FROM orders LEFT JOIN e ON s = o_orderkey WHERE o_orderkey < 3000""")
+FROM orders LEFT JOIN e ON s = o_orderkey""")
 def _(v):
     return _requests(v).select("signal_id", "evidence_count", "error")
 
@@ -458,20 +495,41 @@ def _(v):
     return _template(v).select("analysis_id", "business_impact", "urgency", "confidence", F.col("facts")[0]["id"].alias("fact_id"), F.array_join("entities", ",").alias("entities"), F.md5(F.col("facts")[0]["statement"]).alias("statement"))
 
 
-@query("validate_responses", "SELECT 'a' || doc_id AS analysis_id, CASE WHEN doc_id % 5 = 1 THEN 'SCHEMA' WHEN doc_id % 5 = 2 THEN 'IDENTITY' WHEN doc_id % 5 = 3 THEN 'PROVENANCE' WHEN doc_id % 5 = 4 THEN 'DOMAIN' END AS reason FROM documents")
+_LONG = "x" * 4001
+#: (field, JSON that takes its place, reason): one response for each rule. SID stands for the request's source.
+_RESPONSES = [
+    ("summary", '"ok"', None), ("deadline", '"2026-02-01T10:00:00Z"', None), ("inferences", "[]", None), ("entities", "[]", None), ("risks", "[]", None),
+    ("headline", '" "', "SCHEMA"), ("headline", '"h "', "SCHEMA"), ("headline", "5", "SCHEMA"), ("headline", f'"{_LONG[:501]}"', "SCHEMA"), ("summary", f'"{_LONG}"', "SCHEMA"), ("whyImportant", "null", "SCHEMA"), ("eventType", f'"{_LONG[:201]}"', "SCHEMA"),
+    ("promptVersion", f'"{_LONG[:101]}"', "SCHEMA"), ("analysisVersion", '""', "SCHEMA"), ("schemaVersion", '"ai-analysis/v2"', "SCHEMA"), ("status", '"FAILED"', "SCHEMA"), ("createdAt", '"yesterday"', "SCHEMA"), ("createdAt", '"2026-02-31T10:00:00Z"', "SCHEMA"), ("deadline", '"soon"', "SCHEMA"), ("deadline", "5", "SCHEMA"),
+    ("confidence", "1.5", "SCHEMA"), ("confidence", '"0.5"', "SCHEMA"), ("businessImpact", "101", "SCHEMA"), ("urgency", "-1", "SCHEMA"), ("actionability", "null", "SCHEMA"), ("sourceIds", "[]", "SCHEMA"), ("facts", "[]", "SCHEMA"), ("entities", "[1]", "SCHEMA"), ("entities", '["x "]', "SCHEMA"), ("risks", f'["{_LONG[:2001]}"]', "SCHEMA"),
+    ("risks", "[" + ", ".join(f'"r{i}"' for i in range(21)) + "]", "SCHEMA"), ("facts", '[{"id": "f1", "sourceIds": ["SID"], "statement": "s", "more": 1}]', "SCHEMA"), ("facts", '[{"id": "f1", "sourceIds": [], "statement": "s"}]', "SCHEMA"), ("facts", '[{"id": "f1", "sourceIds": ["SID"]}]', "SCHEMA"),
+    ("inferences", '[{"id": "i1", "basisFactIds": [], "statement": "x"}]', "SCHEMA"), ("candidateActions", '[{"kind": "REVIEW", "priority": 1, "rationale": "r", "title": "one"}]', "SCHEMA"),
+    *[("candidateActions", f'[{{"kind": "REVIEW", "priority": 1, "rationale": "r", "title": "one"}}, {{"kind": "{k}", "priority": {p}, "rationale": "{r}", "title": "{t}"}}]', "SCHEMA") for k, p, r, t in (("CALL", 2, "r", "two"), ("VERIFY", 6, "r", "two"), ("VERIFY", 2, _LONG[:2001], "two"), ("VERIFY", 2, "r", _LONG[:301]), ("VERIFY", 1.5, "r", "two"))],
+    ("signalId", '"other"', "IDENTITY"), ("correlationId", '"other"', "IDENTITY"), ("provider", '"other"', "IDENTITY"), ("model", '"other"', "IDENTITY"), ("analysisId", '"other"', "IDENTITY"), ("sourceIds", '["none"]', "PROVENANCE"), ("sourceIds", '["SID", "none"]', "PROVENANCE"),
+    ("sourceIds", '["SID", "SID"]', "DOMAIN"), ("facts", '[{"id": "f1", "sourceIds": ["SID", "SID"], "statement": "s"}]', "DOMAIN"), ("facts", '[{"id": "f1", "sourceIds": ["SID"], "statement": "s"}, {"id": "f1", "sourceIds": ["SID"], "statement": "t"}]', "DOMAIN"), ("facts", '[{"id": "f1", "sourceIds": ["elsewhere"], "statement": "s"}]', "DOMAIN"),
+    ("inferences", '[{"id": "i1", "basisFactIds": ["f9"], "statement": "x"}]', "DOMAIN"), ("inferences", '[{"id": "i1", "basisFactIds": ["f1", "f1"], "statement": "x"}]', "DOMAIN"), ("inferences", '[{"id": "i1", "basisFactIds": ["f1"], "statement": "x"}, {"id": "i1", "basisFactIds": ["f1"], "statement": "y"}]', "DOMAIN"),
+    ("entities", '["Риск", "риск"]', "DOMAIN"), ("risks", '["Риск", "риск"]', "DOMAIN"), ("candidateActions", '[{"kind": "REVIEW", "priority": 1, "rationale": "r", "title": "Один"}, {"kind": "VERIFY", "priority": 2, "rationale": "r", "title": "один"}]', "DOMAIN"), ("extra", "1", "SCHEMA"), ("urgency", None, "SCHEMA"),
+]
+_RESPONSE = {
+    "analysisVersion": '"v1"', "correlationId": '"c"', "provider": '"p"', "model": '"m"', "promptVersion": '"v1"', "schemaVersion": '"ai-analysis/v1"', "status": '"SUCCEEDED"', "createdAt": '"2026-01-01T00:00:00.000Z"', "headline": '"h"', "summary": '"s"', "whyImportant": '"w"', "eventType": '"e"', "deadline": "null",
+    "confidence": "0.5", "businessImpact": "50", "urgency": "50.5", "actionability": "75", "entities": '["x"]', "risks": '["r"]', "sourceIds": '["SID"]', "facts": '[{"id": "f1", "sourceIds": ["SID"], "statement": "A statement"}]', "inferences": '[{"id": "i1", "basisFactIds": ["f1"], "statement": "x"}]',
+    "candidateActions": '[{"kind": "VERIFY", "priority": 1, "rationale": "r", "title": "one"}, {"kind": "REVIEW", "priority": 2, "rationale": "r", "title": "two"}]',
+}
+
+
+@query("validate_responses", "SELECT 'a' || doc_id AS analysis_id, [" + ", ".join(f"'{r}'" if r else "NULL" for _, _, r in _RESPONSES) + f"][doc_id % {len(_RESPONSES)} + 1] AS reason FROM documents")
 def _(v):
     from leadloom.operators.analyze import validate_responses
 
-    i = F.col("id") % 5
-    t = _template(v).withColumn("id", F.col("signal_id").cast("long")).withColumn("source", F.col("source_ids")[0])
-    facts = F.array(F.struct(F.lit("f1").alias("id"), F.array("source").alias("sourceIds"), F.lit("A statement").alias("statement")))
-    body = F.to_json(F.struct(
-        "analysis_id", *[c.alias(n) for n, c in {
-            "analysisId": F.col("analysis_id"), "signalId": F.when(i == 2, "other").otherwise(F.col("signal_id")), "correlationId": F.lit("c"), "provider": F.lit("p"), "model": F.lit("m"), "status": F.lit("SUCCEEDED"), "headline": F.when(i == 1, " ").otherwise("h"),
-            "summary": F.lit("s"), "whyImportant": F.lit("w"), "eventType": F.lit("e"), "confidence": F.lit(0.5), "businessImpact": F.lit(50.0), "urgency": F.lit(50.0), "actionability": F.lit(75.0), "entities": F.array(F.lit("x")), "risks": F.array(F.lit("r")),
-            "sourceIds": F.array("source"), "facts": facts, "inferences": F.array(F.struct(F.lit("i1").alias("id"), F.array(F.when(i == 4, "f9").otherwise("f1")).alias("basisFactIds"), F.lit("x").alias("statement"))), "candidateActions": F.col("candidate_actions"),
-        }.items()]).dropFields("analysis_id"))
-    requests = t.select("analysis_id", "signal_id", F.lit("c").alias("correlation_id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.array(F.when(i == 3, "none").otherwise(F.col("source"))).alias("allowed_source_ids"))
+    bodies = []
+    for field, value, _ in _RESPONSES:
+        fields = {"analysisId": '"AID"', "signalId": '"GID"', **_RESPONSE, field: value}
+        bodies.append("{" + ", ".join(f'"{k}": {x}' for k, x in fields.items() if x is not None) + "}")
+    t = v.table("documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("analysis_id"), F.col("doc_id").cast("string").alias("signal_id"), "source", (F.col("doc_id") % len(bodies) + 1).cast("int").alias("n"))
+    body = F.element_at(F.array(*[F.lit(b) for b in bodies]), F.col("n"))
+    for name, column in (("SID", "source"), ("AID", "analysis_id"), ("GID", "signal_id")):
+        body = F.replace(body, F.lit(name), F.col(column))
+    requests = t.select("analysis_id", "signal_id", F.lit("c").alias("correlation_id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.array(F.col("source"), F.lit("elsewhere")).alias("allowed_source_ids"))
     return validate_responses(t.select("analysis_id", body.alias("response")), requests).select("analysis_id", "reason")
 
 
@@ -540,7 +598,7 @@ _F2 = lambda x: f"printf('%.2f', ({x})::DOUBLE + CASE WHEN ({x})::DOUBLE * 8 = f
 
 @query("score_explanation", f"""WITH {FACTORS} SELECT id, md5('Opportunity Score ' || {_F2('total')} || ' (' || {_BAND('total')} || '); rawWeightedScore ' || {_F2('raw_total')} || '; businessImpact ' || {_F2('i')} || '×35%=' || {_F2('pi')} || '; companyFit ' || {_F2('f')} || '×25%=' || {_F2('pf')} || '; urgency ' || {_F2('u')} || '×20%=' || {_F2('pu')}
  || '; effectiveConfidence min(analysisConfidence ' || {_F2('c')} || ', evidenceReliability ' || {_F2('r')} || ')=' || {_F2('e')} || '×10%=' || {_F2('pe')} || '; actionability ' || {_F2('a')} || '×10%=' || {_F2('pa')} || CASE WHEN total < raw_total THEN '; confidenceGuardrail capped priority at ' || gb || '/' || {_F2('top')} ELSE '; confidenceGuardrail not applied' END) AS digest
-FROM f4 WHERE id % 2 = 0""")
+FROM f4""")
 def _(v):
     rows = scoring.with_opportunity_score_v2(_factors(v))
     return rows.select("id", F.md5(scoring.score_explanation(rows)).alias("digest"))
@@ -562,7 +620,7 @@ def _(v):
 _MATCH = """CASE WHEN length(c) < 3 OR length(w) < 3 THEN c = w ELSE contains(c, w) OR contains(w, c) OR len(list_filter(string_split(w, ' '), lambda y: len(list_filter(string_split(c, ' '), lambda x: least(5, length(x), length(y)) >= 3 AND left(x, least(5, length(x), length(y))::INT) = left(y, least(5, length(x), length(y))::INT))) = 0)) = 0 END"""
 
 
-@query("matches_term", f"WITH t AS (SELECT DISTINCT a.p_partkey, a.p_name AS c, lower(left(b.p_name, 6)) AS w FROM part a JOIN part b ON a.p_size = b.p_size WHERE a.p_partkey % 5 = 0) SELECT p_partkey, w, {_MATCH} AS hit FROM t")
+@query("matches_term", f"WITH t AS (SELECT DISTINCT a.p_partkey, a.p_name AS c, lower(b.p_name) AS w FROM part a JOIN part b ON a.p_size = b.p_size) SELECT p_partkey, w, {_MATCH} AS hit FROM t")
 def _(v):
     part = v.table("part")
     wanted = part.select("p_size", F.lower("p_name").alias("w")).distinct()
@@ -600,9 +658,10 @@ def _(v):
     return _fit(v).select("id", "exclusion")
 
 
-@query("company_fit", f"WITH {FIT} SELECT id, CASE WHEN exclusion IS NULL THEN {_R('fv * 0.3 + fr * 0.25 + fe * 0.2 + fo * 0.15 + fp * 0.1')} ELSE 0.0 END AS fit FROM fit")
+@query("company_fit", f"""WITH {FIT} SELECT id, CASE WHEN exclusion IS NULL THEN {_R('fv * 0.3 + fr * 0.25 + fe * 0.2 + fo * 0.15 + fp * 0.1')} ELSE 0.0 END AS fit,
+ concat_ws(',', CASE WHEN fv = 100 THEN 'CONSTRUCTION' END, CASE WHEN fr = 100 THEN 'moscow region' END, CASE WHEN fe = 100 THEN 'tender' END, CASE WHEN fo = 100 THEN p_name END) AS matched FROM fit""")
 def _(v):
-    return _fit(v).select("id", "fit")
+    return _fit(v).select("id", "fit", F.array_join(F.flatten("criteria.matched_values"), ",").alias("matched"))
 
 
 @query("evidence_reliability", f"WITH {SOURCES}, f AS (SELECT l_orderkey AS a, l_linenumber AS f, max(reliability) AS best FROM lineitem JOIN sources ON n IN (l_suppkey % 20, l_partkey % 20) GROUP BY 1, 2) SELECT a AS analysis_id, min(best) AS reliability, NULL AS error FROM f GROUP BY 1")
@@ -613,13 +672,19 @@ def _(v):
 
 
 def _scored(v: Views) -> DataFrame:
-    return _fit(v).select(F.col("id").alias("signal_id"), F.col("id").alias("analysis_id"), (F.col("id") % 10).alias("profile_id"), F.lit(1).alias("profile_revision"), "exclusion", "fit")
+    i = F.col("id")
+    action = lambda t: F.struct(F.lit("REVIEW").alias("kind"), F.lit(t).alias("title"))
+    actions = F.when(i % 13 == 0, F.array(action("One"))).when(i % 13 == 1, F.array(action("One"), action("oNE"))).otherwise(F.array(action("One"), action("Two")))
+    sources = F.when(i % 17 == 0, F.array().cast("array<string>")).when(i % 17 == 1, F.array(F.lit("s"), F.lit("s"))).otherwise(F.array(F.lit("s"), F.lit("t")))
+    return _fit(v).select(i.alias("signal_id"), i.alias("analysis_id"), (i % 10).alias("profile_id"), F.lit(1).alias("profile_revision"), "exclusion", "fit", actions.alias("candidate_actions"), sources.alias("source_ids"))
 
 
 @query("build_recommendations", f"""WITH {FIT}, h AS (SELECT id, sha256('["pipeline","recommendation","' || id || '","' || id || '","' || (id % 10) || '","1","opportunity-score-v2"]') AS h FROM fit WHERE exclusion IS NULL)
-SELECT id AS signal_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
+SELECT id AS signal_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
+ CASE WHEN id % 13 = 0 THEN 'One' WHEN id % 13 = 1 THEN 'One,oNE' ELSE 'One,Two' END AS titles, CASE WHEN id % 17 = 0 THEN '' WHEN id % 17 = 1 THEN 's,s' ELSE 's,t' END AS sources,
+ CASE WHEN id % 13 = 0 THEN 'INVALID_RECOMMENDED_ACTION_COUNT' WHEN id % 13 = 1 THEN 'DUPLICATE_RECOMMENDED_ACTION' WHEN id % 17 IN (0, 1) THEN 'INVALID_SOURCE_IDS' END AS error FROM h""")
 def _(v):
-    return scoring.build_recommendations(_scored(v)).select("signal_id", "id")
+    return scoring.build_recommendations(_scored(v)).select("signal_id", "id", F.array_join("recommended_actions.title", ",").alias("titles"), F.array_join("source_ids", ",").alias("sources"), "error")
 
 
 @query("scoring_summary", f"WITH {FIT} SELECT count(*) AS eligible_pairs, count(*) FILTER (exclusion IS NULL) AS scored, count(*) FILTER (exclusion IS NOT NULL) AS excluded, count(DISTINCT id % 10) AS profiles FROM fit")
@@ -700,7 +765,7 @@ def _(v):
 # ---------------------------------------------------------------- digests
 
 DIGEST = RECS + """, cand AS (SELECT *, date_trunc('week', created_at) AS period_start FROM recs WHERE status IN ('ACTIVE', 'CANDIDATE') AND revision = 2),
-uniq AS (SELECT * FROM (SELECT *, user_id % 50 AS person FROM cand) QUALIFY row_number() OVER (PARTITION BY person, period_start, signal_id % 40 ORDER BY total_score DESC, created_at DESC, id) = 1),
+uniq AS (SELECT * FROM (SELECT *, user_id % 5 AS person FROM cand) QUALIFY row_number() OVER (PARTITION BY person, period_start, signal_id % 40 ORDER BY total_score DESC, created_at DESC, id) = 1),
 top5 AS (SELECT *, row_number() OVER (PARTITION BY person, period_start ORDER BY total_score DESC, created_at DESC, id) AS rank FROM uniq QUALIFY rank <= 5),
 cats AS (SELECT person, period_start, category, count(*) AS current FROM uniq GROUP BY ALL),
 trends AS (SELECT a.person, a.period_start, a.category, a.current, coalesce(b.current, 0) AS previous, a.current - coalesce(b.current, 0) AS delta,
@@ -709,14 +774,14 @@ trends AS (SELECT a.person, a.period_start, a.category, a.current, coalesce(b.cu
 
 
 def _candidates(v: Views, kind: str = "WEEKLY") -> DataFrame:
-    """Fifty people and forty signals, so that periods have several rows."""
+    """Five people and forty signals, so that periods have several rows."""
     recs = v.recommendations
     live = recs.select(F.col("id").alias("signal_id"), "category", "created_at", "status")
     rows = recs.drop("category", "status", "signal_id").withColumn("signal_id", F.col("id"))
     profiles = v.profiles.filter("revision = 2").select("id", "revision")
     good = recs.select("analysis_id", F.lit("SUCCEEDED").alias("status"))
     out = digest.digest_candidates(rows, live, good, profiles, kind)
-    return out.withColumns({"user_id": F.col("user_id") % 50, "signal_id": F.col("signal_id") % 997 % 40})
+    return out.withColumns({"user_id": F.col("user_id") % 5, "signal_id": F.col("signal_id") % 997 % 40})
 
 
 @query("digest_periods", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day_start, date_trunc('week', o_orderdate)::TIMESTAMP AS week_start, date_trunc('week', o_orderdate)::TIMESTAMP + INTERVAL 7 DAY AS week_end, date_trunc('week', o_orderdate)::TIMESTAMP - INTERVAL 7 DAY AS week_before FROM orders")
@@ -740,12 +805,12 @@ def _(v):
     return digest.digest_top5(digest.unique_by_signal(_candidates(v))).select("id", "user_id", "rank")
 
 
-@query("weekly_funnel", """WITH a AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events GROUP BY 1), b AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), c AS (SELECT date_trunc('week', ts + INTERVAL 7 DAY) AS w, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1)
+@query("weekly_funnel", """WITH a AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events GROUP BY 1), b AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), c AS (SELECT date_trunc('week', ts + INTERVAL 7 DAY) AS w, count(*) AS n FROM events GROUP BY 1)
 SELECT coalesce(a.w, b.w, c.w)::TIMESTAMP AS period_start, coalesce(a.n, 0) AS processed, coalesce(b.n, 0) AS unique_items, coalesce(c.n, 0) AS relevant FROM a FULL JOIN b ON a.w = b.w FULL JOIN c ON coalesce(a.w, b.w) = c.w""")
 def _(v):
     e = v.table("events")
     heads = e.select(F.when(F.col("event_id") % 3 == 0, "REPRESENTATIVE").otherwise("NEAR_TEXT").alias("match_kind"), F.col("ts").alias("created_at"))
-    signals = e.filter("event_id % 10 = 0").select((F.col("ts") + F.make_dt_interval(F.lit(7))).alias("created_at"))
+    signals = e.select((F.col("ts") + F.make_dt_interval(F.lit(7))).alias("created_at"))
     return digest.weekly_funnel(e.select(F.col("ts").alias("received_at")), heads, signals)
 
 
@@ -850,7 +915,10 @@ def _(v):
     return feedback.delivery_outcomes(v.deliveries)[0].select("id", "status")
 
 
-@query("delivery_conflicts", f"WITH {DELIVERED} SELECT id, status FROM dr WHERE k > 1 AND status IN ('SENT', 'FAILED') AND status <> f")
+_CHANGED = DELIVERED.replace("FROM dl)", "FROM dc)").replace(", dr AS", ", dc AS (SELECT * REPLACE (CASE WHEN id % 4000 = 1 AND id > 4000 THEN 'FAILED' ELSE status END AS status) FROM dl), dr AS")
+
+
+@query("delivery_conflicts", f"WITH {_CHANGED} SELECT id, status FROM dr WHERE k > 1 AND status IN ('SENT', 'FAILED') AND status <> f")
 def _(v):
     changed = v.deliveries.withColumn("status", F.when((F.col("id") % 4000 == 1) & (F.col("id") > 4000), "FAILED").otherwise(F.col("status")))
     return feedback.delivery_outcomes(changed)[1].select("id", "status")
@@ -870,10 +938,22 @@ def _(v):
 
 # ---------------------------------------------------------------- evaluation
 
-@query("validate_gold", f"""WITH {GOLD} SELECT 'RELEVANT_ACTION' AS problem, id FROM gold WHERE false UNION ALL SELECT 'IRRELEVANT_ACTION', id FROM gold WHERE NOT relevant AND action <> 'IGNORE' UNION ALL SELECT 'IMPORTANCE', id FROM gold WHERE relevant AND importance < 40
-UNION ALL SELECT 'REPEATED_URL', min(id) FROM gold GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'REPEATED_TEXT', min(id) FROM gold GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1""")
-def _(v):
-    return evals.validate_gold(v.gold)
+@query("validate_gold", f"""WITH {GOLD}, g AS (SELECT *, CASE WHEN id % 31 = 0 THEN 'PRIVATE' ELSE vertical END AS v, CASE WHEN NOT relevant THEN CASE WHEN id % 29 = 0 THEN 'HORECA_OPENING' ELSE 'OTHER' END WHEN id % 11 = 0 THEN 'OTHER' ELSE vertical || '_PROJECT' END AS category, CASE WHEN id % 37 = 0 THEN 'TEST' ELSE split END AS s FROM gold),
+n AS (SELECT unnest(['CONSTRUCTION', 'HORECA']) AS v), k AS (SELECT n.v, count(g.id) AS items, count(g.id) FILTER (relevant) AS relevant, count(g.id) FILTER (s = 'CALIBRATION') AS calibration FROM n LEFT JOIN g ON g.v = n.v GROUP BY n.v)
+SELECT 'IRRELEVANT_ACTION' AS problem, id FROM g WHERE NOT relevant AND action <> 'IGNORE' UNION ALL SELECT 'RELEVANT_ACTION', id FROM g WHERE relevant AND id % 41 = 0 UNION ALL SELECT 'IMPORTANCE', id FROM g WHERE relevant AND importance < 40
+UNION ALL SELECT 'REPEATED_URL', min(id) FROM g GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'REPEATED_TEXT', min(id) FROM g GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1
+UNION ALL SELECT 'VERTICAL', id FROM g WHERE v = 'PRIVATE' UNION ALL SELECT 'SPLIT', id FROM g WHERE s = 'TEST' UNION ALL SELECT 'IRRELEVANT_LABELS', id FROM g WHERE NOT relevant AND (category <> 'OTHER' OR id % 43 = 0) UNION ALL SELECT 'RELEVANT_CATEGORY', id FROM g WHERE relevant AND id % 11 = 0 AND v <> 'PRIVATE'
+UNION ALL SELECT 'FACT_COUNT', id FROM g WHERE id % 47 = 0 UNION ALL SELECT 'FACT_IDS', id FROM g WHERE id % 47 = 0 UNION ALL SELECT 'QUOTE_NOT_IN_TEXT', id FROM g WHERE id % 53 = 0 AND id % 47 <> 0
+UNION ALL SELECT 'BALANCE_' || v || '_ITEMS', NULL FROM k WHERE items <> 100 UNION ALL SELECT 'BALANCE_' || v || '_RELEVANT', NULL FROM k WHERE relevant <> 80 UNION ALL SELECT 'BALANCE_' || v || '_CALIBRATION', NULL FROM k WHERE calibration <> 40""")
+def _(v):
+    i, relevant, fact = F.col("id"), F.col("relevant"), F.col("facts")[0]
+    category = F.when(~relevant, F.when(i % 29 == 0, "HORECA_OPENING").otherwise("OTHER")).when(i % 11 == 0, "OTHER").otherwise(F.concat("vertical", F.lit("_PROJECT")))
+    facts = F.when(i % 47 == 0, F.array_repeat(fact, 4)).when(i % 53 == 0, F.array(fact.withField("evidenceQuote", F.concat(fact["evidenceQuote"], F.lit("@@"))))).otherwise(F.col("facts"))
+    rows = v.gold.withColumns({
+        "category": category, "event_type": F.when(relevant, "x").when(i % 43 == 0, "irrelevant_notice").otherwise("IRRELEVANT_NOTICE"), "action": F.when(relevant & (i % 41 == 0), "IGNORE").otherwise(F.col("action")), "facts": facts,
+    })
+    rows = rows.withColumns({"vertical": F.when(i % 31 == 0, "PRIVATE").otherwise(F.col("vertical")), "split": F.when(i % 37 == 0, "TEST").otherwise(F.col("split"))})
+    return evals.validate_gold(rows, evals.GOLD_BALANCE)
 
 
 @query("gold_summary", f"""WITH {GOLD} SELECT count(*) AS items, 1 AS facts_min, 1 AS facts_max, count(*) AS facts_total, count(*) FILTER (relevant) AS relevant, count(*) FILTER (NOT relevant) AS irrelevant, count(*) FILTER (split = 'CALIBRATION') AS calibration,
@@ -897,7 +977,11 @@ def _(v):
     return v.judged.select("id", "validity")
 
 
-@query("validity_rates", f"WITH {GOLD}, c AS (SELECT count(*) AS items, count(*) FILTER (validity = 'SUCCEEDED') AS valid, count(*) FILTER (validity NOT IN ('MISSING', 'THROWN')) AS returned FROM judged) SELECT *, floor(returned / items * 1e6 + 0.5) / 1e6 AS coverage, floor(valid / returned * 1e6 + 0.5) / 1e6 AS valid_rate FROM c")
+_RATE = lambda a, b: f"CASE WHEN {b} > 0 THEN floor(({a})::DOUBLE / ({b}) * 1e6 + 0.5) / 1e6 END"
+_OUTCOMES = "count(*) AS items, count(*) FILTER (validity = 'SUCCEEDED') AS valid, count(*) FILTER (code IS NOT NULL) AS failures, count(*) FILTER (code = 'AI_INVALID_RESPONSE') AS invalid"
+
+
+@query("validity_rates", f"WITH {GOLD}, c AS (SELECT {_OUTCOMES} FROM judged) SELECT *, failures - invalid AS provider_failures, {_RATE('valid', 'items')} AS coverage, {_RATE('valid', '(valid + invalid)')} AS valid_rate FROM c")
 def _(v):
     return evals.validity_rates(v.judged)
 
@@ -919,7 +1003,7 @@ def _(v):
 _SQ = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
 
 
-@query("fact_support", f"WITH {GOLD} SELECT id, 'f' || id AS fact_id, id % 3 = 0 OR contains({_SQ('text')}, {_SQ('quote')}) AND id % 4 <> 0 AS supported FROM gold WHERE id % 3 <> 0")
+@query("fact_support", f"WITH {GOLD} SELECT id, 'f' || id AS fact_id, contains({_SQ('text')}, {_SQ('quote')}) AND id % 4 <> 0 AS supported FROM gold")
 def _(v):
     g = v.gold
     made = g.select("id", F.col("facts")[0]["id"].alias("fact_id"), F.array("source_id").alias("source_ids"), F.col("facts")[0]["statement"].alias("statement"))
@@ -949,11 +1033,16 @@ def _(v):
     return evals.token_throughput(v.runs)
 
 
-@query("eval_failures", f"WITH {GOLD} SELECT CASE WHEN validity = 'INVALID_ANALYSIS' THEN 'INVALID' ELSE 'PROVIDER' END AS kind, coalesce(code, validity) AS code, count(*) AS n FROM judged WHERE validity <> 'SUCCEEDED' GROUP BY ALL")
+@query("eval_failures", f"WITH {GOLD} SELECT CASE WHEN code = 'AI_INVALID_RESPONSE' THEN 'INVALID' ELSE 'PROVIDER' END AS kind, code, count(*) AS n FROM judged WHERE code IS NOT NULL GROUP BY ALL")
 def _(v):
     return evals.eval_failures(v.judged)
 
 
+@query("failure_rows", f"WITH {GOLD} SELECT id, CASE WHEN validity = 'MISSING' THEN 'THROWN' ELSE validity END AS kind, code FROM judged WHERE code IS NOT NULL")
+def _(v):
+    return evals.failure_rows(v.judged)
+
+
 def _report(v: Views) -> DataFrame:
     """Gold items dealt to the six runs of lineitem."""
     pick = lambda n, *x: F.element_at(F.array(*[F.lit(y) for y in x]), (F.col("id") % n + 1).cast("int"))
@@ -961,15 +1050,41 @@ def _report(v: Views) -> DataFrame:
     return evals.benchmark_report(judged, v.runs)
 
 
-@query("benchmark_report", f"""WITH {GOLD}, c AS (SELECT ['A', 'N', 'R'][id % 3 + 1] AS provider, ['F', 'O'][id % 2 + 1] AS model, count(*) AS items, count(*) FILTER (validity = 'SUCCEEDED') AS valid, {', '.join(x.replace('FILTER (', "FILTER (validity = 'SUCCEEDED' AND ") for x in _CONF.split(', '))} FROM judged GROUP BY 1, 2), l AS ({LATENCY}), t AS ({TOKENS})
-SELECT c.provider, c.model, items, valid, tp, fp, tn, fn, CASE WHEN tp + fp > 0 THEN {_SIX('tp', 'tp + fp')} END AS precision, l.p95, t.tokens_per_second FROM c LEFT JOIN l USING (provider, model) LEFT JOIN t USING (provider, model)""")
+_OK = "validity = 'SUCCEEDED'"
+_LOW = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+_CONFUSION = ", ".join(x.replace("FILTER (", f"FILTER ({_OK} AND ") for x in _CONF.split(", "))
+REPORT = f"""{GOLD}, fc AS (SELECT *, {_LOW('quote')} AS q, {_LOW("quote || CASE WHEN id % 5 = 0 THEN ' and what no text says' ELSE '' END")} AS s1, {_LOW('upper(left(text, 20))')} AS s2, {_LOW('text')} AS low FROM judged),
+c AS (SELECT ['A', 'N', 'R'][id % 3 + 1] AS provider, ['F', 'O'][id % 2 + 1] AS model, {_OUTCOMES}, {_CONFUSION}, count(*) FILTER ({_OK} AND relevant <> said_no) AS event_correct, count(*) AS expected_facts, count(*) FILTER ({_OK}) AS evaluated_expected_facts,
+ count(*) FILTER ({_OK} AND (contains(s1, q) OR contains(q, s1) OR contains(s2, q) OR contains(q, s2))) AS matched_expected_facts, 2 * count(*) FILTER ({_OK}) AS generated_facts,
+ count(*) FILTER ({_OK} AND contains(low, s1)) + count(*) FILTER ({_OK} AND id % 7 <> 0 AND contains(low, s2)) AS supported_generated_facts FROM fc GROUP BY 1, 2),
+l AS ({LATENCY}), t AS ({TOKENS}),
+report AS (SELECT c.*, failures - invalid AS provider_failures, {_RATE('valid', 'items')} AS coverage, {_RATE('valid', '(valid + invalid)')} AS valid_rate, {_RATE('event_correct', 'valid')} AS event_accuracy, {_RATE('tp + tn', '(tp + fp + tn + fn)')} AS accuracy,
+ {_RATE('tp', '(tp + fp)')} AS precision, {_RATE('tp', '(tp + fn)')} AS recall, {_RATE('2 * tp', '(2 * tp + fp + fn)')} AS f1, {_RATE('matched_expected_facts', 'evaluated_expected_facts')} AS expected_fact_recall, {_RATE('supported_generated_facts', 'generated_facts')} AS generated_fact_support_rate,
+ generated_facts - supported_generated_facts AS hallucination_count, l.p95, t.tokens_per_second, t.n AS samples, t.with_usage FROM c LEFT JOIN l USING (provider, model) LEFT JOIN t USING (provider, model))"""
+_REPORTED = [
+    "provider", "model", "items", "valid", "failures", "invalid", "provider_failures", "coverage", "valid_rate", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "event_correct", "event_accuracy",
+    "expected_facts", "evaluated_expected_facts", "matched_expected_facts", "expected_fact_recall", "generated_facts", "supported_generated_facts", "hallucination_count", "generated_fact_support_rate", "p95", "tokens_per_second", "samples",
+]
+
+
+@query("benchmark_report", f"WITH {REPORT} SELECT {', '.join(_REPORTED)} FROM report")
 def _(v):
-    return _report(v).select("provider", "model", "items", "valid", "tp", "fp", "tn", "fn", "precision", "p95", "tokens_per_second")
+    return _report(v).select(*_REPORTED)
 
 
-@query("check_report", f"WITH {GOLD} SELECT DISTINCT ['A', 'N', 'R'][id % 3 + 1] AS provider, ['F', 'O'][id % 2 + 1] AS model, 'CONFUSION_SUM' AS problem FROM judged WHERE id % 3 = 0")
+_BROKEN = {
+    "CONFUSION_SUM": "tp + fp + tn + fn <> valid", "RATE_ACCURACY": f"accuracy <> {_RATE('tp + tn', 'valid')}", "RATE_PRECISION": f"precision <> {_RATE('tp', '(tp + fp)')}", "RATE_RECALL": f"recall <> {_RATE('tp', '(tp + fn)')}", "RATE_F1": f"f1 <> {_RATE('2 * tp', '(2 * tp + fp + fn)')}",
+    "HALLUCINATION_COUNT": "model = 'O'", "LATENCY_SAMPLES": "samples <> items", "TOKEN_SAMPLES": "with_usage > items", "FAILURE_CLASSES": "provider = 'N'", "EVENT_CORRECT": "provider = 'R'", "RATE_EVENT_ACCURACY": "provider = 'R'",
+}
+
+
+@query("check_report", f"WITH {REPORT}, b AS (SELECT * REPLACE (CASE WHEN provider = 'A' THEN tp + 1 ELSE tp END AS tp) FROM report) SELECT provider, model, problem FROM (" + " UNION ALL ".join(f"SELECT provider, model, '{k}' AS problem FROM b WHERE {c}" for k, c in _BROKEN.items()) + ")")
 def _(v):
-    broken = _report(v).withColumn("tp", F.col("tp") + F.when(F.col("provider") == "A", 1).otherwise(0))
+    when = lambda c, x: F.when(F.col("provider") == c, x).otherwise(0)
+    broken = _report(v).withColumns({
+        "tp": F.col("tp") + when("A", 1), "provider_failures": F.col("provider_failures") + when("N", 1), "event_correct": F.when(F.col("provider") == "R", F.col("valid") + 1).otherwise(F.col("event_correct")),
+        "hallucination_count": F.col("hallucination_count") + F.when(F.col("model") == "O", 1).otherwise(0),
+    })
     return evals.check_report(broken).select("provider", "model", "problem")
 
 
@@ -982,11 +1097,61 @@ def _(v):
 
 # ---------------------------------------------------------------- audits, telemetry, streams
 
-@query("audit_constraints", f"""WITH {SOURCES} SELECT 'sources' AS table_name, 'name' AS constraint_name, 0 AS violations UNION ALL SELECT 'sources', 'reliability', 0 UNION ALL SELECT 'sources', 'verticals', 0
-UNION ALL SELECT 'raw_items', 'raw_text', (SELECT count(*) FROM documents WHERE trim(text) = '') UNION ALL SELECT 'raw_items', 'content_hash', 0 UNION ALL SELECT 'deliveries', 'key', 0 UNION ALL SELECT 'deliveries', 'failed', 0
-UNION ALL SELECT 'deliveries', 'sent', (SELECT count(*) FROM events WHERE event_id % 4 = 3)""")
+def _audited(v: Views) -> dict[str, DataFrame]:
+    """Tables with rows that break rules, one in so many."""
+    i, n = F.col("id"), F.col("n")
+    ts = lambda c: F.timestamp_micros(F.lit(1767225600000000) + c * 1000000)
+    sources = v.sources.withColumns({
+        "type": F.when(n % 4 == 0, "PARTNER_TELEGRAM").when(n % 4 == 1, "MANUAL").otherwise("RSS"), "poll_interval_minutes": F.when(n % 4 == 2, F.lit(15)).when(n % 4 == 0, F.lit(0)), "created_at": ts(n), "updated_at": ts(n - F.when(n % 5 == 0, 1).otherwise(0)),
+        "last_success_at": F.when(n % 3 == 0, ts(n - F.when(n % 6 == 0, 1).otherwise(0))), "last_error_at": F.lit(None).cast("timestamp"), "regions": F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("name")), "rights_basis": F.when(n % 2 == 0, "licence").otherwise(" "),
+        "name": F.when(n % 11 == 0, " ").otherwise(F.col("name")), "reliability": F.col("reliability") + F.when(n % 13 == 0, 100).otherwise(0), "ai_allowed": F.lit(True),
+    })
+    k = F.col("o_orderkey")
+    recs = v.table("orders").select(
+        *[(k % m - F.when(k % m == 1, 2).otherwise(0)).alias(c) for m, c in ((101, "business_impact"), (97, "company_fit"), (89, "urgency"), (83, "confidence"), (79, "actionability"))], (k % 103).alias("total_score"), F.slice(F.array(*[F.lit(x) for x in "abcdefg"]), 1, (k % 7 + 1).cast("int")).alias("recommended_actions"),
+    )
+    signals = v.table("orders").select(
+        k.alias("id"), (k % 111).alias("relevance_score"), (k % 50).alias("classification_confidence"), F.col("o_orderdate").alias("updated_at"), (F.col("o_orderdate") + F.make_dt_interval(F.when(k % 9 == 0, 1).otherwise(0))).alias("created_at"), F.when(k % 5 == 0, "SUPERSEDED").otherwise("ACTIVE").alias("status"),
+        F.when(k % 10 == 0, k).when(k % 5 == 0, k + 1).when(k % 11 == 0, F.lit(1)).alias("superseded_by"), F.array_repeat(F.lit("r"), (k % 3).cast("int")).alias("rule_ids"),
+    )
+    digests = v.table("orders").select(
+        F.when(k % 2 == 0, "DAILY").otherwise("WEEKLY").alias("kind"), F.col("o_orderdate").alias("period_start"), (F.col("o_orderdate") + F.make_dt_interval(F.when(k % 2 == 0, 1).when(k % 3 == 0, 6).otherwise(7))).alias("period_end"),
+        *[F.when((k % 2 == 1) | (k % 26 == 0), k % m).alias(c) for m, c in ((50, "processed_count"), (40, "unique_count"), (30, "relevant_count"), (20, "opportunity_count"), (25, "high_priority_count"))],
+    )
+    attempts = v.raw.select(
+        F.when(F.col("raw_item_id") % 4 == 0, "REJECTED").otherwise("SUCCEEDED").alias("status"), F.when(F.col("raw_item_id") % 8 == 0, "EMPTY").when(F.col("raw_item_id") % 9 == 1, "ODD").alias("rejection_code"), F.when(F.col("raw_item_id") % 4 != 0, F.col("raw_item_id")).alias("normalized_item_id"), F.when(F.col("raw_item_id") % 12 == 0, " ").when(F.col("raw_item_id") % 4 == 0, "no text").alias("rejection_detail"),
+    )
+    assignments = v.items.select("id", F.when(i % 3 == 0, i).otherwise(i - 1).alias("representative_id"), F.when(i % 6 == 0, i).otherwise(i - 1).alias("matched_to_id"), F.when(i % 3 == 0, "REPRESENTATIVE").otherwise("NEAR_TEXT").alias("match_kind"), ((i % 30) / 28).alias("similarity"), (F.lit(0.0) - F.when(i % 17 == 0, 1.0).otherwise(0.0)).alias("time_distance_hours"))
+    return {
+        "sources": sources, "raw_items": v.raw, "deliveries": v.deliveries.withColumn("created_at", F.col("updated_at") + F.make_dt_interval(mins=F.when(i % 21 == 0, 1).otherwise(0))), "recommendations": recs, "signals": signals, "digests": digests, "normalization_attempts": attempts,
+        "assignments": assignments.withColumn("similarity", F.when(i % 3 == 0, 1.0).otherwise(F.col("similarity"))), "profiles": v.profiles, "digest_items": v.table("lineitem").select(F.col("l_linenumber").alias("rank")),
+        "digest_trends": v.table("lineitem").select((F.col("l_linenumber") - 1).alias("rank"), F.col("l_suppkey").alias("current"), F.col("l_linenumber").alias("previous"), (F.col("l_suppkey") - F.col("l_linenumber") + F.when(F.col("l_partkey") % 10 == 0, 1).otherwise(0)).alias("delta")),
+    }
+
+
+def _sql_audit(table: str, source: str, **broken: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{k}' AS constraint_name, " + (f"NULL::BIGINT AS violations, '{c[1:]}' AS missing FROM (SELECT 1)" if c.startswith("-") else f"count(*) FILTER ({c}) AS violations, NULL AS missing FROM {source}") for k, c in broken.items())
+
+
+_K = "o_orderkey"
+_OUT = lambda m: f"{_K} % {m} = 1 OR {_K} % {m} > 100"
+_AUDITS = [
+    _sql_audit("sources", "sources", name="n % 11 = 0", dimensions="n % 7 = 0", reliability="reliability + CASE WHEN n % 13 = 0 THEN 100 ELSE 0 END > 100", verticals="false", time_order="n % 5 = 0 OR n % 6 = 0", poll_policy="n % 4 IN (0, 3)", ai_permission="n % 10 = 9 OR n % 2 = 1", ai_rights="n % 10 = 9", telegram="n % 4 = 0"),
+    _sql_audit("raw_items", "documents", raw_text="trim(text) = ''", content_hash="false"),
+    _sql_audit("deliveries", "events", outcome="event_id % 4 = 3", reason="-failure_reason", key="false", time_order="event_id % 21 = 0"),
+    _sql_audit("recommendations", "orders", business_impact=_OUT(101), company_fit=_OUT(97), urgency=_OUT(89), confidence=_OUT(83), actionability=_OUT(79), total_score=f"{_K} % 103 > 100", actions=f"{_K} % 7 + 1 NOT BETWEEN 2 AND 5"),
+    _sql_audit("signals", "orders", relevance_score=f"{_K} % 111 > 100", classification_confidence="false", time_order=f"{_K} % 9 = 0", rule_ids=f"{_K} % 3 = 0", supersession=f"{_K} % 10 = 0 OR ({_K} % 5 <> 0 AND {_K} % 11 = 0)"),
+    _sql_audit("digests", "orders", period=f"{_K} % 2 = 1 AND {_K} % 3 = 0", alignment=f"{_K} % 2 = 1 AND isodow(o_orderdate) <> 1", summary=f"{_K} % 26 = 0", counts=f"{_K} % 2 = 1 AND {_K} % 25 > {_K} % 20"),
+    _sql_audit("normalization_attempts", "documents", outcome="(doc_id % 4 = 0 AND doc_id % 8 <> 0 AND doc_id % 9 <> 1) OR (doc_id % 4 <> 0 AND doc_id % 9 = 1)", payload="doc_id % 12 = 0"),
+    _sql_audit("assignments", "documents", similarity="doc_id % 3 <> 0 AND doc_id % 30 > 28", distance="doc_id % 17 = 0", representative="doc_id % 3 = 0 AND (doc_id % 6 <> 0 OR doc_id % 17 = 0)"),
+    _sql_audit("profiles", "profiles", revision="false", range="lo > hi", dimensions="false", services="-services_and_products", project_value_minimum="lo < 0", project_value_maximum="hi < 0", currency="currency IS NULL", time_order="-created_at,updated_at"),
+    _sql_audit("digest_items", "lineitem", rank="l_linenumber > 5"), _sql_audit("digest_trends", "lineitem", counts="l_suppkey - l_linenumber <= 0 OR l_partkey % 10 = 0", rank="l_linenumber NOT BETWEEN 2 AND 6"),
+]
+
+
+@query("audit_constraints", f"WITH {SOURCES}, {PROFILES} " + " UNION ALL ".join(_AUDITS))
 def _(v):
-    return quality.audit_constraints({"sources": v.sources, "raw_items": v.raw, "deliveries": v.deliveries})
+    return quality.audit_constraints(_audited(v))
 
 
 @query("audit_uniqueness", """SELECT 'documents' AS table_name, 'source,h' AS keys, (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY source, md5(text) HAVING count(*) > 1)) AS duplicates

@@ -4,79 +4,114 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leadloom.functions.expr import deterministic_uuid
 from leadloom.functions.text import NORMALIZER_VERSION, canonicalize_urls, normalize_items
 from leadloom.operators import analyze, classify, dedup, ingest, scoring
 from leadloom.operators.rules import RULES_V1
-from leadloom.sources.sinks import append_new
+from leadloom.sources.sinks import append_new, new_rows, stored_rows
 
 NAMESPACE = "leadloom-v1"
 
 
+def _numbered(spark: SparkSession, out: str, items: DataFrame) -> DataFrame:
+    """items with id, a number that stays: new raw item ids get the next ones in the table item_ids."""
+    path, schema = f"{out}/item_ids", StructType([items.schema["raw_item_id"], StructField("id", LongType())])
+    known = stored_rows(spark, path, schema)
+    new = items.select("raw_item_id").distinct().join(known, "raw_item_id", "left_anti")
+    first = known.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    new.select("raw_item_id", (F.monotonically_increasing_id() + F.lit(first)).alias("id")).write.mode("append").parquet(path)
+    return items.join(spark.read.schema(schema).parquet(path), "raw_item_id")
+
+
+def _scored(analyses: DataFrame, pairs: DataFrame, shown: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pairs of analyses and profiles with criteria, exclusion and scores. shown: signal_id, evidence."""
+    facts = analyses.select("analysis_id", F.explode("facts").alias("f")).select("analysis_id", F.col("f.id").alias("fact_id"), F.col("f.sourceIds").alias("source_ids"))
+    reliable = scoring.evidence_reliability(facts, sources.select("source_id", "reliability")).filter("error is null").select("analysis_id", "reliability")
+    regions = analyses.select("analysis_id", F.explode("source_ids").alias("source_id")).join(sources.select("source_id", "regions"), "source_id").groupBy("analysis_id").agg(F.array_distinct(F.flatten(F.collect_list("regions"))).alias("signal_regions"))
+    terms = F.flatten(F.transform("evidence", lambda e: F.filter(F.array(e["title"], e["text"]), lambda x: x.isNotNull())))
+    pairs = pairs.join(reliable, "analysis_id").join(regions, "analysis_id", "left").join(shown.select("signal_id", terms.alias("terms")), "signal_id")
+    none, terms = F.lit(None), F.col("terms")
+    criteria = [
+        scoring.fit_vertical(F.col("vertical"), F.col("verticals")), scoring.fit_region(F.col("signal_regions"), F.col("regions")), scoring.fit_event_type(F.col("event_type"), F.col("interested_event_types")),
+        scoring.fit_offering(terms, F.col("services_and_products"), F.col("keywords"), F.col("target_clients")),
+        scoring.fit_project_value(none.cast("double"), none.cast("string"), F.col("project_value_minimum"), F.col("project_value_maximum"), F.col("currency")),
+    ]
+    pairs = pairs.withColumn("exclusion", scoring.fit_exclusions(F.col("event_type"), F.col("ignored_event_types"), terms, F.col("excluded_keywords")))
+    rows, fit = scoring.company_fit(criteria, F.col("exclusion"))
+    pairs = pairs.withColumns({"criteria": rows, "company_fit": fit, "confidence": scoring.half_up(F.col("confidence") * 100, 2)})
+    return scoring.with_opportunity_score_v2(pairs)
+
+
 def run_pipeline(spark: SparkSession, out: str, sources: DataFrame, candidates: DataFrame, profiles: DataFrame, rules=RULES_V1, classifier_version: str = "classifier-v1") -> dict[str, dict[str, int]]:
     """Stage tables under out; counts created and existing of each stage.
 
     sources: source_id, name, enabled, rights, type, ai_allowed, verticals, regions, reliability. candidates: source_id,
     external_id, url, published_at, received_at, position, raw_text, raw_payload. Each stage is written before the next
-    reads it, so a run that is broken off goes on where it ended.
+    reads it, so a run that is broken off goes on where it ended. Before its work each stage leaves out what its table
+    has: stored contents are not resolved again, only new items are normalised, clusters are made anew only if an item
+    has none, and decisions, analyses and pairs that are stored are not computed.
     """
     read = lambda name: spark.read.parquet(f"{out}/{name}")
     counts: dict[str, dict[str, int]] = {}
+
+    def store(name: str, rows: DataFrame, identity: list[str], done: int) -> None:
+        """Appends new rows; done rows of the stage were left out before."""
+        made = append_new(rows, f"{out}/{name}", identity)
+        counts[name] = {"created": made["created"], "existing": made["existing"] + done}
+
+    def missing(name: str, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+        """rows whose keys the table lacks, and how many it has."""
+        known = stored_rows(spark, f"{out}/{name}", StructType([rows.schema[k] for k in keys])).select(*keys).distinct()
+        return new_rows(rows, known, keys), rows.select(*keys).distinct().join(known, keys, "left_semi").count()
+
     usable = sources.filter(ingest.collection_permitted(F.col("enabled"), F.col("rights"), F.col("type")))
     raw = candidates.join(usable.select("source_id"), "source_id", "left_semi").withColumn("content_hash", ingest.content_hash(F.col("raw_text")))
     raw = raw.withColumn("raw_item_id", deterministic_uuid(NAMESPACE, "raw", F.col("source_id"), F.coalesce("external_id", "content_hash")))
-    resolved = ingest.resolve_raw_identity(raw).filter("outcome = 'CREATED'").drop("outcome")
-    counts["raw_items"] = append_new(resolved, f"{out}/raw_items", ["source_id", "content_hash"])
+    fresh, done = missing("raw_items", raw, ["source_id", "content_hash"])
+    store("raw_items", ingest.resolve_raw_identity(fresh).filter("outcome = 'CREATED'").drop("outcome"), ["source_id", "content_hash"], done)
 
-    stored = read("raw_items")
-    done = canonicalize_urls(normalize_items(stored), "url", "canonical_url")
+    version = F.lit(NORMALIZER_VERSION).alias("normalizer_version")
+    fresh, done = missing("normalization", read("raw_items").withColumn("normalizer_version", version), ["raw_item_id", "normalizer_version"])
+    cleaned = canonicalize_urls(normalize_items(fresh.drop("normalizer_version")), "url", "canonical_url")
     keep = ["raw_item_id", "source_id", "external_id", "normalizer_version", "status", "rejection_code", "title", "text", "language", "normalized_hash", "canonical_url", "published_at", "received_at"]
-    counts["normalization"] = append_new(done.select(*keep), f"{out}/normalization", ["raw_item_id", "normalizer_version"])
+    store("normalization", cleaned.select(*keep), ["raw_item_id", "normalizer_version"], done)
 
     items = read("normalization").filter("status = 'SUCCEEDED'").join(sources.select("source_id", "verticals", "enabled", "rights", "ai_allowed"), "source_id")
-    items = items.withColumns({
-        "id": F.xxhash64("raw_item_id"), "observed_at": dedup.observed_at(F.col("published_at"), F.col("received_at")),
-        "ai": ingest.ai_permitted(F.col("enabled"), F.col("ai_allowed"), F.col("rights")),
+    items = _numbered(spark, out, items).withColumns({
+        "observed_at": dedup.observed_at(F.col("published_at"), F.col("received_at")), "ai": ingest.ai_permitted(F.col("enabled"), F.col("ai_allowed"), F.col("rights")),
     })
-    assigned = dedup.dedup_assignments(items).withColumn("version", F.lit(dedup.DEDUPLICATOR_VERSION))
-    counts["assignments"] = append_new(assigned, f"{out}/assignments", ["id", "version"])
+    placed = items.select("id").withColumn("version", F.lit(dedup.DEDUPLICATOR_VERSION))
+    fresh, done = missing("assignments", placed, ["id", "version"])
+    if fresh.isEmpty():
+        counts["assignments"] = {"created": 0, "existing": done}
+    else:
+        assigned = dedup.dedup_assignments(items).withColumn("version", F.lit(dedup.DEDUPLICATOR_VERSION))
+        store("assignments", assigned, ["id", "version"], 0)
 
     members = read("assignments").select("id", "representative_id").join(items.select("id", "observed_at", "source_id", "ai"), "id")
-    chosen = classify.select_evidence(members)
+    heads = members.withColumn("version", F.lit(classifier_version))
+    fresh, done = missing("decisions", heads.select("representative_id", "version").distinct(), ["representative_id", "version"])
+    chosen = classify.select_evidence(members.join(fresh.select("representative_id"), "representative_id", "left_semi"))
     text = items.select(F.col("id").alias("selected_id"), "title", "text", "verticals")
     decided = classify.classify_clusters(chosen.join(text, "selected_id", "left"), rules).withColumn("version", F.lit(classifier_version))
-    counts["decisions"] = append_new(decided, f"{out}/decisions", ["representative_id", "version"])
+    store("decisions", decided, ["representative_id", "version"], done)
 
     signals, evidence = classify.build_signals(read("decisions"), members, classifier_version)
-    shown = evidence.join(items.select("id", "title", "text"), "id").groupBy("signal_id").agg(
-        F.sort_array(F.collect_list(F.struct("id", "source_id", "title", "text", F.array().cast("array<string>").alias("entities")))).alias("evidence")
-    )
-    shown = shown.withColumn("evidence", F.transform("evidence", lambda e: F.struct(e["id"].cast("string").alias("id"), e["source_id"].alias("source_id"), e["title"].alias("title"), e["text"].alias("text"), e["entities"].alias("entities"))))
-    requests = signals.select("signal_id", "category", "vertical", "relevance_score", "classification_confidence").join(shown, "signal_id")
-    requests = requests.withColumn("analysis_id", deterministic_uuid(NAMESPACE, "analysis", F.col("signal_id")))
-    answers = analyze.template_analysis(requests)
-    counts["analyses"] = append_new(answers, f"{out}/analyses", ["analysis_id"])
-
-    analyses = read("analyses")
-    facts = analyses.select("analysis_id", F.explode("facts").alias("f")).select("analysis_id", F.col("f.id").alias("fact_id"), F.col("f.sourceIds").alias("source_ids"))
-    reliable = scoring.evidence_reliability(facts, sources.select("source_id", "reliability"))
-    regions = analyses.select("analysis_id", F.explode("source_ids").alias("source_id")).join(sources.select("source_id", "regions"), "source_id").groupBy("analysis_id").agg(F.array_distinct(F.flatten(F.collect_list("regions"))).alias("signal_regions"))
-    people = profiles.withColumnRenamed("id", "profile_id").withColumnRenamed("revision", "profile_revision")
-    pairs = scoring.eligible_pairs(analyses, people).join(reliable.filter("error is null").select("analysis_id", "reliability"), "analysis_id").join(regions, "analysis_id", "left")
-    terms = F.concat("entities", F.transform("facts", lambda f: f["statement"]))
-    none = F.lit(None)
-    criteria = [
-        scoring.fit_vertical(F.col("vertical"), F.col("verticals")), scoring.fit_region(F.col("signal_regions"), F.col("regions")), scoring.fit_event_type(F.col("event_type"), F.col("interested_event_types")),
-        scoring.fit_offering(terms, F.col("services_and_products"), F.col("keywords"), F.col("target_clients")),
-        scoring.fit_project_value(none.cast("double"), none.cast("string"), F.col("project_value_minimum"), F.col("project_value_maximum"), F.col("currency")),
-    ]
-    pairs = pairs.withColumn("exclusion", scoring.fit_exclusions(F.col("event_type"), F.col("ignored_event_types"), terms, F.col("excluded_keywords")))
-    rows, fit = scoring.company_fit(criteria, F.col("exclusion"))
-    pairs = pairs.withColumns({"criteria": rows, "company_fit": fit, "confidence": scoring.half_up(F.col("confidence") * 100, 2)})
-    scored = scoring.build_recommendations(scoring.with_opportunity_score_v2(pairs), NAMESPACE)
-    columns = ["id", "signal_id", "analysis_id", "profile_id", "profile_revision", "user_id", "actionability", "business_impact", "company_fit", "confidence", "urgency", "total_score", "band", "scoring_version"]
-    counts["recommendations"] = append_new(scored.select(*columns), f"{out}/recommendations", ["id"])
+    one = F.struct("id", "source_id", "title", "text", F.array().cast("array<string>").alias("entities"))
+    shown = evidence.join(items.select("id", "title", "text"), "id").groupBy("signal_id").agg(F.sort_array(F.collect_list(one)).alias("evidence"))
+    shown = shown.withColumn("evidence", F.transform("evidence", lambda e: e.withField("id", e["id"].cast("string"))))
+    wanted = signals.select("signal_id", "category", "vertical", "relevance_score", "classification_confidence").withColumn("analysis_id", deterministic_uuid(NAMESPACE, "analysis", F.col("signal_id")))
+    fresh, done = missing("analyses", wanted, ["analysis_id"])
+    store("analyses", analyze.template_analysis(fresh.join(shown, "signal_id")), ["analysis_id"], done)
+
+    analyses, people = read("analyses"), profiles.withColumnRenamed("id", "profile_id").withColumnRenamed("revision", "profile_revision")
+    pairs = scoring.eligible_pairs(analyses, people).withColumn("id", scoring.recommendation_id(NAMESPACE))
+    fresh, done = missing("recommendations", pairs, ["id"])
+    made = scoring.build_recommendations(_scored(analyses, fresh.drop("id"), shown, sources), NAMESPACE).filter("error is null")
+    columns = ["id", "signal_id", "analysis_id", "profile_id", "profile_revision", "user_id", "actionability", "business_impact", "company_fit", "confidence", "urgency", "total_score", "band", "scoring_version", "recommended_actions", "source_ids", "criteria"]
+    store("recommendations", made.select(*columns), ["id"], done)
     return counts
 
 

@@ -112,8 +112,12 @@ class Views:
         i = F.col("id")
         status = F.when(i % 17 == 0, "FAILED").when(i % 19 == 0, "THROWN").otherwise("SUCCEEDED")
         return self.gold.filter(i % 23 != 0).select(
-            "id", status.alias("status"), F.when(F.length("text") % 3 == 0, "irrelevant_notice").otherwise("Opening  Notice").alias("event_type"), (i % 13 != 0).alias("valid"),
-            F.when(status != "SUCCEEDED", F.concat(F.lit("E"), (i % 2).cast("string"))).alias("failure_code"),
+            "id", status.alias("status"), F.when(F.length("text") % 3 == 0, F.when(i % 2 == 0, "IRRELEVANT_NOTICE ").otherwise("irrelevant_notice")).otherwise("Opening  Notice").alias("event_type"), (i % 13 != 0).alias("valid"),
+            F.when((status != "SUCCEEDED") & (i % 4 != 3), F.concat(F.lit("E"), (i % 2).cast("string"))).alias("failure_code"),
+            F.array(
+                F.struct(F.lit("p1").alias("id"), F.array("source_id").alias("sourceIds"), F.concat(F.col("facts")[0]["statement"], F.when(i % 5 == 0, " and what no text says").otherwise("")).alias("statement")),
+                F.struct(F.lit("p2").alias("id"), F.array(F.when(i % 7 == 0, "elsewhere").otherwise(F.col("source_id"))).alias("sourceIds"), F.upper(F.left("text", F.lit(20))).alias("statement")),
+            ).alias("facts"),
         )
 
     @property

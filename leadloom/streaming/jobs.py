@@ -8,16 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.operators.feedback import SENTIMENT, record_feedback
 from leadloom.operators.telemetry import counter_rows
-from leadloom.sources.sinks import append_new, new_rows
+from leadloom.sources.sinks import BUCKETS, append_new, in_buckets, new_rows, stored_rows, touched, write_stage
 
 RAW_IDENTITY = ["source_id", "content_hash"]
 
 
 def stream_ingest(raw: DataFrame, path: str, checkpoint: str, late: str = "7 days", once: bool = True) -> StreamingQuery:
-    """Raw rows (source_id, raw_text, received_at, ...) -> new items at path: state drops repeats in time, an anti-join older ones."""
+    """Raw rows (source_id, raw_text, received_at, ...) -> new items at path: state drops repeats in time, an anti-join older ones.
+
+    The table is partitioned by a hash of the identity, so a batch reads the partitions of its own rows only.
+    """
     hashed = raw.withColumn("content_hash", F.sha2("raw_text", 256)).withWatermark("received_at", late)
     fresh = hashed.dropDuplicatesWithinWatermark(RAW_IDENTITY)
-    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df, path, RAW_IDENTITY) and None)
+    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df, path, RAW_IDENTITY, buckets=BUCKETS) and None)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -37,12 +40,15 @@ def merge_feedback(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def stream_feedback(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Continuous record_feedback; the first write wins across batches."""
+    """Continuous record_feedback; the first write wins across batches.
+
+    The table is partitioned by a hash of the user, so a batch reads the partitions of its own users only.
+    """
 
     def save(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], batch.schema).write.mode("append").parquet(path)
-        merge_feedback(batch, spark.read.schema(batch.schema).parquet(path)).write.mode("append").parquet(path)
+        rows = in_buckets(batch, ["user_id"])
+        stored = touched(rows, stored_rows(batch.sparkSession, path, rows.schema))
+        write_stage(merge_feedback(rows, stored), path, partition_by=["_bucket"])
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()

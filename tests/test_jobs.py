@@ -132,3 +132,48 @@ def test_latency_is_nearest_rank(spark):
     assert (r["p50"], r["p95"]) == (10.0, 19.0)
     t = evals.token_throughput(runs).first()
     assert t["usage"] == "COMPLETE" and t["tokens_per_second"] == pytest.approx(100 * 1000 / 210, abs=1e-3)
+
+
+def test_null_identities_are_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a"), (1, "b"), (None, "c")], "k int, v string")
+    for buckets in (None, 8):
+        path = str(tmp_path / f"t{buckets}")
+        assert sinks.append_new(rows, path, ["k"], buckets) == {"created": 2, "existing": 1}
+        assert sinks.append_new(rows, path, ["k"], buckets) == {"created": 0, "existing": 3}
+        assert spark.read.parquet(path).count() == 2
+
+
+def test_published_rates(spark):
+    """160 relevant and 40 irrelevant items, all answered as relevant, each fact quoted: 0.8, 1.0, 0.888889."""
+    facts = [("f", "s", "quoted words")]
+    gold = spark.createDataFrame(
+        [(i, i < 160, "irrelevant_notice" if i >= 160 else "OPENING", "Some  quoted words here", "s1", facts) for i in range(200)],
+        "id long, relevant boolean, event_type string, text string, source_id string, facts array<struct<id:string,statement:string,evidenceQuote:string>>",
+    )
+    said = spark.createDataFrame([(i, "SUCCEEDED", "unclassified", True, None, [("p", ["s1"], "some QUOTED words")]) for i in range(200)], "id long, status string, event_type string, valid boolean, failure_code string, facts array<struct<id:string,sourceIds:array<string>,statement:string>>")
+    judged = evals.prediction_validity(gold, said)
+    r = evals.relevance_confusion(judged).first()
+    assert (r["precision"], r["recall"], r["f1"]) == (0.8, 1.0, 0.888889)
+    named = {k: F.lit(k) for k in evals.RUN}
+    runs = spark.range(200).select(*[c.alias(k) for k, c in named.items()], F.lit(5.0).alias("latency_ms"), F.lit(None).cast("long").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"))
+    report = evals.benchmark_report(judged.withColumns(named), runs)
+    row = report.first()
+    assert (row["coverage"], row["valid_rate"], row["event_accuracy"], row["hallucination_count"], row["matched_expected_facts"], row["supported_generated_facts"], row["p95"], row["usage"]) == (1.0, 1.0, 0.0, 0, 200, 200, 5.0, "UNAVAILABLE")
+    assert evals.check_report(report).count() == 0
+    shouted = said.withColumn("event_type", F.lit(" IRRELEVANT_Notice "))
+    assert evals.relevance_confusion(evals.prediction_validity(gold, shouted)).first()["tn"] == 40
+
+
+def test_criteria_name_what_matched(spark):
+    row = spark.range(1).select(
+        scoring.fit_region(F.array(F.lit("Moscow Region"), F.lit("Kazan")), F.array(F.lit("moscow"))).alias("region"), scoring.fit_event_type(F.lit("Tender!"), F.array(F.lit("tender"))).alias("event"),
+        scoring.fit_vertical(F.lit("HORECA"), F.array(F.lit("CONSTRUCTION"))).alias("vertical"),
+    ).first()
+    assert (row["region"]["matched_values"], row["event"]["matched_values"], row["vertical"]["matched_values"]) == (["moscow region"], ["tender"], [])
+
+
+def test_rules_over_absent_columns_are_reported(spark):
+    from leadloom.operators.quality import audit_constraints
+
+    got = {r["constraint_name"]: (r["violations"], r["missing"]) for r in audit_constraints({"users": spark.createDataFrame([(0,), (2,)], "revision int")}).collect()}
+    assert got == {"revision": (1, None), "time_order": (None, "created_at,updated_at")}
