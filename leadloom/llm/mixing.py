@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import cut, n_words, read_documents
+from leadloom.llm.shared import cut, n_words, partitions, read_documents
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -17,30 +17,44 @@ ROWS_PER_BUCKET = 500
 MAX_BUCKETS = 1 << 16
 
 
+def _in_order(rows: DataFrame, by: list[Column]) -> DataFrame:
+    """rows with _part, _at (place in its part) and _before (rows in parts before it): range parts in order, none of them one task's whole table."""
+    sorted_ = cut(rows.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sorted_ = sorted_.withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each part
+    earlier = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sorted_.join(F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))), "_part")
+
+
+def _sum_to(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows of _in_order with name_to, the sum of each column over all rows up to this one."""
+    earlier = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(F.broadcast(sums), "_part").withColumns({f"{c}_to": F.col(f"_{c}") + F.sum(c).over(inside) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = MAX_REPEATS) -> DataFrame:
     """source, source_size (any others kept) -> also target, slope. One row per source.
 
     Targets share the total by weight, none above cap times its source's size. Sources in ascending order of
     cap / weight fill up first; what they cannot take is shared by weight among the rest, which is where repeated
-    resharing ends.
+    resharing ends. Sources are ranked and summed by range parts; only totals and one row per part are in one place.
     """
-    every = Window.partitionBy()
-    order = every.orderBy(F.col("_ratio"), F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-
     def cycle(values) -> Column:
         return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("_rank") % len(values) + 1).cast("int"))
 
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumns({"_weight": cycle(weights), "slope": cycle(slopes), "_cap": F.col("source_size") * F.lit(cap)})
-    ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    level = ranked.withColumns({
-        "_level": (F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(onward),
-        "_at": F.row_number().over(order),
-    }).withColumn("_full", F.col("_cap") <= F.col("_weight") * F.col("_level"))
-    rest = F.min(F.when(~F.col("_full"), F.struct("_at", "_level"))).over(every)["_level"]
-    out = level.withColumn("_rest", rest).withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_weight") * F.col("_rest")))
-    return out.drop("_rank", "_weight", "_cap", "_ratio", "_level", "_at", "_full", "_rest")
+    ranked = _in_order(sizes, [F.col("source").asc_nulls_last()]).withColumn("_rank", F.col("_before") + F.col("_at"))
+    ranked = ranked.withColumns({"_weight": cycle(weights), "slope": cycle(slopes), "_cap": F.col("source_size") * F.lit(cap)}).withColumn("_ratio", F.col("_cap") / F.col("_weight")).drop("_part", "_at", "_before", "_rank")
+    total, weight = ranked.agg(F.sum("source_size"), F.sum("_weight")).first()
+    filled = _sum_to(_in_order(ranked, [F.col("_ratio"), F.col("source").asc_nulls_last()]), ["_cap", "_weight"])
+    level = (F.lit(total) - (F.col("_cap_to") - F.col("_cap"))) / (F.lit(weight) - (F.col("_weight_to") - F.col("_weight")))
+    filled = filled.withColumn("_level", level).withColumn("_full", F.col("_cap") <= F.col("_weight") * F.col("_level"))
+    filled = cut(filled)
+    rest = filled.filter("not _full").agg(F.min(F.struct("_part", "_at", "_level")).alias("x")).select("x._level").first()[0]
+    out = filled.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_weight") * F.lit(rest).cast("double")))
+    return out.select(*sizes.columns, "slope", "target")
 
 
 def training_time(share: Column, slope: Column) -> Column:
@@ -52,7 +66,9 @@ def training_time(share: Column, slope: Column) -> Column:
 def mix_sources(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = MAX_REPEATS) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies, positions; sorted by first position.
 
-    Within a source documents stand in the order of a digest of their id; the source repeats whole passes while the
+    Each source has its own schedule of weight over training time; its integral is the source's cumulative demand, and the
+    inverse of that gives positions. Schedules are not divided by their sum at each time: time is the share of each
+    source's own target, not of the tokens of all sources together. Within a source documents stand in the order of a digest of their id; the source repeats whole passes while the
     target has room, and the last pass ends inside a document, so each source's taken words equal its target, rounded.
     Positions are in [0, 1], one for each time that a document begins: the inverse of the source's cumulative demand
     at the words taken before it. Prefix sums are by (source, digest bucket) and then inside buckets, so that a source
@@ -109,4 +125,20 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(read_documents(spark, sf_dir)).drop("row_id", "content")
+    first = F.try_element_at("positions", F.lit(1)).alias("first_position")
+    return mix_sources(read_documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", first)
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM z),
+w AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1]::DOUBLE AS weight, [0.5, 0.0, -0.5][k % 3 + 1]::DOUBLE AS slope, source_size * 3.0::DOUBLE AS cap FROM r),
+f AS (SELECT *, row_number() OVER o AS place, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT source, source_size, slope, CASE WHEN cap <= weight * level THEN cap ELSE weight * (SELECT arg_min(level, place) FROM f WHERE cap > weight * level) END::DOUBLE AS target FROM f),
+s AS (SELECT d.*, source_size, slope, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM s),
+l AS (SELECT *, greatest(0, least(size, floor(target - passes * source_size + 0.5)::BIGINT - start)) AS last FROM p),
+c AS (SELECT *, CASE WHEN size > 0 THEN passes + (last > 0)::INT ELSE 0 END AS copies, least(1.0, start / target)::DOUBLE AS share FROM l)
+SELECT doc_id, source, size, source_size, target, (size * passes + last)::BIGINT AS taken, copies::BIGINT AS copies,
+ CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END + 0.0 END AS first_position FROM c
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_substring_dedup": substrings.OP2_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }

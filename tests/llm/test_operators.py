@@ -484,3 +484,30 @@ def test_kneser_ney_against_brute_force(spark):
         words = [sum(ratio(w[:i], (w + " ")[i]) for i in range(len(w) + 1)) for w in text.split()]
         want = sum(math.log(1 - SHARE + SHARE * math.exp(x)) for x in words) / (len(words) + PRIOR_WORDS)
         assert model.score([text.encode()])[0] == pytest.approx(want, abs=1e-5), text
+
+
+def test_repeated_null_and_clashing_rows(spark):
+    """Every operator over repeated rows, null ids, ties, an empty table, and columns with the names that operators use inside."""
+    import public_tokenizers
+
+    from leadloom.llm import exact_dedup, fingerprints, jaccard, language, mixing, pieces, secrets, substrings, token_counts, toxicity
+
+    words = " ".join(f"word{i}" for i in range(25))
+    rows = [(1, words), (1, words), (1, words + " end"), (2, words), (None, words), (None, None), (3, None), (3, ""), (4, "x" * 40_000), (4, ("y" * 30 + " ") * 3000)]
+    schema = "doc_id long, text string, lang string, source string, row_id string, n string, size string, key string, base string, kept string, toxic string, part string, rank string, digest string, sha string, piece string, x string, name string, copies string"
+    full = spark.createDataFrame([(i, t, "en" if t else None, None if i == 2 else "s", *["z"] * 14) for i, t in rows], schema)
+    none, model = full.limit(0), public_tokenizers.path("piece_bpe_32k.model")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    jobs = {
+        "language": language.identify_language, "substrings": substrings.remove_repeats, "secrets": secrets.scan_secrets, "mixing": mixing.mix_sources, "pieces": lambda d: pieces.encode_pieces(d, model),
+        "tokens": lambda d: token_counts.count_tokens(d, token_counts.new_table(spark, "cache"), public_tokenizers.path("byte_bpe_50k.json")), "fingerprints": fingerprints.fingerprint_documents,
+        "jaccard": jaccard.jaccard_components, "toxicity": lambda d: toxicity.score_toxicity(d, marks), "exact": exact_dedup.exact_dedup,
+    }
+    for name, job in jobs.items():
+        got = job(full).collect()
+        assert len(got) == len(rows), name
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows), name
+        assert job(none).count() == 0, name
+    for name, job in {"copies": exact_dedup.drop_copies, "near": jaccard.one_of_each, "toxic": lambda d: toxicity.drop_toxic(d, marks), "mixed": mixing.mixed_documents}.items():
+        assert job(full).columns == full.columns and job(none).count() == 0, name
+    assert exact_dedup.drop_copies(full).count() == len({t or "" for _, t in rows})
