@@ -22,6 +22,7 @@ CONSTRUCTION = [
     Rule("construction", "vertical.construction.material", r"стройматериал\p{L}*"),
 ]
 HORECA = [
+    # The word boundary is spelled out in ASCII: engines differ on what \b takes for a letter.
     Rule("horeca", "vertical.horeca.literal", r"(?<![A-Za-z0-9_])horeca(?![A-Za-z0-9_])"),
     Rule("horeca", "vertical.horeca.restaurant", r"ресторан\p{L}*"),
     Rule("horeca", "vertical.horeca.hotel", r"(?:гостиниц|отел)\p{L}*"),

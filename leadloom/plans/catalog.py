@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import expr, text
 from leadloom.operators import classify, dedup, digest, evals, feedback, ingest, quality, scoring, serving, telemetry
+from leadloom.operators.rules import RULES_V1, RULES_V2, Rule
 from leadloom.plans.testviews import LATIN_RULES, Views
 from leadloom.sources import readers, sinks
 
@@ -353,8 +354,9 @@ def _(v):
 
 # ---------------------------------------------------------------- classification
 
-def _sql_rules(group: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{r.pattern}', 'i') THEN '{r.id}' END" for r in LATIN_RULES if r.group == group) + "], lambda x: x IS NOT NULL)"
+def _sql_rules(group: str, rules: list[Rule] = LATIN_RULES) -> str:
+    plain = lambda p: p.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")  # noqa: E731  no lookaround in DuckDB
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{plain(r.pattern)}', 'i') THEN '{r.id}' END" for r in rules if r.group == group) + "], lambda x: x IS NOT NULL)"
 
 
 DECIDED = SOURCES + ", c0 AS (SELECT doc_id AS id, vertical AS sv, ai AND rights = 'OPEN_DATA' AS ai, " + ", ".join(f"{_sql_rules(g)} AS {g}" for g in ("construction", "horeca", "opportunity", "advertisement", "irrelevance")) + """ FROM documents JOIN sources ON source_id = source),
@@ -366,14 +368,43 @@ c3 AS (SELECT *, CASE WHEN k = 0 THEN NULL WHEN k = 2 THEN 'OTHER' ELSE v END AS
  CASE WHEN k = 5 THEN least(100, 50 + least(25, 10 * len(opportunity)) + least(15, 5 * CASE WHEN v = 'CONSTRUCTION' THEN len(construction) ELSE len(horeca) END) + CASE WHEN sv = v THEN 10 ELSE 0 END) ELSE 0 END AS relevance FROM c2),
 decided AS (SELECT *, CASE k WHEN 0 THEN 'PERMISSION_DENIED' WHEN 5 THEN 'AI_ELIGIBLE' ELSE 'IRRELEVANT' END AS outcome,
  ['NO_AI_PERMITTED_EVIDENCE', 'ADVERTISEMENT', 'EXPLICITLY_IRRELEVANT', 'UNSUPPORTED_OR_AMBIGUOUS_VERTICAL', 'NO_OPPORTUNITY_CUE', 'RELEVANT_OPPORTUNITY'][k + 1] AS reason_code,
- CASE WHEN vertical = 'CONSTRUCTION' THEN CASE WHEN list_has_any(opportunity, ['opportunity.procurement', 'opportunity.tender']) THEN 'CONSTRUCTION_TENDER' ELSE 'CONSTRUCTION_PROJECT' END
-  WHEN vertical = 'HORECA' THEN CASE WHEN list_has_any(opportunity, ['opportunity.procurement', 'opportunity.tender']) THEN 'HORECA_PROCUREMENT' ELSE 'HORECA_OPENING' END WHEN vertical = 'OTHER' THEN 'OTHER' END AS category FROM c3)"""
+ CASE WHEN vertical = 'CONSTRUCTION' THEN CASE WHEN list_has_any(opportunity, ['opportunity.applications', 'opportunity.contractor', 'opportunity.procurement', 'opportunity.tender']) THEN 'CONSTRUCTION_TENDER' ELSE 'CONSTRUCTION_PROJECT' END
+  WHEN vertical = 'HORECA' THEN CASE WHEN list_has_any(opportunity, ['opportunity.procurement', 'opportunity.supplier-selection', 'opportunity.tender']) THEN 'HORECA_PROCUREMENT' ELSE 'HORECA_OPENING' END WHEN vertical = 'OTHER' THEN 'OTHER' END AS category FROM c3)"""
 
 
-def _decided(v: Views) -> DataFrame:
+def _decided(v: Views, rules: list[Rule] = LATIN_RULES, text=lambda: F.col("text")) -> DataFrame:
     ai = ingest.ai_permitted(F.col("enabled"), F.col("ai_allowed"), F.col("rights"))
-    clusters = v.items.select(F.col("id").alias("representative_id"), F.when(ai, F.col("id")).alias("selected_id"), F.lit(None).cast("string").alias("title"), "text", "verticals")
-    return classify.classify_clusters(clusters, LATIN_RULES)
+    clusters = v.items.select(F.col("id").alias("representative_id"), F.when(ai, F.col("id")).alias("selected_id"), F.lit(None).cast("string").alias("title"), text().alias("text"), "verticals")
+    return classify.classify_clusters(clusters, rules)
+
+
+#: Phrases for the rule tables themselves: each document ends with some of them.
+PHRASES = [
+    "Строительство школы", "строительно-монтажные работы", "РЕКОНСТРУКЦИЯ моста", "капитального  ремонта", "Подрядчик найден", "стройматериалы", "HoReCa", "horecas", "xhoreca", "ресторанов", "гостиница у моря", "отель", "посадочных мест", "гостеприимство", "тендер", "закупки", "приём заявок", "прием  заявок",
+    "отбор поставщиков", "запланировано", "открытие", "откроется", "бюджетом", "Реклама", "антиреклама", "скидки", "акция", "оставьте заявку", "закажите консультацию", "закупка не заявлена", "информация общего назначения", "построен дом", "возведён", "введен в строй", "сдана", "ничего", "погода",
+]
+_STEPS = (1, 5, 11)
+
+
+def _phrased():
+    pick = lambda k: F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("id") * k % len(PHRASES) + 1).cast("int"))
+    return F.concat_ws(" . ", "text", *[pick(k) for k in _STEPS])
+
+
+def _sql_decided(rules: list[Rule]) -> str:
+    """DECIDED over documents that end with phrases, by other rules."""
+    phrases = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+    said = "SELECT * REPLACE (" + " || ' . ' || ".join(["text", *[f"{phrases}[doc_id * {k} % {len(PHRASES)} + 1]" for k in _STEPS]]) + " AS text) FROM documents"
+    sql = DECIDED.replace("FROM documents JOIN sources", f"FROM ({said}) JOIN sources")
+    for group in ("construction", "horeca", "opportunity", "advertisement", "irrelevance"):
+        sql = sql.replace(f"{_sql_rules(group)} AS {group}", f"{_sql_rules(group, rules)} AS {group}")
+    return sql
+
+
+for _name, _rules in (("classify_clusters_v1", RULES_V1), ("classify_clusters_v2", RULES_V2)):
+    query(_name, f"WITH {_sql_decided(_rules)} SELECT id AS representative_id, outcome, reason_code, vertical, category, confidence AS classification_confidence, relevance AS relevance_score FROM decided")(
+        lambda v, rules=_rules: _decided(v, rules, _phrased).select("representative_id", "outcome", "reason_code", "vertical", "category", "classification_confidence", "relevance_score")
+    )
 
 
 @query("cluster_evidence", f"WITH RECURSIVE {ASSIGNED} SELECT rep AS representative_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM assigned GROUP BY rep")
