@@ -511,3 +511,54 @@ def test_repeated_null_and_clashing_rows(spark):
     for name, job in {"copies": exact_dedup.drop_copies, "near": jaccard.one_of_each, "toxic": lambda d: toxicity.drop_toxic(d, marks), "mixed": mixing.mixed_documents}.items():
         assert job(full).columns == full.columns and job(none).count() == 0, name
     assert exact_dedup.drop_copies(full).count() == len({t or "" for _, t in rows})
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on planted toxic texts, copies and near copies; each is redone in plain Python."""
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+    from leadloom.llm.toxicity import score_toxicity
+
+    r = random.Random(11)
+    texts = [tongue(r, r.choice(["en", "fr", "de"])) for _ in range(330)]
+    toxic = {i for i in range(330) if i % 3 == 0}
+    for i in toxic:
+        texts[i] += " vile rotten scum" * (3 + len(texts[i].split()) // 12)
+    texts += [texts[1], texts[1], texts[4] + " tail", None, "", " "]
+    rows = [(i, t, "en", ["s1", "s2", None][i % 7 % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(330)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    bad = {x["doc_id"] for x in score_toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).filter("predicted = 1").collect()}
+    assert len(bad & toxic) > 0.9 * len(toxic) and len(bad - toxic) < 10
+    left = [x for x in rows if x[0] not in bad]
+    last = {x[1] or "": x[0] for x in left}
+    left = [x for x in left if last[x[1] or ""] == x[0]]
+    group = brute_components([(x[0], x[1]) for x in left], 5, 80)
+    left = [x for x in left if not group[x[0]][0] or group[x[0]][1] == x[0]]
+    size = {x[0]: len(WORD.findall(x[1] or "")) for x in left}
+    total = collections.Counter()
+    for x in left:
+        total[x[3]] += size[x[0]]
+    weight = {s: (5, 2, 1)[k] for k, s in enumerate(sorted(s for s in total if s is not None) + [None] * (None in total))}
+    target, free, rest = {}, set(total), sum(total.values())
+    while True:
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * total[s]}
+        if not over:
+            break
+        target.update({s: 3 * total[s] for s in over})
+        rest, free = rest - sum(3 * total[s] for s in over), free - over
+    target.update(share)
+    wanted, lib = collections.Counter(), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for s in total:
+        start, passes = 0, int(target[s] // total[s])
+        for x in sorted((x for x in left if x[3] == s), key=lambda x: (hashlib.md5(str(x[0]).encode()).hexdigest(), x[0])):
+            copies = (passes + (round(target[s] - passes * total[s]) > start)) if size[x[0]] else 0
+            start += size[x[0]]
+            ids = lib.encode(x[1] or "")
+            wanted[(x[0], len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))] += copies
+    got = collections.Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +wanted and not any(i in bad for i, *_ in got)
