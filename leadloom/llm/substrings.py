@@ -82,13 +82,13 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
                 at, of = at[new], of[new]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(48)).astype(np.uint16).view(np.int16)),
                         pa.array(doc_id[lo + of]), pa.array(row_id[lo + of]), pa.array((at - first[of]).astype(np.int32)),
                     ],
                     names=["one", "two", "doc_id", "row_id", "start"],
                 )
 
-    return rows.mapInArrow(run, "one long, two int, doc_id long, row_id long, start int")
+    return rows.mapInArrow(run, "one long, two short, doc_id long, row_id long, start int")
 
 
 def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
@@ -104,7 +104,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     or earlier in the same document. All words that repeats cover go; adjacent ones merge into maximal intervals.
 
     Equal windows have equal anchors, so only windows whose anchor is counted twice or more are counted themselves:
-    that leaves out no repeat and spares most of the shuffle. Windows are compared by 96 bits of two
+    that leaves out no repeat and spares most of the shuffle. Windows are compared by 80 bits of two
     independent hashes of their words (words of more than 64 bytes by digest). Whole copies of a
     text are found by its digest first. Counts combine map-side; joins on a common passage can be split by Spark.
 
