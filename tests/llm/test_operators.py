@@ -495,7 +495,7 @@ def test_repeated_null_and_clashing_rows(spark):
     words = " ".join(f"word{i}" for i in range(25))
     rows = [(1, words), (1, words), (1, words + " end"), (2, words), (None, words), (None, None), (3, None), (3, ""), (4, "x" * 40_000), (4, ("y" * 30 + " ") * 3000)]
     schema = "doc_id long, text string, lang string, source string, row_id string, n string, size string, key string, base string, kept string, toxic string, part string, rank string, digest string, sha string, piece string, x string, name string, copies string"
-    full = spark.createDataFrame([(i, t, "en" if t else None, None if i == 2 else "s", *["z"] * 14) for i, t in rows], schema)
+    full = spark.createDataFrame([(i, t, "en" if t else None, None if i == 2 else "s", *["z"] * 15) for i, t in rows], schema)
     none, model = full.limit(0), public_tokenizers.path("piece_bpe_32k.model")
     marks = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     jobs = {
