@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import cut, join_counted, read_documents
+from leadloom.llm.shared import cut, join_counted, number_rows, read_documents
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, is_table: bool = False) -> DataFrame:
     """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Lengths that occur once drop out first, then (length, prefix hash) pairs that occur once; only rows of the groups
@@ -18,10 +18,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty. Of equal texts the row with the largest id stays; of repeated rows with that id, the
     one read last (row_id). Null ids are smallest. An empty table gives an empty result. Other columns are ignored.
+    is_table: docs is read from files; see number_rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = cut(docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.octet_length(text).alias("n_bytes"),
+    rows = number_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), is_table)
+    return _refined(rows, prefix_chars)
+
+
+def _refined(rows: DataFrame, prefix_chars: int) -> DataFrame:
+    """rows: row_id, doc_id, text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = cut(rows.select(
+        "row_id", "doc_id", F.octet_length(text).alias("n_bytes"),
         F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"), F.unhex(F.sha2(text, 256)).alias("sha"),
     ))
     total = rows.count()
@@ -44,16 +51,16 @@ def drop_copies(docs: DataFrame, prefix_chars: int = 128, is_table: bool = False
     """The rows that exact_dedup keeps, with all their columns: of equal texts the row with the largest id (of those the one
     read last), whatever else shares its id.
 
-    is_table: docs is read from files, whose rows have fixed places; other rows are written to the shared folder first.
+    is_table: docs is read from files; see number_rows.
     Null text counts as empty. An empty table gives an empty result.
     """
-    docs = docs if is_table else cut(docs)
-    away = exact_dedup(docs, prefix_chars=prefix_chars).filter("not kept").select(F.col("row_id").alias("_ll_row"))
-    return docs.withColumn("_ll_row", F.monotonically_increasing_id()).join(away.hint("shuffle_hash"), "_ll_row", "left_anti").select(*docs.columns)
+    rows = number_rows(docs, is_table, "_ll_row")
+    away = _refined(rows.select(F.col("_ll_row").alias("row_id"), "doc_id", "text"), prefix_chars).filter("not kept").select(F.col("row_id").alias("_ll_row"))
+    return rows.join(away.hint("shuffle_hash"), "_ll_row", "left_anti").select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(read_documents(spark, sf_dir)).drop("row_id")
+    return exact_dedup(read_documents(spark, sf_dir), is_table=True).drop("row_id")
 
 
 OP10_SQL = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import exact_dedup, fingerprints, jaccard, language, mixing, pieces, secrets, substrings, token_counts, toxicity
+from leadloom.llm import chat, divergence, exact_dedup, fingerprints, jaccard, language, mixing, pieces, secrets, spelling, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_toxicity": toxicity.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_source_divergence": divergence.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_chat_format": chat.op13,
 }
 
 ORACLE = {
@@ -22,4 +25,5 @@ ORACLE = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }

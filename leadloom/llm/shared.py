@@ -33,14 +33,33 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_row_ids(docs: DataFrame, is_table: bool) -> DataFrame:
-    """row_id, doc_id, text (null as empty) of docs; row ids stay the same however often the rows are read.
+#: Files of a table that are numbered by a broadcast list; rows of more files are written to the shared folder once.
+MOST_FILES = 50_000
+#: Bits of a row's place in its file.
+PLACE_BITS = 40
+
+
+def number_rows(docs: DataFrame, is_table: bool = False, name: str = "row_id") -> DataFrame:
+    """docs with a number for each row (column name) that stays the same in every later plan, however scans are split.
 
-    is_table: docs is read from files, whose rows have fixed places. Other rows may come in another order each time,
-    so they are written to the shared folder first.
+    is_table: docs is read from Parquet files, whose rows are named by file and place in it; files are numbered in the
+    order of their paths. Other rows may come in another order each time, so they are written to the shared folder
+    first, and so are those of more than MOST_FILES files. Cells of a cut table have fixed places.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return (rows if is_table else cut(rows)).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    if is_table:
+        files = [r[0] for r in docs.select("_metadata.file_path").distinct().limit(MOST_FILES + 1).collect()]
+        if len(files) <= MOST_FILES:
+            paths = docs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(sorted(files))], "_ll_file string, _ll_number long")
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_ll_file"), F.col("_metadata.row_index").alias("_ll_place"))
+            number = F.shiftleft("_ll_number", PLACE_BITS) + F.col("_ll_place")
+            return placed.join(F.broadcast(paths), "_ll_file").select(*docs.columns, number.alias(name))
+    return cut(docs).withColumn(name, F.monotonically_increasing_id())
+
+
+def with_row_ids(docs: DataFrame, is_table: bool) -> DataFrame:
+    """row_id, doc_id, text (null as empty) of docs; row ids stay the same however often and by whom the rows are read."""
+    rows = number_rows(docs.select("doc_id", "text"), is_table)
+    return rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fold(doc_id: Column) -> Column:

@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     independent hashes of their words (words of more than 64 bytes by digest). Whole copies of a
     text are found by its digest first. Counts combine map-side; joins on a common passage can be split by Spark.
 
-    is_table: see with_row_ids. Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
+    is_table: see number_rows. Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
     not take words from each other, except whole copies of the same text, of which the first read stays. An empty
     table gives an empty result.
     """
