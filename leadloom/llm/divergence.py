@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import as_bytes, cut, number_rows, read_documents
+from leadloom.llm.shared import as_bytes, cut, number_rows, read_documents, stored
 
 #: A language keeps the terms of this many of its documents.
 LEAST_DOCS = 10
@@ -17,7 +17,7 @@ LEAST_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 #: Distinct (language, source, term) entries that a task holds before it passes them on.
-HELD = 200_000
+HELD = 400_000
 #: Bytes of terms, A-Z lowered, all others as blanks: letters, and all bytes of code points from U+0080.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -77,7 +77,7 @@ def term_counts(docs: DataFrame, is_table: bool = False) -> tuple[DataFrame, Dat
     texts = rows.select("row_id", "text").join(groups.hint("shuffle_hash"), "row_id").select("text", "lang", "held")
     parts = texts.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     counts = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return cut(counts), each.select("lang", "source").distinct()
+    return stored(counts, "term_counts"), each.select("lang", "source").distinct()
 
 
 def _share(n: Column | str, total: str, terms: str) -> Column:
@@ -108,15 +108,16 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     table gives an empty result. Columns other than text, lang and source are not read. is_table: see number_rows.
     """
     counts, members = term_counts(docs, is_table)
-    kept = cut(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).filter(F.col("docs") >= least_docs).drop("docs"))
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).filter(F.col("docs") >= least_docs).drop("docs")
+    kept = stored(kept, "kept_terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("all_total"))
-    rows = cut(counts.drop("docs").join(kept, ["lang", "term"]))
+    rows = stored(counts.drop("docs").join(kept, ["lang", "term"]), "kept_counts")
     sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     totals = members.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("terms"), zero("all_total"))
     totals = cut(totals.withColumn("p0", _share(F.lit(0), "total", "terms")))
     shares = rows.join(totals, ["lang", "source"]).select("lang", "source", "term", _share("n", "total", "terms").alias("p"), "p0", _share("all_n", "all_total", "terms").alias("q"))
-    shares = cut(shares)
+    shares = stored(shares, "shares")
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     told = shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
