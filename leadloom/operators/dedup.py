@@ -57,22 +57,24 @@ def near_text_similarity(a: Column, b: Column) -> Column:
 
 
 def near_text_pairs(texts: DataFrame, threshold: float = THRESHOLD, places: DataFrame | None = None) -> DataFrame:
-    """(key_a, key_b, similarity) of distinct texts with overlap coefficient >= threshold. texts: key, text.
+    """(key_a, key_b, similarity) of distinct texts with overlap coefficient >= threshold. texts: key, text, and maybe fresh.
 
     places (key, vertical, bin): only texts that share a vertical in the same or a neighbouring bin are compared.
+    fresh (boolean): only pairs with at least one fresh text are looked for.
     The smaller set's rarest m - ceil(t m) + 1 n-grams must meet all n-grams of the larger one, in a vertical and a bin
     of both. N-grams of one text alone drop out before the join; sets are 64-bit hashes, and a pair is verified once.
     """
     hashed = F.array_sort(F.transform(token_ngrams(F.col("text")), lambda g: F.xxhash64(g)))
-    grams = cut(texts.select("key", hashed.alias("grams")).withColumn("m", F.size("grams")).filter("m > 0"))
-    every = grams.select("key", "m", F.explode("grams").alias("g"))
+    fresh = F.col("fresh") if "fresh" in texts.columns else F.lit(True).alias("fresh")
+    grams = cut(texts.select("key", hashed.alias("grams"), fresh).withColumn("m", F.size("grams")).filter("m > 0"))
+    every = grams.select("key", "m", "fresh", F.explode("grams").alias("g"))
     df = every.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cut(every.join(df, "g"))  # a text's other n-grams stand before these in its order; their number is enough
     own = Window.partitionBy("key")
     need = F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
     place = F.row_number().over(own.orderBy("df", "g")) + F.col("m") - F.count("*").over(own)
-    probe = shared.withColumn("r", place).filter(F.col("r") <= F.col("m") - need + 1).select("key", "m", "g")
-    index = shared.select(F.col("key").alias("key_b"), F.col("m").alias("m_b"), "g")
+    probe = shared.withColumn("r", place).filter(F.col("r") <= F.col("m") - need + 1).select("key", "m", "g", "fresh")
+    index = shared.select(F.col("key").alias("key_b"), F.col("m").alias("m_b"), "g", F.col("fresh").alias("fresh_b"))
     meet = ["g"]
     if places is not None:
         near_bins = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
@@ -80,7 +82,7 @@ def near_text_pairs(texts: DataFrame, threshold: float = THRESHOLD, places: Data
         index = index.join(places.withColumnRenamed("key", "key_b"), "key_b")
         meet = ["g", "vertical", "bin"]
     order = F.struct(F.col("m"), F.col("key")) < F.struct(F.col("m_b").alias("m"), F.col("key_b").alias("key"))
-    pairs = probe.join(index, meet).filter(order).select(F.col("key").alias("key_a"), "key_b").distinct()
+    pairs = probe.join(index, meet).filter(order & (F.col("fresh") | F.col("fresh_b"))).select(F.col("key").alias("key_a"), "key_b").distinct()
     left = grams.select(F.col("key").alias("key_a"), F.col("grams").alias("grams_a"))
     right = grams.select(F.col("key").alias("key_b"), F.col("grams").alias("grams_b"))
     scored = pairs.join(left, "key_a").join(right, "key_b").withColumn("similarity", near_text_similarity(F.col("grams_a"), F.col("grams_b")))
@@ -176,6 +178,43 @@ def dedup_assignments(items: DataFrame, threshold: float = THRESHOLD, window_hou
     )
 
 
+def _touched(new: DataFrame, stored: DataFrame, threshold: float, window_hours: int, near: bool) -> DataFrame:
+    """Ids of stored items that share an identity with a new one, or are near one in a shared vertical and about its time."""
+    found = None
+    for keys in (["source_id", "external_id"], ["canonical_url"], ["normalized_hash"]):
+        ids = stored.join(new.select(*keys).dropna().distinct(), keys, "left_semi").select("id")
+        found = ids if found is None else found.unionByName(ids)
+    if near:
+        span = window_hours * 3_600_000_000
+        place = lambda df: df.select("id", F.col("normalized_hash").alias("key"), "text", F.explode(F.array_distinct("verticals")).alias("vertical"), F.floor(F.unix_micros("observed_at") / F.lit(span)).alias("bin"))
+        fresh = cut(place(new))
+        around = fresh.select("vertical", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
+        old = cut(place(stored).join(around, ["vertical", "bin"], "left_semi"))
+        both = fresh.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
+        texts = both.groupBy("key").agg(F.first("text").alias("text"), F.bool_or("fresh").alias("fresh"))
+        pairs = near_text_pairs(texts, threshold, both.select("key", "vertical", "bin").distinct())
+        keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+        found = found.unionByName(old.join(keys, "key", "left_semi").select("id"))
+    return found.distinct()
+
+
+def dedup_increment(new: DataFrame, stored: DataFrame, assignments: DataFrame, threshold: float = THRESHOLD, window_hours: int = WINDOW_HOURS, near: bool = True) -> DataFrame:
+    """Assignments of new items and of all members of the stored clusters that they touch; together with the other stored ones those of dedup_assignments over all items.
+
+    A cluster holds all holders of its members' identities and all texts near to them, so clusters that no new item
+    touches keep their edges, and those that one touches are made anew from their members alone. A new item that joins
+    several clusters makes them one, whose representative is the earliest member of all; an earlier item becomes the
+    representative. Only items of the same time and vertical are compared as texts. new, stored: items as in
+    dedup_assignments, without common ids; assignments: id, representative_id of the stored items.
+    """
+    new = cut(new)
+    touched = _touched(new, stored, threshold, window_hours, near)
+    heads = assignments.join(touched, "id", "left_semi").select("representative_id").distinct()
+    members = assignments.join(heads, "representative_id", "left_semi").select("id")
+    subset = cut(stored.join(members, "id", "left_semi").select(*new.columns).unionByName(new))
+    return dedup_assignments(subset, threshold, window_hours, near)
+
+
 def dedup_metrics(assignments: DataFrame) -> DataFrame:
     head, near = F.col("match_kind") == KINDS[0], F.col("match_kind") == "NEAR_TEXT"
     return assignments.agg(

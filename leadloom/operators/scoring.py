@@ -13,18 +13,25 @@ SCORE_WEIGHTS = {"actionability": 0.10, "business_impact": 0.35, "company_fit":
 BANDS = (("CRITICAL", 85), ("HIGH", 70), ("MEDIUM", 55), ("LOW", 40))
 GUARDRAIL = ((40, "LOW", 54), (60, "MEDIUM", 69), (80, "HIGH", 84))
 SCORING_VERSION = "opportunity-score-v2"
-#: Parts of each vertical in the join of analyses and profiles.
-PAIR_PARTS = 64
+#: Pairs of a part of a vertical, and the most parts.
+PART_PAIRS, MOST_PARTS = 2_000_000, 4096
 
 
 def eligible_pairs(analyses: DataFrame, profiles: DataFrame) -> DataFrame:
     """Succeeded analyses with each profile that has their vertical. Spark broadcasts profiles if their size allows.
 
-    There are few verticals: the analyses of each are dealt to PAIR_PARTS parts, and its profiles go to all of them.
+    There are few verticals: where one has more than PART_PAIRS pairs, its analyses are dealt to parts, and its profiles
+    go to all of them; others are joined as they are. Both sides are counted by vertical first.
     """
     wanted = profiles.withColumn("vertical", F.explode(F.array_distinct("verticals"))).filter("vertical <> 'OTHER'")
-    wanted = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))))
-    dealt = analyses.filter("status = 'SUCCEEDED'").withColumn("_part", F.pmod(F.xxhash64(*analyses.columns), F.lit(PAIR_PARTS)).cast("int"))
+    done = analyses.filter("status = 'SUCCEEDED'")
+    sizes = done.groupBy("vertical").agg(F.count("*").alias("a")).join(wanted.groupBy("vertical").agg(F.count("*").alias("p")), "vertical")
+    most = sizes.agg(F.max(F.col("a").cast("double") * F.col("p"))).first()[0] or 0
+    parts = int(min(MOST_PARTS, -(-most // PART_PAIRS)))
+    if parts <= 1:
+        return done.join(wanted, "vertical")
+    wanted = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = done.withColumn("_part", F.pmod(F.xxhash64(*analyses.columns), F.lit(parts)).cast("int"))
     return dealt.join(wanted, ["vertical", "_part"]).drop("_part")
 
 
@@ -36,15 +43,16 @@ def normalize_terms(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(values, normalize_term), lambda x: x != ""))
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Whether tokens begin alike: with the same five letters, or all of a shorter one of three or more."""
+    n = F.least(F.lit(5), F.length(a), F.length(b))
+    return (n >= 3) & (F.left(a, n) == F.left(b, n))
+
+
 def matches_term(candidate: Column, wanted: Column) -> Column:
     """Equality of short terms; else one contains the other, or each wanted token begins like a candidate token."""
     short = (F.length(candidate) < 3) | (F.length(wanted) < 3)
     contains = F.contains(candidate, wanted) | F.contains(wanted, candidate)
-
-    def alike(a: Column, b: Column) -> Column:
-        n = F.least(F.lit(5), F.length(a), F.length(b))
-        return (n >= 3) & (F.left(a, n) == F.left(b, n))
-
     tokens = F.forall(F.split(wanted, " "), lambda w: F.exists(F.split(candidate, " "), lambda c: alike(c, w)))
     return F.when(short, candidate == wanted).otherwise(contains | tokens)
 
@@ -74,8 +82,10 @@ def fit_vertical(vertical: Column, verticals: Column) -> Column:
     return _criterion("VERTICAL", F.when(ok, 100).otherwise(0), F.when(ok, "VERTICAL_MATCH").otherwise("VERTICAL_MISMATCH"), F.array(vertical))
 
 
-def fit_region(regions: Column, wanted: Column) -> Column:
-    return _criterion("REGION", *_pick(F.coalesce(F.size(regions), F.lit(0)) <= 0, F.size(intersecting(regions, wanted)) > 0, 0, ("REGION_UNKNOWN", "REGION_MATCH", "REGION_MISMATCH")), intersecting(regions, wanted))
+def fit_region(regions: Column, wanted: Column, matched: Column | None = None) -> Column:
+    """matched: the regions that match, where an index of terms has found them; without it they are found here, pair by pair."""
+    matched = intersecting(regions, wanted) if matched is None else matched
+    return _criterion("REGION", *_pick(F.coalesce(F.size(regions), F.lit(0)) <= 0, F.size(matched) > 0, 0, ("REGION_UNKNOWN", "REGION_MATCH", "REGION_MISMATCH")), matched)
 
 
 def fit_event_type(event: Column, interested: Column) -> Column:
@@ -84,9 +94,10 @@ def fit_event_type(event: Column, interested: Column) -> Column:
     return _criterion("EVENT_TYPE", *_pick(unknown, F.array_contains(normalize_terms(interested), own), 25, ("EVENT_UNKNOWN", "EVENT_MATCH", "EVENT_MISMATCH")), F.array(own))
 
 
-def fit_offering(terms: Column, services: Column, keywords: Column, clients: Column) -> Column:
-    wanted = F.concat(services, keywords, clients)
-    return _criterion("OFFERING", *_pick(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.size(intersecting(terms, wanted)) > 0, 25, ("OFFERING_UNKNOWN", "OFFERING_MATCH", "OFFERING_MISMATCH")), intersecting(terms, wanted))
+def fit_offering(terms: Column, services: Column, keywords: Column, clients: Column, matched: Column | None = None) -> Column:
+    """matched: as in fit_region."""
+    matched = intersecting(terms, F.concat(services, keywords, clients)) if matched is None else matched
+    return _criterion("OFFERING", *_pick(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.size(matched) > 0, 25, ("OFFERING_UNKNOWN", "OFFERING_MATCH", "OFFERING_MISMATCH")), matched)
 
 
 def fit_project_value(amount: Column, currency: Column, low: Column, high: Column, wanted_currency: Column) -> Column:
@@ -103,10 +114,11 @@ def fit_project_value(amount: Column, currency: Column, low: Column, high: Colum
     return _criterion("PROJECT_VALUE", score, reason)
 
 
-def fit_exclusions(event: Column, ignored: Column, terms: Column, excluded: Column) -> Column:
-    """Reason of an exclusion or null: an ignored event first, then an excluded term."""
+def fit_exclusions(event: Column, ignored: Column, terms: Column, excluded: Column, matched: Column | None = None) -> Column:
+    """Reason of an exclusion or null: an ignored event first, then an excluded term. matched: as in fit_region."""
     own = normalize_term(F.coalesce(event, F.lit("")))
-    return F.when((own != "") & F.array_contains(normalize_terms(ignored), own), "EVENT_IGNORED").when(F.size(intersecting(terms, excluded)) > 0, "EXCLUDED_TERM_MATCH")
+    matched = intersecting(terms, excluded) if matched is None else matched
+    return F.when((own != "") & F.array_contains(normalize_terms(ignored), own), "EVENT_IGNORED").when(F.size(matched) > 0, "EXCLUDED_TERM_MATCH")
 
 
 def company_fit(criteria: list[Column], exclusion: Column) -> tuple[Column, Column]:

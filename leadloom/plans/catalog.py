@@ -1359,5 +1359,5 @@ def _(v):
     rows = []
     for k in range(2):
         counts = run_pipeline(v.spark, out, sources, v.raw, people, LATIN_RULES)
-        rows += [(k, stage, c["created"], c["existing"]) for stage, c in counts.items()]
-    return v.spark.createDataFrame(rows, "pass int, stage string, created long, existing long")
+        rows += [(k, stage, c["created"], c["existing"], c["rejected"]) for stage, c in counts.items()]
+    return v.spark.createDataFrame(rows, "pass int, stage string, created long, existing long, rejected long")

@@ -40,13 +40,6 @@ def test_query(spark, duck, name):
     assert plain(got) == plain(duck.sql(catalog.ORACLE[name]).df())
 
 
-def test_pipeline_twice(spark):
-    rows = catalog.QUERIES["run_pipeline"](spark, SF).collect()
-    assert all(r["created"] == 0 for r in rows if r["pass"] == 1)
-    first = {r["stage"]: r["created"] for r in rows if r["pass"] == 0}
-    assert first["raw_items"] == first["normalization"] == first["assignments"] > 0 and first["recommendations"] > 0
-
-
 def test_imports_alone():
     """The rest works without the operators for training data."""
     import subprocess
