@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.operators.rules import Rule
@@ -17,6 +19,11 @@ LATIN_RULES = [
 ]
 
 
+def ascii_upper(text: Column) -> Column:
+    """Capitals of a to z only, which all engines make alike."""
+    return F.translate(text, ascii_lowercase, ascii_uppercase)
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -116,7 +123,7 @@ class Views:
             F.when((status != "SUCCEEDED") & (i % 4 != 3), F.concat(F.lit("E"), (i % 2).cast("string"))).alias("failure_code"),
             F.array(
                 F.struct(F.lit("p1").alias("id"), F.array("source_id").alias("sourceIds"), F.concat(F.col("facts")[0]["statement"], F.when(i % 5 == 0, " and what no text says").otherwise("")).alias("statement")),
-                F.struct(F.lit("p2").alias("id"), F.array(F.when(i % 7 == 0, "elsewhere").otherwise(F.col("source_id"))).alias("sourceIds"), F.upper(F.left("text", F.lit(20))).alias("statement")),
+                F.struct(F.lit("p2").alias("id"), F.array(F.when(i % 7 == 0, "elsewhere").otherwise(F.col("source_id"))).alias("sourceIds"), ascii_upper(F.left("text", F.lit(20))).alias("statement")),
             ).alias("facts"),
         )
 

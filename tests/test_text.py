@@ -16,14 +16,6 @@ def test_clean_page(spark):
     assert got[4]["title"] is None and got[5]["status"] == "REJECTED"
 
 
-def test_urls():
-    c = text.canonical_url
-    assert c("https://u:p@EXAMPLE.test:443//notices//42/?b=2&utm_source=x&a=3&fbclid=9&a=1#top") == "https://example.test/notices/42?a=1&a=3&b=2"
-    assert c("https://example.test/a/?_x=1&B=2&b=3&a=4&1=5") == "https://example.test/a?_x=1&1=5&a=4&b=3&B=2"
-    assert c("http://bücher.test/ä b") == "http://xn--bcher-kva.test/%C3%A4%20b" and c("http://[::1]:8080/") == "http://[::1]:8080/"
-    assert c("http://example.test") == "http://example.test/" and c("no url") is None and c("http://[bad") is None
-
-
 def test_language(spark):
     rows = [("abc",), ("абв",), ("абab",), ("12 !",), ("аbc",)]
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(text.detect_language(F.col("t"))).collect()] == ["en", "ru", "ru", "und", "en"]
