@@ -1,54 +1,131 @@
-"""Structured Streaming forms of ingestion, counters and feedback. Each batch runs the batch function; replays add nothing."""
+"""Structured Streaming forms of ingestion, counters and feedback. What has been seen is in the state store; replays add nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from leadloom.operators.feedback import SENTIMENT, record_feedback
+from leadloom.operators.feedback import SENTIMENT
 from leadloom.operators.telemetry import counter_rows
-from leadloom.sources.sinks import BUCKETS, append_new, in_buckets, new_rows, stored_rows, touched, write_stage
+from leadloom.sources.sinks import stored_rows
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 RAW_IDENTITY = ["source_id", "content_hash"]
 
 
-def stream_ingest(raw: DataFrame, path: str, checkpoint: str, late: str = "7 days", once: bool = True) -> StreamingQuery:
-    """Raw rows (source_id, raw_text, received_at, ...) -> new items at path: state drops repeats in time, an anti-join older ones.
+class FirstRow(StatefulProcessor):
+    """Of the rows of one identity the first one ever, by the order of a column; later ones, in this batch or another, are left out."""
 
-    The table is partitioned by a hash of the identity, so a batch reads the partitions of its own rows only.
-    """
-    hashed = raw.withColumn("content_hash", F.sha2("raw_text", 256)).withWatermark("received_at", late)
-    fresh = hashed.dropDuplicatesWithinWatermark(RAW_IDENTITY)
-    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df, path, RAW_IDENTITY, buckets=BUCKETS) and None)
+    def __init__(self, order: str, columns: list[str], ttl_ms: int | None):
+        self.order, self.columns, self.ttl_ms = order, columns, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", StructType([StructField("seen", BooleanType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of Spark
+        if self.seen.exists():
+            return
+        first = min(rows, key=lambda row: (row[self.order] is None, row[self.order] or 0), default=None)
+        if first is not None:
+            self.seen.update((True,))
+            yield Row(**{c: first[c] for c in self.columns})
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:  # noqa: N802, N803
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def _state_store(spark: SparkSession) -> None:
+    """Arbitrary state needs the RocksDB store; another choice of the session stays."""
+    if spark.conf.get(_PROVIDER, "HDFSBackedStateStoreProvider").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _sink(rows: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Each batch is a partition (run, batch) of the table, so a batch that is run again replaces itself."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_ingest(raw: DataFrame, path: str, checkpoint: str, once: bool = True, days: int | None = None) -> StreamingQuery:
+    """Raw rows (source_id, raw_text, received_at, ...) -> new items at path, the first row of each content of a source.
+
+    State holds one flag for each identity, in the state store and not in memory, so a batch reads neither the table
+    nor other identities, whatever their number. A new checkpoint starts from the identities that the table has;
+    a batch that is run again gives the same rows once. Late rows are judged like others: no watermark drops them.
+    days: identities are forgotten so long after they were written; None keeps them. Null sources and texts are values
+    like others. Of rows of one batch the one received first is kept.
+    """
+    spark = raw.sparkSession
+    _state_store(spark)
+    hashed = raw.withColumn("content_hash", F.sha2("raw_text", 256))
+    stored = stored_rows(spark, path, hashed.schema).select(*RAW_IDENTITY).distinct()
+    processor = FirstRow("received_at", hashed.columns, None if days is None else days * 86_400_000)
+    fresh = hashed.groupBy(*RAW_IDENTITY).transformWithState(
+        processor, hashed.schema, "Append", "None" if days is None else "ProcessingTime", initialState=stored.groupBy(*RAW_IDENTITY)
+    )
+    return _sink(fresh, path, checkpoint, once)
+
+
 def stream_counters(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counters by tumbling window."""
     rows = counter_rows(events).withWatermark("ts", late)
     return rows.groupBy(F.window("ts", width).alias("w"), "name", "labels").agg(F.sum("value").alias("value")).select(F.col("w.start").alias("window_start"), "name", "labels", "value")
 
 
-def merge_feedback(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """New feedback of a batch beside what is stored: identities once, the first sentiment stays."""
-    kept, _ = record_feedback(batch)
-    fresh = new_rows(kept, stored, ["user_id", "recommendation_id", "action"])
-    moods = stored.filter(F.col("action").isin(*SENTIMENT)).select("user_id", "recommendation_id").distinct()
-    mood = fresh.filter(F.col("action").isin(*SENTIMENT)).join(moods, ["user_id", "recommendation_id"], "left_anti")
-    return fresh.filter(~F.col("action").isin(*SENTIMENT)).unionByName(mood)
+class FirstActions(StatefulProcessor):
+    """Of the actions of one user on one recommendation the first of each kind, and of USEFUL and NOT_USEFUL only the first of both."""
 
+    def __init__(self, columns: list[str]):
+        self.columns = columns
 
-def stream_feedback(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Continuous record_feedback; the first write wins across batches.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.actions = handle.getMapState("actions", StructType([StructField("action", StringType())]), StructType([StructField("seen", BooleanType())]))
 
-    The table is partitioned by a hash of the user, so a batch reads the partitions of its own users only.
-    """
+    def _group(self, action: str | None) -> str:
+        """What a row is the first of: the two sentiments are one; no action is a kind of its own."""
+        return "sentiment" if action in SENTIMENT else f"action {action}" if action is not None else "none"
 
-    def save(batch: DataFrame, _: int) -> None:
-        rows = in_buckets(batch, ["user_id"])
-        stored = touched(rows, stored_rows(batch.sparkSession, path, rows.schema))
-        write_stage(merge_feedback(rows, stored), path, partition_by=["_bucket"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of Spark
+        first: dict[str, tuple] = {}
+        for row in rows:
+            group, place = self._group(row["action"]), tuple((row[c] is not None, row[c] or 0) for c in ("created_at", "id"))
+            if group not in first or place < first[group][0]:
+                first[group] = (place, row)
+        for group, (_, row) in first.items():
+            if not self.actions.containsKey((group,)):
+                self.actions.updateValue((group,), (True,))
+                yield Row(**{c: row[c] for c in self.columns})
 
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:  # noqa: N802, N803
+        self.actions.updateValue((self._group(initialState["action"]),), (True,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_feedback(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Continuous record_feedback: the first write wins across batches.
+
+    State holds the kinds of action that a user has sent for a recommendation, so a batch reads no stored feedback. A
+    new checkpoint starts from the table. Within a batch the order is that of created_at and id; a row that comes in a
+    later batch is later, whatever its time says.
+    """
+    spark = events.sparkSession
+    _state_store(spark)
+    identity = ["user_id", "recommendation_id"]
+    stored = stored_rows(spark, path, events.schema).select(*identity, "action").distinct()
+    fresh = events.groupBy(*identity).transformWithState(FirstActions(events.columns), events.schema, "Append", "None", initialState=stored.groupBy(*identity))
+    return _sink(fresh, path, checkpoint, once)
