@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import expr, text
 from leadloom.operators import classify, dedup, digest, evals, feedback, ingest, quality, scoring, serving, telemetry
 from leadloom.operators.rules import RULES_V1, RULES_V2, Rule
+from leadloom.plans.lineage import cut
 from leadloom.plans.testviews import LATIN_RULES, Views, ascii_upper
 from leadloom.sources import readers, sinks
 
@@ -340,6 +341,16 @@ def _(v):
     return dedup.dedup_assignments(v.items)
 
 
+@query("dedup_increment", ORACLE["dedup_assignments_near"])
+def _(v):
+    """Two batches: what the second changes, beside what the first has made."""
+    items = v.items
+    late = F.col("id") % 3 == 1
+    first = cut(dedup.dedup_assignments(items.filter(~late)))
+    changed = cut(dedup.dedup_increment(items.filter(late), items.filter(~late), first))
+    return first.join(changed, "id", "left_anti").unionByName(changed)
+
+
 @query("dedup_metrics", f"WITH RECURSIVE {EDGES}, {NEAR} SELECT count(*) AS input_items, count(*) FILTER (kind = 'REPRESENTATIVE') AS clusters, count(*) FILTER (kind <> 'REPRESENTATIVE') AS duplicates, count(*) FILTER (kind NOT IN ('REPRESENTATIVE', 'NEAR_TEXT')) AS exact_duplicates, count(*) FILTER (kind = 'NEAR_TEXT') AS near_duplicates FROM placed")
 def _(v):
     return dedup.dedup_metrics(dedup.dedup_assignments(v.items))
@@ -659,6 +670,15 @@ def _(v):
     return part.join(wanted, "p_size").select("p_partkey", "w", scoring.matches_term(F.col("p_name"), F.col("w")).alias("hit"))
 
 
+@query("term_matches", f"WITH a AS (SELECT DISTINCT p_name AS c FROM part), b AS (SELECT DISTINCT lower(p_type) AS w FROM part UNION SELECT DISTINCT trim(substr(p_name, 3, 6)) FROM part), t AS (SELECT * FROM a, b) SELECT c AS candidate, w AS wanted FROM t WHERE {_MATCH}")
+def _(v):
+    from leadloom.operators.terms import term_matches
+
+    part = v.table("part")
+    wanted = part.select(F.lower("p_type").alias("term")).unionByName(part.select(F.trim(F.substring("p_name", 3, 6)).alias("term")))
+    return term_matches(part.select(F.col("p_name").alias("term")), wanted)
+
+
 FIT = """p AS (SELECT p_partkey AS id, ['CONSTRUCTION', 'HORECA', 'OTHER'][p_partkey % 3 + 1] AS v, p_partkey % 4 AS g, p_partkey % 5 AS e, p_partkey % 2 = 0 AS t, p_retailprice AS x, p_partkey % 6 AS q, p_name FROM part),
 fit AS (SELECT *, CASE WHEN v = 'CONSTRUCTION' THEN 100.0 ELSE 0 END AS fv, CASE WHEN g = 0 THEN 50.0 WHEN g = 1 THEN 100 ELSE 0 END AS fr, CASE WHEN e = 0 THEN 50.0 WHEN e = 1 THEN 100 ELSE 25 END AS fe, CASE WHEN NOT t THEN 50.0 WHEN contains(p_name, 'ring') THEN 100 ELSE 25 END AS fo,
  CASE WHEN q = 0 THEN 50.0 WHEN q = 1 THEN 0 WHEN x BETWEEN 950 AND 1500 THEN 100 ELSE 0 END AS fp, CASE WHEN e = 4 THEN 'EVENT_IGNORED' WHEN t AND contains(p_name, 'bolt') THEN 'EXCLUDED_TERM_MATCH' END AS exclusion FROM p)"""
@@ -1349,7 +1369,34 @@ def _(v):
     return v.spark.read.parquet(out).select("id")
 
 
-@query("run_pipeline")
+def _sql_pipeline() -> str:
+    """Counts of both runs of the pipeline: kept contents, tidied texts, clusters of equal and near texts, decisions of their earliest items, pairs with profiles."""
+    lines = _sql_lines("kept", "doc_id")
+    grams = _PAIRS.replace("FROM documents", "FROM norm")
+    decided = DECIDED.removeprefix(SOURCES + ", ").replace("FROM documents JOIN sources", "FROM heads JOIN sources")
+    word = "len(list_filter(string_split(t, ' '), lambda x: least(5, length(x), length(w)) >= 3 AND left(x, least(5, length(x), length(w))::INT) = left(w, least(5, length(x), length(w))::INT))) > 0"
+    made = {
+        "sources": "(SELECT count(*) FROM sources)", "profiles": "(SELECT count(*) FROM customer)", "raw_items": "(SELECT count(*) FROM kept)", "raw_conflicts": "0", "normalization": "(SELECT count(*) FROM kept)", "items": "(SELECT count(*) FROM norm)",
+        "assignments": "(SELECT count(*) FROM norm)", "decisions": "(SELECT count(*) FROM heads)", "signals": "(SELECT count(*) FROM decided WHERE k = 5)", "analyses": "(SELECT count(*) FROM decided WHERE k = 5)", "recommendations": "(SELECT count(*) FROM pairs WHERE NOT excluded)",
+    }
+    refused = {"normalization": "(SELECT count(*) FROM kept) - (SELECT count(*) FROM norm)", "recommendations": "(SELECT count(*) FROM pairs WHERE excluded)"}
+    rows = " UNION ALL ".join(f"SELECT '{stage}' AS stage, {n} AS n, {refused.get(stage, 0)} AS refused" for stage, n in made.items())
+    return f"""WITH RECURSIVE {SOURCES},
+kept AS (SELECT * FROM documents SEMI JOIN (SELECT min(doc_id) AS doc_id FROM documents JOIN sources ON source_id = source WHERE rights = 'OPEN_DATA' GROUP BY source, text) USING (doc_id)), {lines},
+norm AS (SELECT doc_id, source, tidy.text AS text FROM kept JOIN tidy USING (doc_id)), {grams},
+it AS (SELECT doc_id AS id, md5(text) AS h, vertical FROM norm JOIN sources ON source_id = source), nsym AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+links AS (SELECT a.id AS x, b.id AS y FROM it a JOIN nsym ON a.h = x JOIN it b ON b.h = y AND a.vertical = b.vertical AND abs(a.id - b.id) <= 1008 UNION SELECT id, min(id) OVER (PARTITION BY h) FROM it UNION SELECT min(id) OVER (PARTITION BY h), id FROM it),
+reach(x, y) AS (SELECT DISTINCT x, x FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), comp AS (SELECT x AS id, min(y) AS rep FROM reach GROUP BY x),
+heads AS (SELECT norm.* FROM norm SEMI JOIN (SELECT DISTINCT rep AS doc_id FROM comp) USING (doc_id)), {decided},
+terms AS (SELECT DISTINCT rep, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM comp JOIN norm ON doc_id = id),
+words AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN lower(c_mktsegment) ELSE 'none' END AS w FROM customer),
+hits AS (SELECT DISTINCT rep, w FROM terms, words WHERE contains(t, w) OR contains(w, t) OR {word}),
+pairs AS (SELECT rep IS NOT NULL AS excluded FROM decided JOIN customer ON vertical = CASE WHEN c_custkey % 2 = 0 THEN 'CONSTRUCTION' ELSE 'HORECA' END LEFT JOIN hits ON rep = id AND w = CASE WHEN c_custkey % 7 = 0 THEN lower(c_mktsegment) ELSE 'none' END WHERE k = 5),
+made AS ({rows})
+SELECT 0 AS pass, stage, n AS created, 0 AS existing, refused AS rejected FROM made UNION ALL SELECT 1, stage, 0, n, 0 FROM made"""
+
+
+@query("run_pipeline", _sql_pipeline())
 def _(v):
     from leadloom.plans.lineage import new_table
     from leadloom.plans.pipeline import run_pipeline

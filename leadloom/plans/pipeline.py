@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,19 +165,20 @@ def score_pairs(pairs: DataFrame, shown: DataFrame, sources: DataFrame) -> DataF
     places = cut(term_lists(regions, "analysis_id", F.col("signal_regions")))
     profile = pairs.select("profile_id", "profile_revision", "services_and_products", "keywords", "target_clients", "excluded_keywords", "regions").dropDuplicates(["profile_id", "profile_revision"])
     profile = profile.withColumn("_profile", F.to_json(F.struct("profile_id", "profile_revision")))
-    lists = {
-        "offering": (texts, term_lists(profile, "_profile", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("services_and_products", "keywords", "target_clients")]))),
-        "excluded": (texts, term_lists(profile, "_profile", F.col("excluded_keywords"))), "region": (places, term_lists(profile, "_profile", F.col("regions"))),
+    wanted = {
+        "offering": F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("services_and_products", "keywords", "target_clients")]), "excluded": F.col("excluded_keywords"), "region": F.col("regions"),
     }
-    pairs = pairs.join(reliable, "analysis_id").withColumn("_profile", F.to_json(F.struct("profile_id", "profile_revision")))
-    pairs = pairs.join(texts.select("signal_id", F.col("list_id").alias("_text"), F.col("terms").alias("_terms")), "signal_id").withColumn("_has_terms", F.size("_terms") > 0).drop("_terms")
+    lists = cut(reduce(DataFrame.unionByName, [term_lists(profile, "_profile", terms).withColumn("kind", F.lit(kind)) for kind, terms in wanted.items()]))
+    met = cut(matched_lists(texts.select("list_id", "terms").unionByName(places.select("list_id", "terms")), lists))
+    met = met.select(F.col("list_id").alias("_own"), F.col("wanted_id").alias("_wanted"), "matched")
+    by_profile = lists.groupBy("_profile").agg(*[F.max(F.when(F.col("kind") == kind, F.col("list_id"))).alias(f"_{kind}_list") for kind in wanted])
+    pairs = pairs.join(reliable, "analysis_id").withColumn("_profile", F.to_json(F.struct("profile_id", "profile_revision"))).join(by_profile, "_profile")
+    pairs = pairs.join(texts.select("signal_id", F.col("list_id").alias("_text"), (F.size("terms") > 0).alias("_has_terms")), "signal_id")
     pairs = pairs.join(places.select("analysis_id", F.col("list_id").alias("_place"), F.col("terms").alias("_regions")), "analysis_id", "left")
-    for name, (own, wanted) in lists.items():
-        wanted = cut(wanted)
-        met = cut(matched_lists(own, wanted)).select(F.col("list_id").alias("_own"), F.col("wanted_id").alias("_wanted"), F.col("matched").alias(f"_{name}"))
-        pairs = pairs.join(wanted.select("_profile", F.col("list_id").alias("_list")), "_profile")
-        pairs = pairs.join(met, (pairs["_place" if name == "region" else "_text"] == met["_own"]) & (pairs["_list"] == met["_wanted"]), "left").drop("_own", "_wanted", "_list")
-        pairs = pairs.withColumn(f"_{name}", F.coalesce(f"_{name}", F.array().cast("array<string>")))
+    for kind in wanted:
+        found = met.withColumnRenamed("matched", f"_{kind}")
+        pairs = pairs.join(found, (pairs["_place" if kind == "region" else "_text"] == found["_own"]) & (pairs[f"_{kind}_list"] == found["_wanted"]), "left").drop("_own", "_wanted")
+        pairs = pairs.withColumn(f"_{kind}", F.coalesce(f"_{kind}", F.array().cast("array<string>")))
     none = F.array().cast("array<string>")
     has = F.when(F.col("_has_terms"), F.array(F.lit("x"))).otherwise(none)
     criteria = [
