@@ -111,18 +111,25 @@ def near_edges(items: DataFrame, threshold: float = THRESHOLD, window_hours: int
 
 
 def pairs_in_window(items: DataFrame, window_hours: int = WINDOW_HOURS) -> DataFrame:
-    """By vertical the number of pairs within the window, by a range frame instead of pairs. items: vertical, observed_at.
+    """By vertical the number of pairs of items within the window, by prefix sums instead of pairs. items: vertical, observed_at.
 
-    Times are counted first and dealt to bins of the window's length; each bin sees its own times and those of the bin
-    before, so a vertical is spread over as many tasks as it has bins.
+    With C(t) the number of items before time t, an item at t has C(t) - C(t - window) partners before it; so each time is
+    asked for twice in one order of all times. That order is dealt to range parts: a part sums its own times, and the
+    totals of earlier parts are added, so a vertical or a single busy hour is spread over as many tasks as it needs.
     """
     span = window_hours * 3_600_000
-    times = items.groupBy("vertical", F.unix_millis("observed_at").alias("at")).agg(F.count("*").alias("k"))
-    bin_ = F.floor(F.col("at") / F.lit(span))
-    dealt = times.withColumn("x", F.explode(F.array(F.struct(bin_.alias("bin"), F.lit(True).alias("own")), F.struct((bin_ + 1).alias("bin"), F.lit(False).alias("own"))))).select("vertical", "at", "k", "x.*")
-    frame = Window.partitionBy("vertical", "bin").orderBy("at").rangeBetween(-span, -1)
-    own = dealt.withColumn("before", F.coalesce(F.sum("k").over(frame), F.lit(0))).filter("own")
-    return own.groupBy("vertical").agg(F.sum(F.col("k") * F.col("before") + F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
+    times = items.filter("observed_at is not null").groupBy("vertical", F.unix_millis("observed_at").alias("at")).agg(F.count("*").alias("k"))
+    asked = F.array(F.struct(F.col("at").alias("t"), F.col("k").alias("own"), F.col("k").alias("sign")), F.struct((F.col("at") - span).alias("t"), F.lit(0).cast("long").alias("own"), (-F.col("k")).alias("sign")))
+    rows = times.select("vertical", F.explode(asked).alias("x")).select("vertical", "x.*")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(rows.repartitionByRange(n, "vertical", "t").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("vertical", "part").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("vertical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("before", F.coalesce(F.sum("own").over(inside), F.lit(0))).groupBy("vertical", "part").agg(
+        F.sum(F.col("sign") * F.col("before")).alias("inside"), F.sum("sign").alias("signs"), F.sum("own").alias("total"), F.sum(F.expr("own * (own - 1) div 2")).alias("equal")
+    )
+    offset = F.coalesce(F.sum("total").over(earlier), F.lit(0))
+    return own.withColumn("pairs", F.col("inside") + F.col("equal") + F.col("signs") * offset).groupBy("vertical").agg(F.sum("pairs").cast("long").alias("pairs"))
 
 
 def duplicate_clusters(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = (("total_score", True), ("created_at", True), ("id", False))
@@ -64,13 +64,52 @@ def list_opportunities(
 
 
 def page_after(rows: DataFrame, cursor: dict, n: int) -> DataFrame:
-    """The next n rows after a cursor with the values of the sort key."""
+    """The next n rows after a cursor with the values of the sort key, of any rows; see ranked_page for a stored order."""
+    return rows.filter(_after(F.col, cursor)).orderBy(*_order()).limit(n)
+
+
+def write_ranked(rows: DataFrame, path: str, files: int) -> None:
+    """Rows as files in the order of the sort key, and beside them the table of their ranges: file, first and last key, number of rows.
+
+    Rows with equal keys stand in one file. Ranges are one row a file, from one pass over what was written.
+    """
+    spark = rows.sparkSession
+    rows.repartitionByRange(files, *_order()).sortWithinPartitions(*_order()).withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    key = F.struct(*[c for c, _ in ORDER])
+    place = Window.partitionBy("part").orderBy(*_order())
+    back = Window.partitionBy("part").orderBy(*[F.asc(c) if down else F.desc(c) for c, down in ORDER])
+    kept = spark.read.parquet(f"{path}/rows").select("part", *[c for c, _ in ORDER])
+    ends = kept.withColumns({"_a": F.row_number().over(place), "_b": F.row_number().over(back), "n": F.count("*").over(Window.partitionBy("part"))}).filter("_a = 1 or _b = 1")
+    ends.groupBy("part").agg(F.max_by(key, F.col("_a") == 1).alias("first"), F.max_by(key, F.col("_b") == 1).alias("last"), F.max("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def _after(value, cursor: dict):
+    """Whether a key stands after a cursor; value names the columns of the key."""
     after, equal = F.lit(False), F.lit(True)
     for c, down in ORDER:
-        value = F.lit(cursor[c])
-        after = after | (equal & (F.col(c) < value if down else F.col(c) > value))
-        equal = equal & (F.col(c) == value)
-    return rows.filter(after).orderBy(*_order()).limit(n)
+        given = F.lit(cursor[c])
+        after = after | (equal & (value(c) < given if down else value(c) > given))
+        equal = equal & (value(c) == given)
+    return after
+
+
+def ranked_page(spark: SparkSession, path: str, n: int, cursor: dict | None = None) -> DataFrame:
+    """The first n rows of a table of write_ranked, or the next n after a cursor, in order.
+
+    The ranges name the files whose rows come next; only as many are read as hold n rows beside the one that the cursor is in.
+    """
+    ranges = spark.read.parquet(f"{path}/ranges")
+    if cursor is not None:
+        ranges = ranges.filter(_after(lambda c: F.col(f"last.{c}"), cursor))
+    wanted, have = [], 0
+    for r in ranges.orderBy("part").limit(n + 1).select("part", "n").collect():  # each file has a row at least
+        wanted.append(r["part"])
+        have += r["n"] if cursor is None or len(wanted) > 1 else 0  # of the first file some rows may stand before the cursor
+        if have >= n:
+            break
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("part").isin(wanted)).drop("part")
+    rows = rows if cursor is None else rows.filter(_after(F.col, cursor))
+    return rows.orderBy(*_order()).limit(n)
 
 
 def find_opportunity(recommendations: DataFrame, user_id, signal_id) -> DataFrame:

@@ -783,6 +783,17 @@ def _(v):
     return serving.page_after(v.recommendations, {"total_score": 50.0, "created_at": datetime.datetime(1998, 1, 1), "id": 100}, 50).select("id", "total_score")
 
 
+@query("ranked_page", ORACLE["page_after"])
+def _(v):
+    import datetime
+
+    from leadloom.plans.lineage import new_table
+
+    path = new_table(v.spark, "ranked")
+    serving.write_ranked(v.recommendations, path, 100)
+    return serving.ranked_page(v.spark, path, 50, {"total_score": 50.0, "created_at": datetime.datetime(1998, 1, 1), "id": 100}).select("id", "total_score")
+
+
 @query("find_opportunity", f"WITH {RECS}, u AS (SELECT min(user_id) AS u, arg_min(signal_id, user_id) AS s FROM recs) SELECT id FROM recs, u WHERE user_id = 899 AND signal_id = 0 ORDER BY revision DESC, created_at DESC, id LIMIT 1")
 def _(v):
     return serving.find_opportunity(v.recommendations, 899, 0).select("id")
