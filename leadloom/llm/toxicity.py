@@ -215,23 +215,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: float = TOXIC_WEIGHT) -> tup
     return float(w[0] / scale), float(w[1])
 
 
-def _scored(rows: DataFrame, models, part: str | None = None) -> DataFrame:
-    """rows and, as _ll_x, the score of text by the broadcast model of the row's part, or by the whole sample's."""
+def _scored(rows: DataFrame, model) -> DataFrame:
+    """rows and, as _ll_x, the score of text by the broadcast model."""
     columns = rows.columns
     at_text = columns.index("text")
-    at_part = columns.index(part) if part else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = models.value
+        known = model.value
         for batch in batches:
             texts = as_bytes(batch.column(at_text))
-            parts = batch.column(at_part).to_numpy(zero_copy_only=False) if part else np.full(len(texts), PARTS)
             x = np.zeros(len(texts))
-            for p in np.unique(parts):
-                at = np.flatnonzero(parts == p)
-                own = [texts[i] for i in at]
-                for lo, hi in chunks(own, STEP_BYTES):
-                    x[at[lo:hi]] = known[int(p)].score(own[lo:hi])
+            for lo, hi in chunks(texts, STEP_BYTES):
+                x[lo:hi] = known.score(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*columns, "_ll_x"])
 
     return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("_ll_x", DoubleType())]))
@@ -263,16 +258,23 @@ def choose_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS):
-    """Broadcast models, slope and offset, from a bounded sample of rows whose fold is not 1.
+    """Broadcast model of the whole sample, slope and offset, from a bounded sample of rows whose fold is not 1.
 
     Counts and Kneser-Ney levels are made in Spark. The calibration scores each part of the sample with a model of the
-    other parts.
+    other parts, one part after another, so that tasks hold one model at a time.
     """
     sample = cut(choose_sample(docs, labels, sample_per_class))
-    models = docs.sparkSession.sparkContext.broadcast(_models(sample))
-    scored = _scored(sample, models, "part").select("toxic", "_ll_x").toArrow()
-    slope, offset = calibrate(scored.column("_ll_x").to_numpy(), scored.column("toxic").to_numpy().astype(np.float64))
-    return models, slope, offset
+    context = docs.sparkSession.sparkContext
+    models = _models(sample)
+    x, y = [], []
+    for part in range(PARTS):
+        model = context.broadcast(models.pop(part))
+        scored = _scored(sample.filter(F.col("part") == part), model).select("toxic", "_ll_x").toArrow()
+        x.append(scored.column("_ll_x").to_numpy())
+        y.append(scored.column("toxic").to_numpy().astype(np.float64))
+        model.destroy()
+    slope, offset = calibrate(np.concatenate(x), np.concatenate(y))
+    return context.broadcast(models.pop(PARTS)), slope, offset
 
 
 def _probability(slope: float, offset: float) -> Column:
@@ -294,8 +296,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = S
     stay below the threshold. Repeated rows are scored each; equal texts have equal scores. An empty table gives an
     empty result. Columns other than doc_id and text are not read.
     """
-    models, slope, offset = train(docs, labels, sample_per_class)
-    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), models)
+    model, slope, offset = train(docs, labels, sample_per_class)
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), _probability(slope, offset).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -307,8 +309,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPL
     Each row is judged by its own text, whatever its id: null and repeated ids stay or go like any other. Null and
     empty texts stay. An empty table gives an empty result.
     """
-    models, slope, offset = train(docs, labels, sample_per_class)
-    return _scored(docs, models).filter(_probability(slope, offset) < threshold).select(*docs.columns)
+    model, slope, offset = train(docs, labels, sample_per_class)
+    return _scored(docs, model).filter(_probability(slope, offset) < threshold).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
