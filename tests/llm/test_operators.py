@@ -443,47 +443,97 @@ def test_one_very_long_text(spark):
 
 
 def test_kneser_ney_against_brute_force(spark):
-    from leadloom.llm.toxicity import DISCOUNTS, PRIOR_WORDS, SHARE, Ratios, count_beginnings, kneser_ney
-
-    r = random.Random(7)
-    texts = [(" ".join(r.choice(["idiot", "idle", "ideal", "the", "then", "scum", "scumbag", "a"][: 8 if k else 5]) for _ in range(6)), k) for k in [0, 1] * 40]
+    """Discounts, the chain of continuation counts, both classes' models and the score of texts, from their definitions."""
     import math
 
+    from leadloom.llm.toxicity import CHAIN, PRIOR_WORDS, Ratios, continuations, count_beginnings, estimate_discounts, kneser_ney
+
+    r = random.Random(7)
+    words = ["idiot", "idle", "ideal", "the", "then", "scum", "scumbag", "a"]
+    texts = [(" ".join(r.choice(words[: 8 if k else 5]) for _ in range(6)) + f" {r.choice(words)}{r.choice('xyz')}{i % 9}", k) for i in range(40) for k in (0, 1)]
     counts = {0: collections.Counter(), 1: collections.Counter()}
     for t, k in texts:
-        seen = {(w[:i], (w + " ")[i]) for w in t.split() for i in range(len(w) + 1)}
-        counts[k].update(seen)
-    pairs = {(c[-1:], b, c) for k in counts for c, b in counts[k]}
-    follow = lambda before: sum(p[0] == before for p in pairs)
-    base = lambda c, b: (sum(p[:2] == (c[-1:], b) for p in pairs) + 0.1) / (follow(c[-1:]) + 25.6)
-    discount = lambda n: min(n, (0.0, *DISCOUNTS)[min(n, 3)])
-
-    def level(own, context, byte, low):
-        inside = {b: n for (c, b), n in own.items() if c == context}
-        total = sum(inside.values())
-        if not total:
+        counts[k].update({(w[:i], (w + " ")[i]) for w in t.split() for i in range(len(w) + 1)})
+    both = counts[0] + counts[1]
+
+    def estimate(ns, explained=(0, 0, 0)):
+        items = [sum(n == i for n in ns) for i in range(5)]
+        y = items[1] / (items[1] + 2 * items[2]) if items[1] and items[2] else 0.5
+        again = [(n + 1) * items[n + 1] / items[n] if items[n] else 0 for n in (1, 2, 3)]
+        return [min(n, max(y * n / 2, n - max(0, again[n - 1] - explained[n - 1]))) for n in (1, 2, 3)]
+
+    total = lambda own, context: sum(n for (c, _), n in own.items() if c == context)
+
+    def explained(own, other):
+        each = collections.defaultdict(list)
+        for (c, b), n in own.items():
+            each[n].append(total(own, c) * other[c, b] / total(other, c) if total(other, c) else 0)
+        return [sum(each[n]) / len(each[n]) if each[n] else 0 for n in (1, 2, 3)]
+
+    discounts = {"toxic": estimate(counts[1].values(), explained(counts[1], counts[0])), "ordinary": estimate(counts[0].values(), explained(counts[0], counts[1])), "both": estimate(both.values())}
+    minus = lambda n, d: d[min(n, 3) - 1] if n else 0
+    levels = [collections.Counter((c[-CHAIN:], b) for c, b in both)]
+    for length in range(CHAIN - 1, -1, -1):
+        levels.append(collections.Counter((c[len(c) - length :] if length and len(c) > length else c if length else "", b) for c, b in levels[-1]))
+    levels.reverse()
+
+    def level(own, context, byte, low, d):
+        inside = [n for (c, _), n in own.items() if c == context]
+        if not inside:
             return low
-        free = max(1e-6, sum(map(discount, inside.values())) / total)
-        return (inside.get(byte, 0) - discount(inside.get(byte, 0))) / total + free * low
+        n = own[context, byte]
+        return (n - minus(n, d) + sum(minus(x, d) for x in inside) * low) / sum(inside)
+
+    def base(context, byte):
+        p = 1 / 256
+        for length, own in enumerate(levels):
+            p = level(own, context[-length:] if length else "", byte, p, estimate(own.values()))
+        return p
 
     def ratio(context, byte):
-        known = any((context, byte) in counts[k] for k in counts)
-        shared = level(counts[0] + counts[1], context, byte, base(context, byte)) if known else 1e-3  # what it is cancels
-        return math.log(level(counts[1], context, byte, shared) / level(counts[0], context, byte, shared))
+        shared = level(both, context, byte, base(context, byte), discounts["both"]) if (context, byte) in both else 1e-3  # what it is cancels
+        return math.log(level(counts[1], context, byte, shared, discounts["toxic"]) / level(counts[0], context, byte, shared, discounts["ordinary"]))
 
     sample = spark.createDataFrame([(t, k, 0) for t, k in texts], "text string, toxic int, part int")
     rows = count_beginnings(sample).selectExpr("hash", "context", "byte", "before", "toxic[0] as toxic", "ordinary[0] as ordinary")
-    kinds = rows.groupBy("before", "byte").count()
-    sums = kinds.groupBy("before").agg(F.sum("count").alias("all"))
-    rows = rows.join(kinds.join(sums, "before").selectExpr("before", "byte", "(count + 0.1) / (all + 25.6) as base"), ["before", "byte"])
-    table = kneser_ney(rows.withColumn("model", F.lit(0)).drop("before", "byte")).toPandas()
+    got = continuations(rows)
+    for x in got.collect():
+        context = int(x["before"]).to_bytes(CHAIN, "big").strip(b"\0").decode()
+        assert x["base"] == pytest.approx(base(context, chr(x["byte"]))), (context, x["byte"])
+    found = estimate_discounts(rows)
+    assert {k: pytest.approx(v) for k, v in discounts.items()} == found
+    assert any(0 < d % 1 for v in found.values() for d in v)
+    table = kneser_ney(rows.join(got, ["before", "byte"]), found).toPandas()
     own, back = table[~table["is_context"]], table[table["is_context"]]
-    arrays = [x for part in (own, back) for x in (part["hash"].to_numpy().view("uint64"), part["value"].to_numpy())]
-    model = Ratios(*arrays)
-    for text in ["idiot the scumbag", "the then ideal", "idiotic scum a", "unseen words", "a"]:
-        words = [sum(ratio(w[:i], (w + " ")[i]) for i in range(len(w) + 1)) for w in text.split()]
-        want = sum(math.log(1 - SHARE + SHARE * math.exp(x)) for x in words) / (len(words) + PRIOR_WORDS)
-        assert model.score([text.encode()])[0] == pytest.approx(want, abs=1e-5), text
+    assert len(own) == len(both) and len(back) == len({c for c, _ in both})  # however rare
+    model = Ratios(*[x for part in (own, back) for x in (part["hash"].to_numpy().view("uint64"), part["value"].to_numpy())])
+    for text in ["idiot the scumbag", "the then ideal", "idiotic scum a", "unseen words", "a", "thex1 idley5"]:
+        each = [sum(ratio(w[:i], (w + " ")[i]) for i in range(len(w) + 1)) for w in text.split()]
+        scores = model.score([text.encode()], (1.0, 0.01))
+        for share, x in zip((1.0, 0.01), scores[:, 0]):
+            want = sum(math.log(1 - share + share * math.exp(w)) if share < 1 else w for w in each) / (len(each) + PRIOR_WORDS)
+            assert x == pytest.approx(want, abs=1e-5), (text, share)
+
+
+def test_toxicity_calibration_is_chosen_on_the_sample():
+    """The choice among shares and weights is the best F1 of a logistic curve, here found by trying all."""
+    import numpy as np
+
+    from leadloom.llm.toxicity import SHARES, TOXIC_WEIGHTS, calibrate, choose_calibration
+
+    r = np.random.default_rng(3)
+    y = (r.random(400) < 0.2).astype(float)
+    x = np.stack([r.normal(size=400) + y * (1 + (i == 3)) for i in range(len(SHARES))])
+
+    def f1(slope, offset, each):
+        found = slope * each + offset >= np.log(0.7 / 0.3)
+        return 2 * (found & (y > 0)).sum() / (found.sum() + y.sum())
+
+    share, slope, offset = choose_calibration(x, y)
+    assert share == SHARES[3]
+    best = max(f1(*calibrate(each, y, w), each) for each in x for w in TOXIC_WEIGHTS)
+    assert f1(slope, offset, x[3]) == pytest.approx(best)
+    assert choose_calibration(x, y * 0)[1:] == (1.0, -3.0)
 
 
 def test_repeated_null_and_clashing_rows(spark):
