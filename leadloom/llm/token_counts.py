@@ -86,7 +86,7 @@ def count_tokens(
     spark = docs.sparkSession
     version = file_digest(tokenizer)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("content_sha256", F.sha2("text", 256))
+    keyed = rows.withColumn("content_sha256", F.unhex(F.sha2("text", 256)))  # 32 bytes in each shuffle; letters only in the cache
     digests = cut(keyed.select("doc_id", "content_sha256", F.octet_length("text").cast("long").alias("n_bytes")))
     total = digests.count()
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -101,9 +101,9 @@ def count_tokens(
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("content_sha256"), pa.array(count(texts), pa.int64())], names=["content_sha256", "n_tokens"])
 
-    counted = cut(chosen.mapInArrow(encode, "content_sha256 string, n_tokens long").dropDuplicates(["content_sha256"]))
+    counted = cut(chosen.mapInArrow(encode, "content_sha256 binary, n_tokens long").dropDuplicates(["content_sha256"]))
     if not counted.isEmpty():
-        counted.select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens").write.mode("append").parquet(cache_path)
+        counted.select(F.lower(F.hex("content_sha256")).alias("content_sha256"), F.lit(version).alias("tokenizer_sha256"), "n_tokens").write.mode("append").parquet(cache_path)
     old = contents.filter("n_tokens is not null").select("content_sha256", "copies", "n_tokens", F.lit(True).alias("cached"))
     new = counted.join(contents.select("content_sha256", "copies"), "content_sha256").select("content_sha256", "copies", "n_tokens", F.lit(False).alias("cached"))
     out = join_counted(digests, old.unionByName(new), ["content_sha256"], "copies", total)
@@ -111,7 +111,7 @@ def count_tokens(
 
 
 def _cached(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
-    """content_sha256, n_tokens of the cache, one row each; empty if there is no cache yet.
+    """content_sha256 (32 bytes), n_tokens of the cache, one row each; empty if there is no cache yet.
 
     A run that was broken off and run again may have stored a count twice.
     """
@@ -121,7 +121,7 @@ def _cached(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], CACHE_SCHEMA)
-    return stored.filter(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens"))
+    return stored.filter(F.col("tokenizer_sha256") == version).groupBy(F.unhex("content_sha256").alias("content_sha256")).agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
