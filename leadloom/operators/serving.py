@@ -14,6 +14,11 @@ def _order() -> list[Column]:
     return [F.desc(c) if down else F.asc(c) for c, down in ORDER]
 
 
+def _place() -> Column:
+    """A value that descends in the order of the sort key, nulls and NaN in their places."""
+    return F.struct("total_score", "created_at", F.col("id").isNull(), F.bitwise_not("id"))
+
+
 def latest_profiles(profiles: DataFrame) -> DataFrame:
     """Per user the newest revision; of equal revisions the smallest id."""
     order = Window.partitionBy("user_id").orderBy(F.desc("revision"), F.asc("id"))
@@ -75,12 +80,9 @@ def write_ranked(rows: DataFrame, path: str, files: int) -> None:
     """
     spark = rows.sparkSession
     rows.repartitionByRange(files, *_order()).sortWithinPartitions(*_order()).withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-    key = F.struct(*[c for c, _ in ORDER])
-    place = Window.partitionBy("part").orderBy(*_order())
-    back = Window.partitionBy("part").orderBy(*[F.asc(c) if down else F.desc(c) for c, down in ORDER])
-    kept = spark.read.parquet(f"{path}/rows").select("part", *[c for c, _ in ORDER])
-    ends = kept.withColumns({"_a": F.row_number().over(place), "_b": F.row_number().over(back), "n": F.count("*").over(Window.partitionBy("part"))}).filter("_a = 1 or _b = 1")
-    ends.groupBy("part").agg(F.max_by(key, F.col("_a") == 1).alias("first"), F.max_by(key, F.col("_b") == 1).alias("last"), F.max("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    kept = spark.read.parquet(f"{path}/rows").select("part", F.struct(*[c for c, _ in ORDER]).alias("key"), _place().alias("place"))
+    ends = kept.groupBy("part").agg(F.max_by("key", "place").alias("first"), F.min_by("key", "place").alias("last"), F.count("*").alias("n"))
+    ends.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
 
 
 def _after(value, cursor: dict):

@@ -4,6 +4,7 @@ import datetime
 import random
 from bisect import bisect_left
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from leadloom.operators import dedup, serving
@@ -62,3 +63,23 @@ def test_pages_of_a_stored_order(spark, tmp_path):
     assert serving.ranked_page(spark, path, 5).count() == 5
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part" in plan
+
+
+def test_ranges_without_sorting(spark, tmp_path):
+    """First and last keys come from an aggregation, nulls and NaN in their places; no task holds or sorts the rows of a file."""
+    at = lambda d: None if d is None else START + datetime.timedelta(days=d)
+    rows = [(i, x, at(d)) for i, (x, d) in enumerate([(x, d) for x in (None, float("nan"), -0.5, 0.0, 7.25) for d in (None, 0, 3)] * 2)]
+    df = spark.createDataFrame(rows, "id long, total_score double, created_at timestamp")
+    assert [x["id"] for x in df.orderBy(F.desc(serving._place())).collect()] == [x["id"] for x in df.orderBy(*serving._order()).collect()]
+    plans, write = [], DataFrameWriter.parquet
+    DataFrameWriter.parquet = lambda self, path, *args, **named: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, *args, **named))[1]
+    try:
+        serving.write_ranked(df, str(tmp_path / "ranked"), 4)
+    finally:
+        DataFrameWriter.parquet = write
+    plan = next(p for path, p in plans if path.endswith("/ranges"))
+    assert "Window" not in plan
+    ranges = {x["part"]: x for x in spark.read.parquet(str(tmp_path / "ranked/ranges")).collect()}
+    for part, x in ranges.items():
+        ids = [y["id"] for y in spark.read.parquet(str(tmp_path / "ranked/rows")).filter(F.col("part") == part).orderBy(*serving._order()).collect()]
+        assert (x["first"]["id"], x["last"]["id"], x["n"]) == (ids[0], ids[-1], len(ids))
