@@ -69,40 +69,27 @@ class Beginnings:
 
 
 class Table:
-    """hash -> value, 0 where unknown, in a few direct-mapped tables. Only the arrays travel; each task builds the tables."""
+    """hash -> value, 0 where unknown: sorted hashes, and where those of each leading bits begin. Tasks hold what travels and build nothing."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        self.hashes, self.given = hashes, values.astype(np.float32)
-        self.ways: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def __getstate__(self):
-        return {"hashes": self.hashes, "given": self.given, "ways": []}
-
-    def _slot(self, hashes: np.ndarray, way: int) -> np.ndarray:
-        return (hashes >> np.uint64(7 * way) & np.uint64(len(self.ways[way][0]) - 1)).astype(np.int64)
-
-    def _build(self) -> None:
-        """Tables one after another, each for what found no place in those before it."""
-        left = np.unique(self.hashes, return_index=True)[1]
-        while len(left) or not self.ways:
-            bits = max(10, int(np.ceil(np.log2(len(left) + 1))) + 1)
-            keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-            self.ways.append((keys, values))
-            slot, one = np.unique(self._slot(self.hashes[left], len(self.ways) - 1), return_index=True)
-            keys[slot], values[slot] = self.hashes[left[one]], self.given[left[one]]
-            left = np.delete(left, one)
+        self.hashes, one = np.unique(hashes, return_index=True)
+        self.values = values[one].astype(np.float32)
+        bits = max(1, len(self.hashes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are known, and the value of each."""
-        if not self.ways:
-            self._build()
         known, got = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
-        for way, (keys, values) in enumerate(self.ways):
-            rest = np.flatnonzero(~known)
-            slot = self._slot(hashes[rest], way)
-            hit = keys[slot] == hashes[rest]
-            got[rest[hit]] = values[slot[hit]]
-            known[rest[hit]] = True
+        head = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[head], self.starts[head + 1]
+        rest = np.flatnonzero(at < end)
+        while len(rest):  # as often as a head has hashes
+            hit = self.hashes[at[rest]] == hashes[rest]
+            got[rest[hit]], known[rest[hit]] = self.values[at[rest[hit]]], True
+            rest = rest[~hit]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
         return known, got
 
 
