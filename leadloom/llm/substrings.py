@@ -56,7 +56,7 @@ def _anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                     names=["row_id", "run", "anchor"],
                 )
 
-    return rows.select("row_id", "text").mapInArrow(run, "row_id long, run long, anchor long")
+    return rows.mapInArrow(run, "row_id long, run long, anchor long")
 
 
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -106,23 +106,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     Equal windows have equal anchors, so only windows whose anchor is counted twice or more are counted themselves:
     that leaves out no repeat and spares most of the shuffle. Windows are compared by 80 bits of two
     independent hashes of their words (words of more than 64 bytes by digest). Whole copies of a
-    text are found by its digest first. Counts combine map-side; joins on a common passage can be split by Spark.
+    text are found by its digest first and count for nothing else: whatever they repeat or have repeated, their
+    first one does too. Counts combine map-side; joins on a common passage can be split by Spark.
 
     is_table: see number_rows. Null text has no words. Documents shorter than a window keep all. Null ids are smallest; rows that share an id do
     not take words from each other, except whole copies of the same text, of which the first read stays. An empty
     table gives an empty result.
     """
-    # the columns that both joins on row_id need, so that text is shuffled once for both
-    rows = with_row_ids(docs, is_table).withColumnRenamed("doc_id", "given")
-    least = F.coalesce("given", F.lit(-(2**63)))
+    # all joins on row_id take the same columns, under the same names, of rows whose row_id cannot be null (no filter), so that text is shuffled once for all
+    rows = with_row_ids(docs, is_table).select(F.coalesce("row_id", F.lit(-1).cast("long")).alias("row_id"), "doc_id", "text")
+    least = F.coalesce("doc_id", F.lit(-(2**63)))
     digest = rows.select("row_id", least.alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("sha"))
     firsts = digest.groupBy("sha").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = cut(digest.join(firsts, "sha").filter("row_id <> first.row_id").select("row_id"))
 
-    anchors = _anchor_rows(rows, window, anchor)
+    fresh = rows.join(copies, "row_id", "left_anti").select("row_id", "doc_id", "text")
+    anchors = _anchor_rows(fresh, window, anchor)
     common = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
     runs = anchors.join(common, "anchor").groupBy("row_id").agg(F.collect_list("run").alias("runs"))
-    runs = runs.join(copies, "row_id", "left_anti")
     windows = _window_rows(rows.join(runs, "row_id").select("row_id", least.alias("doc_id"), "text", "runs"), window)
     earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
     repeats = windows.join(earliest, ["one", "two"]).filter("doc_id > least")
@@ -154,13 +155,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     kept = b" ".join(each)
                     for column, x in zip(out, (len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, gone)):
                         column.append(x)
-            columns = [batch.column("given"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+            columns = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             if with_text:
                 spans = [[{"start": a, "end": b} for a, b in intervals(g)] for g in out[4]]
                 columns += [pa.array(out[3], pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"][: len(columns)])
 
-    return joined.select("given", "text", "starts", "copy").mapInArrow(keep, schema)
+    return joined.select("doc_id", "text", "starts", "copy").mapInArrow(keep, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,18 @@ import pickle
 
 import numpy as np
 
-from leadloom.llm import toxicity
+from leadloom.llm import substrings, toxicity
+
+
+def nodes(plan):
+    """All nodes of an executed plan, those of finished stages included."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return nodes(plan.executedPlan())
+    if kind.endswith("QueryStage"):
+        return nodes(plan.plan())
+    below = plan.children()
+    return [plan, *[x for i in range(below.size()) for x in nodes(below.apply(i))]] if kind != "ReusedExchange" else [plan]
 
 
 def test_table_of_a_task(spark):
@@ -22,3 +33,19 @@ def test_table_of_a_task(spark):
     assert held <= 24 * len(hashes)
     none = toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     assert not none.find(hashes)[0].any()
+
+
+def test_text_is_shuffled_once(spark, tmp_path):
+    """All joins of op2 on the row share one shuffle of text, and copies count for no anchor."""
+    texts = [" ".join(f"w{k * 100 + i}" for i in range(40)) for k in range(6)]
+    texts += [texts[0], texts[0], " ".join(texts[1].split()[5:30]) + " x y z", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substrings.remove_repeats(spark.read.parquet(f"{tmp_path}/d.parquet"), is_table=True)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {**{i: (40, 0) for i in range(6)}, 6: (40, 40), 7: (40, 40), 8: (28, 25), 9: (0, 0)}
+    assert sum(x.nodeName().startswith("Scan parquet") for x in nodes(out._jdf.queryExecution().executedPlan())) == 1
