@@ -4,7 +4,7 @@ import pickle
 
 import numpy as np
 
-from leadloom.llm import substrings, toxicity
+from leadloom.llm import jaccard, substrings, toxicity
 
 
 def nodes(plan):
@@ -49,3 +49,13 @@ def test_text_is_shuffled_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {**{i: (40, 0) for i in range(6)}, 6: (40, 40), 7: (40, 40), 8: (28, 25), 9: (0, 0)}
     assert sum(x.nodeName().startswith("Scan parquet") for x in nodes(out._jdf.queryExecution().executedPlan())) == 1
+
+
+def test_alike_sets_meet_once(spark):
+    """Sets of one size and one list of frequent tokens do not make all pairs of their tokens each."""
+    sets, tokens = 300, 10
+    index = spark.createDataFrame([(t, t, r, 100, sets) for r in range(sets) for t in (range(tokens) if r % 2 else range(1, tokens + 1))], "token long, pos int, row_id long, n long, df long")
+    edges = jaccard.candidate_edges(index, 85)
+    assert {(r["a"], r["b"]) for r in edges.collect()} == {(0, 1)} | {(r % 2, r) for r in range(2, sets)}
+    made = [x.metrics().apply("numOutputRows").value() for x in nodes(edges._jdf.queryExecution().executedPlan()) if x.nodeName() == "Generate"]
+    assert made and sum(made) < sets * tokens
