@@ -67,6 +67,8 @@ def term_counts(docs: DataFrame, is_table: bool = False) -> tuple[DataFrame, Dat
     Rows of one text in one language are one group with the number of its rows by source; only its first row is
     tokenised, and what it holds counts for each source as often as the source has the text. Groups are found by
     digests, so that a text of a third of all rows costs each task one row; a group lists its sources, not its rows.
+    Tasks pass partial counts, a row for each of their sources of a term; these are dealt by language and term, and so
+    stay for all that is summed by term afterwards.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = number_rows(docs.select("text", "lang", "source"), is_table).select("row_id", empty("text"), empty("lang"), empty("source"))
@@ -76,8 +78,8 @@ def term_counts(docs: DataFrame, is_table: bool = False) -> tuple[DataFrame, Dat
     groups = each.groupBy("lang", "sha").agg(F.min("first").alias("row_id"), held).drop("sha")
     texts = rows.select("row_id", "text").join(groups.hint("shuffle_hash"), "row_id").select("text", "lang", "held")
     parts = texts.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    counts = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return stored(counts, "term_counts"), each.select("lang", "source").distinct()
+    counts = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counts, each.select("lang", "source").distinct()
 
 
 def _share(n: Column | str, total: str, terms: str) -> Column:
@@ -108,10 +110,10 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     table gives an empty result. Columns other than text, lang and source are not read. is_table: see number_rows.
     """
     counts, members = term_counts(docs, is_table)
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).filter(F.col("docs") >= least_docs).drop("docs")
-    kept = stored(kept, "kept_terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("all_total"))
-    rows = stored(counts.drop("docs").join(kept, ["lang", "term"]), "kept_counts")
+    same = Window.partitionBy("lang", "term")  # a row for each source
+    kept = counts.withColumns({"all_docs": F.sum("docs").over(same), "all_n": F.sum("n").over(same)}).filter(F.col("all_docs") >= least_docs)
+    rows = stored(kept.select("lang", "source", "term", "n", "all_n"), "kept_counts")
+    langs = rows.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("all_total"))
     sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     totals = members.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("total"), zero("terms"), zero("all_total"))

@@ -4,7 +4,7 @@ import pickle
 
 import numpy as np
 
-from leadloom.llm import jaccard, substrings, toxicity
+from leadloom.llm import divergence, jaccard, substrings, toxicity
 
 
 def nodes(plan):
@@ -59,3 +59,12 @@ def test_alike_sets_meet_once(spark):
     assert {(r["a"], r["b"]) for r in edges.collect()} == {(0, 1)} | {(r % 2, r) for r in range(2, sets)}
     made = [x.metrics().apply("numOutputRows").value() for x in nodes(edges._jdf.queryExecution().executedPlan()) if x.nodeName() == "Generate"]
     assert made and sum(made) < sets * tokens
+
+
+def test_only_kept_counts_are_stored(spark, monkeypatch):
+    """op11 sums by term where the partial counts arrive: no table of all counts, none of kept terms."""
+    seen, kept = {}, divergence.stored
+    monkeypatch.setattr(divergence, "stored", lambda df, name: seen.setdefault(name, kept(df, name)))
+    docs = spark.createDataFrame([("a b b", "x", "s"), ("a c", "x", "t"), ("a", "y", "s")], "text string, lang string, source string")
+    divergence.source_divergence(docs, least_docs=2).collect()
+    assert {name: df.count() for name, df in seen.items()} == {"kept_counts": 2, "shares": 2}
